@@ -1,7 +1,5 @@
 """Schemas and fixed values shared by every module."""
 
-from pyspark.sql import types as T
-
 # ---- fixed values -------------------------------------------------------
 SCORE_POINTS = {"0": 0, "15": 1, "30": 2, "40": 3, "AD": 4}
 ROUND_STAKES = {1: 10, 2: 45, 3: 90, 4: 180, 5: 360, 6: 720, 7: 1200, 8: 2000}
@@ -28,30 +26,25 @@ GAME = ["match_id", "set_no", "game_no"]
 SET = ["match_id", "set_no"]
 POINT_ORDER = ["set_no", "game_no", "point_number"]
 
-# ---- schemas ------------------------------------------------------------
-
-
-def _schema(text):
-    return T.StructType.fromDDL(text)
-
+# ---- schemas, as DDL ----------------------------------------------------
 
-RAW_MATCHES = _schema(
+RAW_MATCHES = (
     "match_id string, year int, slam string, match_num string, player1 string, player2 string, "
     "status string, winner string, event_name string, round string, court_name string, "
     "court_id string, player1id string, player2id string, nation1 string, nation2 string"
 )
 # Numeric columns of the raw log arrive dirty, so they are read as text and cast by the cleaner.
-RAW_POINTS = _schema(
+RAW_POINTS = (
     "match_id string, ElapsedTime string, SetNo string, GameNo string, PointNumber string, "
     "PointWinner string, PointServer string, P1Score string, P2Score string, P1GamesWon string, "
     "P2GamesWon string, SetWinner string, P1PointsWon string, P2PointsWon string"
 )
-POINT_LOG = _schema(
+POINT_LOG = (
     "match_id string, set_no int, game_no int, point_number bigint, point_winner int, "
     "point_server int, tournament string, year int, player1 string, player2 string"
 )
-PLAYER_COUNTRIES = _schema("player string, country string")
-SCORES = _schema(
+PLAYER_COUNTRIES = ("player string, country string")
+SCORES = (
     "p1_win_prob_before double, p1_win_prob_if_p1_wins double, "
     "p1_win_prob_if_p2_wins double, importance double"
 )

@@ -88,11 +88,18 @@ def game_table(points):
     return games.join(sets, SET).drop("_p1", "_p2")
 
 
-def rebuild_state(points, tiebreak_at=6, max_rows=MAX_GROUP_ROWS):
-    """Add running points, games, sets, tiebreak flag, game and match winner to a point log."""
+def rebuild_state(points, tiebreak_at=6, match_columns=None, max_rows=MAX_GROUP_ROWS):
+    """Add running points, games, sets, tiebreak flag, game and match winner to a point log.
+
+    ``match_columns`` (one row per match_id) rides along on the game rows, which saves a
+    second exchange of the points for a join by match.
+    """
     hot = hot_groups(points, GAME, "point_number", max_rows)
     chunked = _running_points(with_chunks(points, hot, GAME, "point_number"))
-    games = repeat_for_chunks(game_table(points), hot, GAME)
+    games = game_table(points)
+    if match_columns is not None:
+        games = games.join(match_columns, "match_id", "left")
+    games = repeat_for_chunks(games, hot, GAME)
     level = F.lit(tiebreak_at)
     tiebreak = (F.col("p1_games_won") == level) & (F.col("p2_games_won") == level)
     last_point = F.col("point_number") == F.col("last_point")
