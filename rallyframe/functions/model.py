@@ -1,7 +1,5 @@
 """Point and game win chances as plain columns."""
 
-from math import comb
-
 from pyspark.sql import functions as F
 
 
@@ -15,24 +13,24 @@ def p1_point_chance(server="point_server", p1_serve="p1_serve_prob", p2_serve="p
     return F.when(F.col(server) == 1, F.col(p1_serve)).when(F.col(server) == 2, 1 - F.col(p2_serve))
 
 
-def _power(base, exponent):
-    result = F.lit(1.0)
-    for _ in range(exponent):
-        result = result * base
-    return result
+# Binomial coefficients C(i + j, i) for i, j in 0..3, row by row.
+_PATHS = [1, 1, 1, 1, 1, 2, 3, 4, 1, 3, 6, 10, 1, 4, 10, 20]
 
 
 def _before_deuce(x, deuce, a, b):
-    """Exact chance from (a, b), both at most 3: win outright, or reach 3-3 and win from there."""
-    y = 1 - x
-    via_deuce = float(comb(6 - a - b, 3 - a)) * _power(x, 3 - a) * _power(y, 3 - b) * deuce
-    direct = [float(comb(3 - a + k, k)) * _power(y, k) for k in range(3 - b)]
-    if not direct:
-        return via_deuce
-    total = direct[0]
-    for term in direct[1:]:
-        total = total + term
-    return _power(x, 4 - a) * total + via_deuce
+    """Exact chance from (a, b), both at most 3.
+
+    With i points to go to 3 and j for the opponent, player 1 either takes i + 1 points
+    while the opponent takes at most two in total, or the game reaches 3-3.
+    """
+    y, i, j = 1 - x, 3 - a, 3 - b
+    direct = (
+        F.when(b <= 2, 1.0).otherwise(0.0)
+        + F.when(b <= 1, (i + 1) * y).otherwise(0.0)
+        + F.when(b <= 0, (i + 1) * (i + 2) * 0.5 * y * y).otherwise(0.0)
+    )
+    paths = F.element_at(F.lit(_PATHS), (4 * i + j + 1).cast("int"))
+    return F.pow(x, i + 1) * direct + paths * F.pow(x, i) * F.pow(y, j) * deuce
 
 
 def game_win_prob(x, a, b, rules="reference"):
@@ -40,19 +38,15 @@ def game_win_prob(x, a, b, rules="reference"):
 
     Only the lead matters from 3-3 on. An entry state that is already decided counts as
     decided under ``standard`` rules; under ``reference`` rules one more point is played
-    before anybody looks, so a two-point lead can still be lost.
+    before anybody looks, so a two-point lead can still be lost. Pass plain column
+    references: each is used many times.
     """
     y = 1 - x
     deuce = x * x / (x * x + y * y)
     ahead, behind = x + y * deuce, x * deuce
     lead = a - b
-    long = (a >= 3) & (b >= 3)
-    value = F.when(long & (lead == 0), deuce).when(long & (lead == 1), ahead).when(long & (lead == -1), behind)
+    value = F.when((a <= 3) & (b <= 3), _before_deuce(x, deuce, a, b))
+    value = value.when(lead == 0, deuce).when((lead == 1) & (b >= 3), ahead).when((lead == -1) & (a >= 3), behind)
     if rules == "reference":
-        value = value.when((a >= 4) & (lead == 2), x + y * ahead).when((b >= 4) & (lead == -2), x * behind)
-    value = value.when((a >= 4) & (lead >= 2), F.lit(1.0)).when((b >= 4) & (lead <= -2), F.lit(0.0))
-    for i in range(4):
-        for j in range(4):
-            if (i, j) != (3, 3):
-                value = value.when((a == i) & (b == j), _before_deuce(x, deuce, i, j))
-    return value
+        value = value.when(lead == 2, x + y * ahead).when(lead == -2, x * behind)
+    return value.when(lead >= 2, 1.0).when(lead <= -2, 0.0)

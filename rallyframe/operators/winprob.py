@@ -220,23 +220,36 @@ def score_points(df, rules="reference"):
                 yield value_states(rows, rules)
 
     values = states.mapInPandas(value, VALUE_SCHEMA)
-    x = p1_point_chance(p1_serve="_pa", p2_serve="_pb")
-    a, b = F.col("p1_points"), F.col("p2_points")
-
-    def chance(i, j, breaker):
-        h = F.when(in_breaker, F.col(breaker)).otherwise(game_win_prob(x, i, j, rules))
-        return h * F.col("v_win") + (1 - h) * F.col("v_lose")
-
-    scored = base.join(values, STATE, "left").withColumns(
-        {
-            "p1_win_prob_before": chance(a, b, "tb_now"),
-            "p1_win_prob_if_p1_wins": chance(a + 1, b, "tb_if_p1"),
-            "p1_win_prob_if_p2_wins": chance(a, b + 1, "tb_if_p2"),
-        }
+    x, a, b = F.col("_x"), F.col("p1_points"), F.col("p2_points")
+
+    def hold(i, j, breaker):
+        return F.when(in_breaker, F.col(breaker)).otherwise(game_win_prob(x, i, j, rules))
+
+    def chance(h):
+        return F.col(h) * F.col("v_win") + (1 - F.col(h)) * F.col("v_lose")
+
+    # Each step is its own projection, so that shared inputs stay single columns.
+    scored = (
+        base.withColumn("_x", p1_point_chance(p1_serve="_pa", p2_serve="_pb"))
+        .join(values, STATE, "left")
+        .withColumns(
+            {
+                "_now": hold(a, b, "tb_now"),
+                "_up": hold(a + 1, b, "tb_if_p1"),
+                "_down": hold(a, b + 1, "tb_if_p2"),
+            }
+        )
+        .withColumns(
+            {
+                "p1_win_prob_before": chance("_now"),
+                "p1_win_prob_if_p1_wins": chance("_up"),
+                "p1_win_prob_if_p2_wins": chance("_down"),
+            }
+        )
     )
     swing = F.abs(F.col("p1_win_prob_if_p1_wins") - F.col("p1_win_prob_if_p2_wins"))
     return scored.withColumn("importance", swing).drop(
-        "_pa", "_pb", "tb_a", "tb_b", "v_win", "v_lose", "tb_now", "tb_if_p1", "tb_if_p2"
+        "_pa", "_pb", "_x", "_now", "_up", "_down", "tb_a", "tb_b", "v_win", "v_lose", "tb_now", "tb_if_p1", "tb_if_p2"
     )
 
 

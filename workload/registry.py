@@ -1,6 +1,6 @@
 """All registered queries: name -> (function of session and directory, DuckDB text or None)."""
 
-from workload import state_queries
+from workload import metric_queries, state_queries
 
-QUERIES = {**state_queries.QUERIES}
-ENTRY = state_queries.state_games_sets
+QUERIES = {**state_queries.QUERIES, **metric_queries.QUERIES}
+ENTRY = metric_queries.flagship
