@@ -24,27 +24,34 @@ def _capital(word):
     return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000_000)))
 
 
-def _capital_word(word):
-    """Capitalise around apostrophes, then around hyphens."""
+def _capital_parts(word, mark):
+    return F.array_join(F.transform(F.split(word, mark), _capital), mark)
 
-    def by_hyphen(piece):
-        return F.array_join(F.transform(F.split(piece, "-"), _capital), "-")
 
-    return F.array_join(F.transform(F.split(word, "'"), by_hyphen), "'")
+def _capital_word(word):
+    """Capitalise a word; around hyphens first, then around apostrophes, where it has any."""
+    hyphen, quote = F.contains(word, F.lit("-")), F.contains(word, F.lit("'"))
+    step = F.when(hyphen, _capital_parts(word, "-")).otherwise(word)
+    step = F.when(quote, _capital_parts(step, "'")).otherwise(step)
+    return F.when(hyphen | quote, step).otherwise(_capital(word))
 
 
 def recapitalise(name):
     """Capitalise every word after the first, honouring ``-`` and ``'``; blank names stay."""
-    words = _words(name)
-    fixed = F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(_capital_word(w)))
+    fixed = F.transform(_words(name), lambda w, i: F.when(i == 0, w).otherwise(_capital_word(w)))
     return F.when(F.trim(F.col(name)) == "", F.col(name)).otherwise(F.array_join(fixed, " "))
 
 
 def winner_name(name):
-    """Capitalised winner name: one-word names wholly, others after the first word, plus fixes."""
+    """Winner name for repaired matches: each further word plainly capitalised, plus fixed spellings.
+
+    A one-word name is capitalised itself.
+    """
     words = _words(name)
-    full = F.when(F.size(words) == 1, _capital(words[0])).otherwise(recapitalise(name))
-    text = F.when(F.trim(F.col(name)) == "", F.col(name)).otherwise(full)
+    plain = F.transform(
+        words, lambda w, i: F.when((i == 0) & (F.size(words) > 1), w).otherwise(_capital(w))
+    )
+    text = F.when(F.trim(F.col(name)) == "", F.col(name)).otherwise(F.array_join(plain, " "))
     return F.coalesce(literal_map(WINNER_NAME_FIXES)[text], text)
 
 

@@ -63,12 +63,14 @@ PROJECTIONS = {
 }
 
 
-def star_join(points, matches, probabilities, players, filters, projection="consistency", name_map=None):
-    """The serving join: points with match, probability and both players' status, filtered.
+def star_join(points, matches, players, filters, columns, probabilities=None, name_map=None):
+    """The serving join: points with their match and both players' status, filtered.
 
     Match filters and the player lookups work on match rows; points join the surviving
-    matches once. Names of the match side are canonicalised with ``name_map`` like those
-    of the player side, since otherwise matches with a variant spelling drop out.
+    matches once. ``probabilities`` is only needed when they live in a table of their own.
+    Names of the match side are canonicalised with ``name_map`` like those of the player
+    side, since otherwise matches with a variant spelling drop out. ``columns`` is a list
+    or the name of a projection.
     """
     chosen = filters.apply(matches)
     if name_map is not None:
@@ -79,8 +81,10 @@ def star_join(points, matches, probabilities, players, filters, projection="cons
         )
         chosen = chosen.join(side, f"player{number}")
     chosen = filters.by_status(chosen)
-    facts = points.join(probabilities.drop("point_id"), ["match_id", "point_number"])
-    return facts.join(chosen, "match_id").select(*PROJECTIONS[projection])
+    facts = points
+    if probabilities is not None:
+        facts = points.join(probabilities.drop("point_id"), ["match_id", "point_number"])
+    return facts.join(chosen, "match_id").select(*(PROJECTIONS[columns] if isinstance(columns, str) else columns))
 
 
 def dim_player(matches):

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from rallyframe.constants import PLAYER_COUNTRIES, RAW_MATCHES, RAW_POINTS
 
-_NAME = r"(\d{4})-([a-z]+)-(?:points|matches)"
+_PAIR = r"(\d{4})-([a-z]+)-(?:points|matches)\.csv"
 
 
 def read_csv(spark, path, schema, header=True):
@@ -19,15 +19,15 @@ def read_parts(spark, folder, schema):
 
 
 def read_raw(spark, glob, schema, years=None, slams=None):
-    """All files of a glob with year and tournament taken from the file name.
+    """All ``YYYY-slam-points.csv`` style files of a glob, with year and tournament from their names.
 
     Pairs that have no file are simply absent; ``years`` and ``slams`` narrow the scan.
     """
-    name = F.col("_metadata.file_name")
+    path = F.col("_metadata.file_path")
     df = read_csv(spark, glob, schema).withColumns(
         {
-            "tournament": F.regexp_extract(name, _NAME, 2),
-            "year": F.expr(f"try_cast(regexp_extract(_metadata.file_name, r'{_NAME}', 1) AS INT)"),
+            "tournament": F.regexp_extract(path, _PAIR, 2),
+            "year": F.regexp_extract(path, _PAIR, 1).try_cast("int"),
         }
     )
     if years:
