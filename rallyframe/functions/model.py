@@ -14,39 +14,36 @@ def p1_point_chance(server="point_server", p1_serve="p1_serve_prob", p2_serve="p
 
 
 # Binomial coefficients C(i + j, i) for i, j in 0..3, row by row.
-_PATHS = [1, 1, 1, 1, 1, 2, 3, 4, 1, 3, 6, 10, 1, 4, 10, 20]
+_PATHS = "array(1, 1, 1, 1, 1, 2, 3, 4, 1, 3, 6, 10, 1, 4, 10, 20)"
 
 
-def _before_deuce(x, deuce, a, b):
+def _before_deuce(x, a, b, deuce):
     """Exact chance from (a, b), both at most 3.
 
     With i points to go to 3 and j for the opponent, player 1 either takes i + 1 points
     while the opponent takes at most two in total, or the game reaches 3-3.
     """
-    y, i, j = 1 - x, 3 - a, 3 - b
-    direct = (
-        F.when(b <= 2, 1.0).otherwise(0.0)
-        + F.when(b <= 1, (i + 1) * y).otherwise(0.0)
-        + F.when(b <= 0, (i + 1) * (i + 2) * 0.5 * y * y).otherwise(0.0)
-    )
-    paths = F.element_at(F.lit(_PATHS), (4 * i + j + 1).cast("int"))
-    return F.pow(x, i + 1) * direct + paths * F.pow(x, i) * F.pow(y, j) * deuce
+    y, i, j = f"(1 - {x})", f"(3 - ({a}))", f"(3 - ({b}))"
+    direct = f"(IF({b} <= 2, 1D, 0D) + IF({b} <= 1, ({i} + 1) * {y}, 0D) + IF({b} <= 0, ({i} + 1) * ({i} + 2) * 0.5D * {y} * {y}, 0D))"
+    paths = f"element_at({_PATHS}, CAST(4 * {i} + {j} + 1 AS INT))"
+    return f"pow({x}, {i} + 1) * {direct} + {paths} * pow({x}, {i}) * pow({y}, {j}) * {deuce}"
 
 
 def game_win_prob(x, a, b, rules="reference"):
     """Player 1's chance to win the game from points (a, b), winning each point with chance ``x``.
 
-    Only the lead matters from 3-3 on. An entry state that is already decided counts as
-    decided under ``standard`` rules; under ``reference`` rules one more point is played
-    before anybody looks, so a two-point lead can still be lost. Pass plain column
-    references: each is used many times.
+    Arguments are column names or short SQL texts. Only the lead matters from 3-3 on. An
+    entry state that is already decided counts as decided under ``standard`` rules; under
+    ``reference`` rules one more point is played before anybody looks, so a two-point
+    lead can still be lost.
     """
-    y = 1 - x
-    deuce = x * x / (x * x + y * y)
-    ahead, behind = x + y * deuce, x * deuce
-    lead = a - b
-    value = F.when((a <= 3) & (b <= 3), _before_deuce(x, deuce, a, b))
-    value = value.when(lead == 0, deuce).when((lead == 1) & (b >= 3), ahead).when((lead == -1) & (a >= 3), behind)
+    deuce = f"({x} * {x} / ({x} * {x} + (1 - {x}) * (1 - {x})))"
+    ahead, behind = f"({x} + (1 - {x}) * {deuce})", f"({x} * {deuce})"
+    lead = f"(({a}) - ({b}))"
+    played_on = ""
     if rules == "reference":
-        value = value.when(lead == 2, x + y * ahead).when(lead == -2, x * behind)
-    return value.when(lead >= 2, 1.0).when(lead <= -2, 0.0)
+        played_on = f"WHEN {lead} = 2 THEN {x} + (1 - {x}) * {ahead} WHEN {lead} = -2 THEN {x} * {behind}"
+    return F.expr(f"""CASE
+        WHEN {a} <= 3 AND {b} <= 3 THEN {_before_deuce(x, a, b, deuce)}
+        WHEN {lead} = 0 THEN {deuce} WHEN {lead} = 1 THEN {ahead} WHEN {lead} = -1 THEN {behind}
+        {played_on} WHEN {lead} >= 2 THEN 1D WHEN {lead} <= -2 THEN 0D END""")

@@ -17,28 +17,21 @@ def points_stake(round_column="round"):
     return literal_map(ROUND_STAKES)[F.col(round_column)]
 
 
-def _token(mine, other):
-    """Label of one side: plain below deuce, then 40 or AD."""
-    names = F.array(*[F.lit(x) for x in ("0", "15", "30", "40")])
-    plain = F.element_at(names, F.least(mine, F.lit(3)).cast("int") + 1)
-    return F.when((mine >= 3) & (other >= 3) & (mine == other + 1), "AD").otherwise(plain)
+def _side(mine, other, tiebreak):
+    """Token of one side: plain below deuce, then 40 or AD; an integer inside a tiebreak."""
+    return f"""CASE WHEN {tiebreak} THEN CAST({mine} AS STRING)
+        WHEN {mine} >= 3 AND {other} >= 3 AND {mine} = {other} + 1 THEN 'AD'
+        ELSE element_at(array('0', '15', '30', '40'), LEAST({mine}, 3) + 1) END"""
 
 
 def score_labels(p1_points="p1_points_pre", p2_points="p2_points_pre", server="point_server", tiebreak="is_tiebreak"):
-    """Server-first label and its two tokens; plain integers inside a tiebreak.
-
-    A side one point ahead from deuce on shows ``AD``; the trailing side shows ``40``.
-    """
-    a, b, two = F.col(p1_points), F.col(p2_points), F.col(server) == 2
-    in_tiebreak = F.col(tiebreak)
-    one = F.when(in_tiebreak, a.cast("string")).otherwise(_token(a, b))
-    other = F.when(in_tiebreak, b.cast("string")).otherwise(_token(b, a))
-    first = F.when(two, other).otherwise(one)
-    second = F.when(two, one).otherwise(other)
+    """Server-first label and its two tokens, from the points in the game before each point."""
+    one, two = _side(p1_points, p2_points, tiebreak), _side(p2_points, p1_points, tiebreak)
+    first, second = f"IF({server} = 2, {two}, {one})", f"IF({server} = 2, {one}, {two})"
     return {
-        "server_token": first,
-        "returner_token": second,
-        "score": F.concat_ws("-", first, second),
+        "server_token": F.expr(first),
+        "returner_token": F.expr(second),
+        "score": F.expr(f"concat_ws('-', {first}, {second})"),
     }
 
 

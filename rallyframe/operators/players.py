@@ -48,14 +48,25 @@ def combine_stats(serve, returned):
     return serve.join(returned, "player", "full_outer")
 
 
-def player_rates(df):
-    """Serve and return rate per player with defaults for a missing role."""
-    stats = combine_stats(serve_stats(df), return_stats(df))
-    return fill_defaults(
-        stats.filter(F.col("player").isNotNull()).select(
-            "player", "serve_point_win_pct", "return_point_win_pct"
+def player_rates(df, server="server_name", returner="returner_name"):
+    """Serve and return rate per player from one scan, with defaults for a missing role."""
+    served = F.col(server), F.lit(True), F.col("server_win")
+    returned = F.col(returner), F.lit(False), F.col("returner_win")
+    roles = [
+        F.struct(player.alias("player"), serving.alias("serving"), won.cast("double").alias("won"))
+        for player, serving, won in (served, returned)
+    ]
+    rates = (
+        df.select(F.explode(F.array(*roles)).alias("r"))
+        .select("r.*")
+        .filter(F.col("player").isNotNull())
+        .groupBy("player")
+        .agg(
+            F.avg(F.when(F.col("serving"), F.col("won"))).alias("serve_point_win_pct"),
+            F.avg(F.when(~F.col("serving"), F.col("won"))).alias("return_point_win_pct"),
         )
     )
+    return fill_defaults(rates)
 
 
 def attach_rates(df, rates, roles=None):

@@ -88,17 +88,19 @@ def game_table(points):
     return games.join(sets, SET).drop("_p1", "_p2")
 
 
-def rebuild_state(points, tiebreak_at=6, match_columns=None, max_rows=MAX_GROUP_ROWS):
+def rebuild_state(points, tiebreak_at=6, match_columns=None, per_game=None, max_rows=MAX_GROUP_ROWS):
     """Add running points, games, sets, tiebreak flag, game and match winner to a point log.
 
-    ``match_columns`` (one row per match_id) rides along on the game rows, which saves a
-    second exchange of the points for a join by match.
+    ``match_columns`` (one row per match_id) and whatever ``per_game`` adds to the game
+    rows ride along to the points, which saves further exchanges of the points.
     """
     hot = hot_groups(points, GAME, "point_number", max_rows)
     chunked = _running_points(with_chunks(points, hot, GAME, "point_number"))
     games = game_table(points)
     if match_columns is not None:
         games = games.join(match_columns, "match_id", "left")
+    if per_game is not None:
+        games = per_game(games)
     games = repeat_for_chunks(games, hot, GAME)
     level = F.lit(tiebreak_at)
     tiebreak = (F.col("p1_games_won") == level) & (F.col("p2_games_won") == level)

@@ -6,31 +6,27 @@ The in-game score only decides who wins the current game, so for every point
 
 where ``h`` is player 1's chance to win the game (a plain column) and ``v_win``/``v_lose``
 are player 1's match chances once the game is won or lost. The latter depend on a handful
-of small integers per match, so only the distinct states are valued: Spark deduplicates
-them, spreads them by match and sends Arrow batches to a vectorised helper.
+of small integers per match, so they are worked out per game (or distinct state), not per
+point: Spark spreads those rows and sends Arrow batches to a vectorised helper.
 """
 
 import numpy as np
 import pandas as pd
+import pyarrow
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rallyframe.functions.model import game_win_prob, p1_point_chance, point_win_prob
 
-STATE = [
-    "match_id", "best_of", "p1_sets_won", "p2_sets_won", "p1_games_won", "p2_games_won",
-    "point_server", "tb_a", "tb_b",
-]
-VALUE_SCHEMA = (
-    "match_id string, best_of int, p1_sets_won int, p2_sets_won int, p1_games_won int, "
-    "p2_games_won int, point_server int, tb_a int, tb_b int, v_win double, v_lose double, "
-    "tb_now double, tb_if_p1 double, tb_if_p2 double"
-)
-INPUTS = [
+STATE = ["match_id", "best_of", "p1_sets_won", "p2_sets_won", "p1_games_won", "p2_games_won"]
+RATES = [
     "player1_serve_point_win_pct", "player1_return_point_win_pct",
     "player2_serve_point_win_pct", "player2_return_point_win_pct",
-    "p1_sets_won", "p2_sets_won", "p1_games_won", "p2_games_won",
-    "p1_points", "p2_points", "point_server", "best_of",
 ]
+INPUTS = [*RATES, *STATE[1:], "p1_points", "p2_points", "point_server"]
+# Match chances once the game is won or lost, when player 1 or 2 serves it, and tiebreak chances.
+VALUES = ["win1", "lose1", "win2", "lose2"]
+GRID = 9  # tiebreak scores 0..8 per side; longer ones fold back
 
 
 def _game_from_love(x):
@@ -136,121 +132,141 @@ def _value_table(pa, pb, need, rules):
     return table, breaker
 
 
-def value_states(rows, rules):
-    """Value one pandas batch of distinct states (columns of STATE plus pa, pb)."""
-    out = rows[STATE].copy()
-    for column in ("v_win", "v_lose", "tb_now", "tb_if_p1", "tb_if_p2"):
-        out[column] = np.nan
-    for best_of, part in rows.groupby("best_of"):
+def _numbers(rows, rules):
+    """Value columns of a pandas batch with pa, pb and the integers of STATE; bad rows stay null."""
+    out = {name: np.full(len(rows), np.nan) for name in VALUES}
+    breakers = np.full(len(rows), None, dtype=object)
+    needed = ["pa", "pb", *STATE[1:]]
+    good = rows[needed].notna().all(axis=1).to_numpy()
+    for best_of in np.unique(rows["best_of"].to_numpy()[good]):
+        at = np.flatnonzero(good & (rows["best_of"].to_numpy() == best_of))
+        part = rows.iloc[at]
         need = 3 if best_of == 5 else 2
-        pairs = part[["pa", "pb"]].drop_duplicates().reset_index(drop=True)
-        pick = part[["pa", "pb"]].merge(pairs.reset_index(), on=["pa", "pb"], how="left")["index"].to_numpy()
-        table, breaker = _value_table(pairs["pa"].to_numpy(), pairs["pb"].to_numpy(), need, rules)
-        s1, s2, g1, g2, server = (
-            part[c].to_numpy()
-            for c in ("p1_sets_won", "p2_sets_won", "p1_games_won", "p2_games_won", "point_server")
-        )
+        code, pairs = pd.factorize(pd.MultiIndex.from_arrays([part["pa"], part["pb"]]))
+        pa, pb = (pairs.get_level_values(i).to_numpy(dtype=float) for i in (0, 1))
+        table, breaker = _value_table(pa, pb, need, rules)
+        s1, s2, g1, g2 = (part[c].to_numpy().astype(int) for c in STATE[2:])
         over = (s1 >= need) | (s2 >= need)
         result = ((s1 == need) if rules == "reference" else (s1 >= need)).astype(float)
-        at = (np.minimum(s1, need - 1), np.minimum(s2, need - 1))
-        win = table[at[0], at[1], _slot(g1 + 1, g2, rules), 3 - server, pick]
-        lose = table[at[0], at[1], _slot(g1, g2 + 1, rules), 3 - server, pick]
-        out.loc[part.index, "v_win"] = np.where(over, result, win)
-        out.loc[part.index, "v_lose"] = np.where(over, result, lose)
-        in_breaker = (g1 == 6) & (g2 == 6)
-        if not in_breaker.any():
-            continue
-        if rules == "reference":
-            now = np.where(server == 1, breaker[1][pick], breaker[2][pick])
-            for column in ("tb_now", "tb_if_p1", "tb_if_p2"):
-                out.loc[part.index[in_breaker], column] = now[in_breaker]
-        else:
-            tied = part[in_breaker]
-            for (a, b, s), rows_ab in tied.groupby(["tb_a", "tb_b", "point_server"]):
-                started = ((a + b + 1) // 2) % 2 == 0
-                starter = s if started else 3 - s
-                pa, pb = rows_ab["pa"].to_numpy(), rows_ab["pb"].to_numpy()
-                own, other = (pa, 1 - pb) if starter == 1 else (1 - pb, pa)
-                for column, i, j in (("tb_now", a, b), ("tb_if_p1", a + 1, b), ("tb_if_p2", a, b + 1)):
-                    # Serve order repeats every four points, so long tiebreaks fold back.
-                    fold = max((min(i, j) - 6) // 2 * 2, 0)
-                    out.loc[rows_ab.index, column] = _tiebreak_standard(own, other, int(i - fold), int(j - fold))
+        sets = (np.minimum(s1, need - 1), np.minimum(s2, need - 1))
+        for server in (1, 2):
+            won = table[*sets, _slot(g1 + 1, g2, rules), 3 - server, code]
+            lost = table[*sets, _slot(g1, g2 + 1, rules), 3 - server, code]
+            out[f"win{server}"][at] = np.where(over, result, won)
+            out[f"lose{server}"][at] = np.where(over, result, lost)
+        tied = (g1 == 6) & (g2 == 6)
+        if tied.any():
+            for row, pair in zip(at[tied], code[tied]):
+                if rules == "reference":
+                    breakers[row] = [breaker[1][pair], breaker[2][pair]]
+                else:
+                    breakers[row] = _tiebreak_grid(pa[pair], pb[pair])
+    out["breaker"] = breakers
     return out
 
 
-def score_points(df, rules="reference"):
-    """Add the three match-win probabilities of player 1, importance and an error reason.
+def _tiebreak_grid(pa, pb):
+    """Player 1's tiebreak chance for every score, starter 1 first: 2 x 9 x 9 numbers in one list."""
+    own, other = np.array([pa, 1 - pb]), np.array([1 - pb, pa])
+    cells = [_tiebreak_standard(own, other, i, j) for i in range(GRID) for j in range(GRID)]
+    return np.stack(cells, axis=1).ravel().tolist()
+
 
-    ``df`` carries the columns named in INPUTS plus match_id; rates are per player and
-    therefore constant inside a match. Rows with a missing input get nulls and a reason.
-    ``rules="reference"`` plays on from decided entry states, lets a 7-6 set continue,
-    serves tiebreaks in blocks of four and ignores tiebreak points; ``standard`` follows
-    the usual rules of the game.
+def with_game_values(states, rules="reference"):
+    """Add the value columns to a frame with one row per match state (or per game).
+
+    ``states`` carries the integers of STATE and the four rates. Rows are valued where
+    they are: Arrow batches, one vectorised recursion over the batch's distinct pairs.
     """
     if rules not in ("reference", "standard"):
         raise ValueError(f"unknown rules: {rules}")
-    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in INPUTS])
-    in_breaker = (F.col("p1_games_won") == 6) & (F.col("p2_games_won") == 6)
-    own_points = in_breaker & F.lit(rules == "standard")
-    ints = ["p1_sets_won", "p2_sets_won", "p1_games_won", "p2_games_won", "p1_points", "p2_points",
-            "point_server", "best_of"]
-    base = (
-        df.withColumns({c: F.col(c).cast("int") for c in ints})
-        .withColumn("error", missing)
-        .withColumns(
-            {
-                "_pa": point_win_prob("player1_serve_point_win_pct", "player2_return_point_win_pct"),
-                "_pb": point_win_prob("player2_serve_point_win_pct", "player1_return_point_win_pct"),
-                "tb_a": F.when(own_points, F.col("p1_points")).otherwise(0),
-                "tb_b": F.when(own_points, F.col("p2_points")).otherwise(0),
-            }
-        )
+    rated = states.withColumns(
+        {
+            "pa": point_win_prob("player1_serve_point_win_pct", "player2_return_point_win_pct"),
+            "pb": point_win_prob("player2_serve_point_win_pct", "player1_return_point_win_pct"),
+        }
     )
-    states = (
-        base.filter(F.col("error") == "")
-        .groupBy(*STATE)
-        .agg(F.max("_pa").alias("pa"), F.max("_pb").alias("pb"))
-        .repartition("match_id")
-        .sortWithinPartitions("match_id")
+    schema = T.StructType(
+        [*rated.schema.fields, *[T.StructField(v, T.DoubleType()) for v in VALUES],
+         T.StructField("breaker", T.ArrayType(T.DoubleType()))]
     )
 
     def value(batches):
-        for rows in batches:
-            if len(rows):
-                yield value_states(rows, rules)
+        for batch in batches:
+            rows = batch.select(["pa", "pb", *STATE[1:]]).to_pandas()
+            numbers = _numbers(rows, rules)
+            for name in VALUES:
+                batch = batch.append_column(name, pa_array(numbers[name]))
+            yield batch.append_column("breaker", pyarrow.array(numbers["breaker"], pyarrow.list_(pyarrow.float64())))
 
-    values = states.mapInPandas(value, VALUE_SCHEMA)
-    x, a, b = F.col("_x"), F.col("p1_points"), F.col("p2_points")
+    return rated.mapInArrow(value, schema)
 
-    def hold(i, j, breaker):
-        return F.when(in_breaker, F.col(breaker)).otherwise(game_win_prob(x, i, j, rules))
 
-    def chance(h):
-        return F.col(h) * F.col("v_win") + (1 - F.col(h)) * F.col("v_lose")
+def pa_array(values):
+    """A numpy vector as an Arrow array with NaN turned into null."""
+    return pyarrow.array(values, pyarrow.float64(), from_pandas=True)
 
-    # Each step is its own projection, so that shared inputs stay single columns.
-    scored = (
-        base.withColumn("_x", p1_point_chance(p1_serve="_pa", p2_serve="_pb"))
-        .join(values, STATE, "left")
-        .withColumns(
-            {
-                "_now": hold(a, b, "tb_now"),
-                "_up": hold(a + 1, b, "tb_if_p1"),
-                "_down": hold(a, b + 1, "tb_if_p2"),
-            }
+
+def _tiebreak_chance(i, j, rules):
+    """Lookup text for player 1's tiebreak chance at points (i, j)."""
+    if rules == "reference":
+        return "element_at(breaker, point_server)"
+    starter = "IF((p1_points + p2_points + 1) DIV 2 % 2 = 0, point_server, 3 - point_server)"
+    fold = f"GREATEST(LEAST({i}, {j}) - 6, 0) DIV 2 * 2"
+    cell = f"({starter} - 1) * {GRID * GRID} + (({i}) - {fold}) * {GRID} + (({j}) - {fold}) + 1"
+    over = f"GREATEST({i}, {j}) >= 7 AND ABS(({i}) - ({j})) >= 2"
+    return f"CASE WHEN {over} THEN IF(({i}) > ({j}), 1D, 0D) ELSE element_at(breaker, CAST({cell} AS INT)) END"
+
+
+def probabilities(df, rules="reference"):
+    """The three probabilities, importance and an error reason from value columns and points.
+
+    Every step is a projection of its own, so that shared inputs stay single columns.
+    """
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in INPUTS])
+    in_breaker = "p1_games_won = 6 AND p2_games_won = 6"
+    outcomes = {"before": (0, 0), "if_p1_wins": (1, 0), "if_p2_wins": (0, 1)}
+
+    def hold(i, j):
+        one, two = f"p1_points + {i}", f"p2_points + {j}"
+        return F.when(F.expr(in_breaker), F.expr(_tiebreak_chance(one, two, rules))).otherwise(
+            game_win_prob("_x", one, two, rules)
         )
+
+    first = {
+        "error": missing,
+        "_x": p1_point_chance(p1_serve="pa", p2_serve="pb"),
+        "_win": F.expr("IF(point_server = 1, win1, win2)"),
+        "_lose": F.expr("IF(point_server = 1, lose1, lose2)"),
+    }
+    scored = (
+        df.withColumns(first)
+        .withColumns({f"_{name}": hold(*step) for name, step in outcomes.items()})
         .withColumns(
-            {
-                "p1_win_prob_before": chance("_now"),
-                "p1_win_prob_if_p1_wins": chance("_up"),
-                "p1_win_prob_if_p2_wins": chance("_down"),
-            }
+            {f"p1_win_prob_{n}": F.expr(f"IF(error = '', _{n} * _win + (1 - _{n}) * _lose, NULL)") for n in outcomes}
         )
     )
-    swing = F.abs(F.col("p1_win_prob_if_p1_wins") - F.col("p1_win_prob_if_p2_wins"))
-    return scored.withColumn("importance", swing).drop(
-        "_pa", "_pb", "_x", "_now", "_up", "_down", "tb_a", "tb_b", "v_win", "v_lose", "tb_now", "tb_if_p1", "tb_if_p2"
-    )
+    swing = F.expr("abs(p1_win_prob_if_p1_wins - p1_win_prob_if_p2_wins)")
+    used = ["_x", "_win", "_lose", *[f"_{n}" for n in outcomes], *VALUES, "breaker", "pa", "pb"]
+    return scored.withColumn("importance", swing).drop(*used)
+
+
+def score_points(df, rules="reference"):
+    """Score any table of points: STATE, points in the game, server and the four rates.
+
+    Rates are per player and therefore constant inside a match, so the distinct states
+    are few; they are valued once and joined back. Rows with a missing input get nulls
+    and a reason. ``rules="reference"`` plays on from decided entry states, lets a 7-6
+    set continue, serves tiebreaks in blocks of four and ignores tiebreak points;
+    ``standard`` follows the usual rules of the game. ``plans.build`` values game rows
+    directly and needs no join.
+    """
+    ints = [*STATE[1:], "p1_points", "p2_points", "point_server"]
+    base = df.withColumns({c: F.col(c).cast("int") for c in ints})
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*STATE, *RATES])
+    states = base.filter(complete).groupBy(*STATE).agg(*[F.max(r).alias(r) for r in RATES])
+    values = with_game_values(states.repartition("match_id"), rules).drop(*RATES)
+    return probabilities(base.join(values, STATE, "left"), rules)
 
 
 def empirical_win_prob(log, state, won="p1_won_match"):

@@ -6,6 +6,7 @@ from rallyframe.functions.cleaning import cast_columns, drop_sentinels, numeric_
 from rallyframe.functions.ids import best_of, round_number
 from rallyframe.functions.names import initial_form
 from rallyframe.functions.scores import (
+    by_code,
     match_winner_before,
     points_stake,
     probability_deltas,
@@ -14,7 +15,7 @@ from rallyframe.functions.scores import (
 )
 from rallyframe.operators.players import attach_rates, player_rates, with_roles, with_serve_outcome
 from rallyframe.operators.state import rebuild_state
-from rallyframe.operators.winprob import score_points
+from rallyframe.operators.winprob import probabilities, with_game_values
 
 _RENAMES = {
     "SetNo": "set_no", "GameNo": "game_no", "PointNumber": "point_number", "PointWinner": "point_winner",
@@ -36,33 +37,31 @@ def point_log(raw_points, raw_matches, observation=None):
     return clean.join(players, "match_id", "left").drop("ElapsedTime")
 
 
-def prepared_log(points, tiebreak_at=6):
+def prepared_log(points, tiebreak_at=6, per_game=None):
     """Match state, labels, roles, rates and match facts for every point of a clean log."""
     rates = player_rates(with_serve_outcome(with_roles(points)))
     matches = points.select("match_id", "player1", "player2").distinct()
-    rated = attach_rates(matches, rates).drop("player1", "player2")
-    log = rebuild_state(points, tiebreak_at, match_columns=rated).withColumns(score_labels())
+    rated = attach_rates(matches, rates).drop("player1", "player2").withColumn("best_of", best_of())
+    log = rebuild_state(points, tiebreak_at, rated, per_game).withColumns(score_labels())
     log = with_serve_outcome(with_roles(log))
-    winner = F.when(F.col("match_winner_code") == 1, F.col("player1")).when(
-        F.col("match_winner_code") == 2, F.col("player2")
-    )
-    return log.withColumns({"match_winner": winner, "best_of": best_of(), "round": round_number()})
+    winner = by_code("match_winner_code", "player1", "player2")
+    return log.withColumns({"match_winner": winner, "round": round_number()})
 
 
-def scored_log(prepared, rules="reference", server_first=None):
-    """Attach stakes, probabilities, importance and deltas.
+def scored_log(points, rules="reference", server_first=None):
+    """Prepared log plus stakes, probabilities, importance and deltas, in one pass over the points.
 
+    Match values are computed on game rows and reach the points with the game join.
     ``server_first`` feeds the server's token as player 1's points, as the published
     numbers do; the default follows ``rules``: server-first for ``reference``, the
     players' own points for ``standard``.
     """
     if server_first is None:
         server_first = rules == "reference"
+    log = prepared_log(points, per_game=lambda games: with_game_values(games, rules))
     if server_first:
-        points = {"p1_points": token_points("server_token"), "p2_points": token_points("returner_token")}
+        own = {"p1_points": token_points("server_token"), "p2_points": token_points("returner_token")}
     else:
-        points = {"p1_points": F.col("p1_points_pre"), "p2_points": F.col("p2_points_pre")}
-    scored = score_points(prepared.withColumns({**points, "points_stake": points_stake()}), rules)
+        own = {"p1_points": F.col("p1_points_pre"), "p2_points": F.col("p2_points_pre")}
+    scored = probabilities(log.withColumns({**own, "points_stake": points_stake()}), rules)
     return scored.withColumns(probability_deltas()).withColumn("match_winner_prob_before", match_winner_before())
-
-

@@ -222,13 +222,13 @@ def point_model_columns(spark, sf):
             }
         )
     )
-    x, a, c = F.col("point_chance"), F.col("p1_points_pre"), F.col("p2_points_pre")
+    x, a, c = "point_chance", "p1_points_pre", "p2_points_pre"
     out = scored.withColumn("point_chance", p1_point_chance()).withColumns(
         {
             "hold_reference": game_win_prob(x, a, c),
-            "hold_if_p1": game_win_prob(x, a + 1, c),
-            "hold_if_p2": game_win_prob(x, a, c + 1),
-            "hold_standard": game_win_prob(x, a + 1, c, "standard"),
+            "hold_if_p1": game_win_prob(x, f"{a} + 1", c),
+            "hold_if_p2": game_win_prob(x, a, f"{c} + 1"),
+            "hold_standard": game_win_prob(x, f"{a} + 1", c, "standard"),
             "match_winner_prob_before": match_winner_before(),
             "winner_prob_before": winner_probability(),
             "p1_wp_delta_else": probability_deltas(other="two")["p1_wp_delta"],
@@ -301,7 +301,7 @@ FROM st GROUP BY 1, 2, 3, 4"""
 
 def _importance(rules):
     def run(spark, sf):
-        scored = scored_log(prepared_log(b.points(spark, sf)), rules)
+        scored = scored_log(b.points(spark, sf), rules)
         keep = [
             "p1_win_prob_before", "p1_win_prob_if_p1_wins", "p1_win_prob_if_p2_wins", "importance", "p1_wp_delta",
             "p2_wp_delta", "match_winner_prob_before",
