@@ -24,7 +24,6 @@ SETS_NEEDED = {"ATP": 3, "All": 3, "WTA": 2}
 # ---- keys ---------------------------------------------------------------
 GAME = ["match_id", "set_no", "game_no"]
 SET = ["match_id", "set_no"]
-POINT_ORDER = ["set_no", "game_no", "point_number"]
 
 # ---- schemas, as DDL ----------------------------------------------------
 
@@ -39,12 +38,4 @@ RAW_POINTS = (
     "PointWinner string, PointServer string, P1Score string, P2Score string, P1GamesWon string, "
     "P2GamesWon string, SetWinner string, P1PointsWon string, P2PointsWon string"
 )
-POINT_LOG = (
-    "match_id string, set_no int, game_no int, point_number bigint, point_winner int, "
-    "point_server int, tournament string, year int, player1 string, player2 string"
-)
-PLAYER_COUNTRIES = ("player string, country string")
-SCORES = (
-    "p1_win_prob_before double, p1_win_prob_if_p1_wins double, "
-    "p1_win_prob_if_p2_wins double, importance double"
-)
+PLAYER_COUNTRIES = "player string, country string"

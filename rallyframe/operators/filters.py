@@ -126,24 +126,26 @@ def with_player1_total(df, minimum=0, player="player1"):
     return df.join(totals.filter(F.col("total_points") >= minimum), player)
 
 
+def finished(top_sets, tour, sets_needed=None):
+    """Whether ``top_sets`` (the most sets a side has won) already ends a match of this tour."""
+    over = F.lit(False)
+    for name, limit in (sets_needed or SETS_NEEDED).items():
+        over = over | ((F.col(tour) == name) & (F.col(top_sets) >= limit))
+    return over
+
+
 def valid_matches(df, sets_needed=None):
     """Drop matches in which a side already reached the set count that ends a match of its tour."""
-    needed = sets_needed or SETS_NEEDED
-    top = F.greatest("p1_sets_won", "p2_sets_won")
-    tour = F.col("tour")
-    over = F.lit(False)
-    for name, limit in needed.items():
-        over = over | ((tour == name) & (F.col("_top") >= limit))
-    finished = (
+    over = (
         df.groupBy("match_id")
-        .agg(F.max(top).alias("_top"), F.min("tour").alias("tour"))
-        .filter(over)
+        .agg(F.max(F.greatest("p1_sets_won", "p2_sets_won")).alias("_top"), F.min("tour").alias("_tour"))
+        .filter(finished("_top", "_tour", sets_needed))
         .select("match_id")
     )
-    return df.join(finished, "match_id", "left_anti")
+    return df.join(over, "match_id", "left_anti")
 
 
-def with_high_pressure(df, percent=25, column="importance", role_min=None):
+def with_high_pressure(df, percent=25, column="importance"):
     """Flag points whose importance is in the top ``percent`` of ``df``."""
     threshold = exact_quantile(df, column, 1 - percent / 100)
     flag = F.col(column) >= F.lit(threshold) if threshold is not None else F.lit(False)

@@ -5,13 +5,15 @@ aggregate after it combines before the shuffle, so a player with a large share o
 points is no heavier than any other. Players masked out (null) are left aside.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rallyframe.constants import SCORE_POINTS
 from rallyframe.functions.ids import id_parts
 from rallyframe.functions.scores import by_code, winner_probability
-from rallyframe.operators.filters import valid_matches
+from rallyframe.operators.filters import finished
 from rallyframe.operators.ordered import average_percent_rank
+from rallyframe.session import materialise
 
 
 def per_player(df, *keep):
@@ -128,13 +130,24 @@ def pressure_report(df, min_points=0, min_ranking_points=200, min_share_points=0
 
 
 def unlikely_results(df, low=0.10, high=0.90, sets_needed=None):
-    """Matches won from at most ``low``, and lost from at least ``high``, per player."""
-    known = valid_matches(df.filter(F.col("match_winner").isNotNull()), sets_needed)
-    sides = per_player(known, "match_id")
+    """Matches won from at most ``low``, and lost from at least ``high``, per player.
+
+    Finished matches are recognised in the same aggregate that looks for the moments.
+    """
+    known = df.filter(F.col("match_winner").isNotNull())
+    known = known.withColumn("top_sets", F.greatest("p1_sets_won", "p2_sets_won"))
+    sides = per_player(known, "match_id", "tour", "top_sets")
     unlikely_win = F.col("is_winner") & (F.col("wp_before") <= low)
     unlikely_loss = ~F.col("is_winner") & (F.col("wp_before") >= high)
-    per_match = sides.groupBy("player", "match_id").agg(
-        F.max(unlikely_win.cast("int")).alias("win"), F.max(unlikely_loss.cast("int")).alias("loss")
+    per_match = (
+        sides.groupBy("player", "match_id")
+        .agg(
+            F.max(unlikely_win.cast("int")).alias("win"),
+            F.max(unlikely_loss.cast("int")).alias("loss"),
+            F.max("top_sets").alias("top_sets"),
+            F.min("tour").alias("tour"),
+        )
+        .filter(~finished("top_sets", "tour", sets_needed))
     )
     return (
         per_match.groupBy("player")
@@ -210,37 +223,47 @@ def expected_points_added(per_match):
     return per_match.groupBy("player").agg(F.sum("total_clutch_score").alias("expected_points_added"))
 
 
+def _consistency_columns():
+    return [
+        F.count("wp_delta").alias("total_points"),
+        F.avg("wp_before").alias("avg_wp"),
+        F.stddev_samp("wp_delta").alias("wp_delta_std"),
+    ]
+
+
+def _with_index(players, min_points):
+    spread, w = F.col("wp_delta_std"), F.col("weighted_consistency")
+    weighted = players.withColumn("consistency", F.when(spread > 0, F.col("avg_wp") / spread)).withColumn(
+        "weighted_consistency", F.col("consistency") * F.sqrt("total_points")
+    )
+    # Written once: the scale must come from the very numbers it is applied to, and the
+    # points need not be scanned a second time for it.
+    stored = materialise(weighted)
+    span = stored.agg(F.struct(F.min(w).alias("lo"), F.max(w).alias("hi")).alias("s")).scalar()
+    index = F.try_divide(w - span["lo"], span["hi"] - span["lo"])
+    return stored.withColumn("consistency_index", index).filter(F.col("total_points") >= min_points)
+
+
 def consistency(df, min_points=0):
     """Mean probability over its spread, weighted by the root of the points, scaled to 0..1.
 
     The scale spans all players; ``min_points`` only removes rows afterwards.
     """
-    spread = F.col("wp_delta_std")
-    players = (
-        per_player(df)
-        .groupBy("player")
-        .agg(
-            F.count("wp_delta").alias("total_points"),
-            F.avg("wp_before").alias("avg_wp"),
-            F.stddev_samp("wp_delta").alias("wp_delta_std"),
-        )
-        .withColumn("consistency", F.when(spread > 0, F.col("avg_wp") / spread))
-        .withColumn("weighted_consistency", F.col("consistency") * F.sqrt("total_points"))
-    )
-    # One row wide: a broadcast of two numbers per player count, not of the players.
-    span = players.agg(
-        F.struct(F.min("weighted_consistency").alias("lo"), F.max("weighted_consistency").alias("hi")).alias("s")
-    ).scalar()
-    w = F.col("weighted_consistency")
-    index = F.try_divide(w - span["lo"], span["hi"] - span["lo"])
-    return players.withColumn("consistency_index", index).filter(F.col("total_points") >= min_points)
+    return _with_index(per_player(df).groupBy("player").agg(*_consistency_columns()), min_points)
 
 
 def consistency_and_clutch(df, min_points=0):
-    """Consistency index next to expected points added and its percentile among the kept players."""
-    added = expected_points_added(clutch_by_match(df))
-    joined = consistency(df, min_points).join(added, "player")
-    return average_percent_rank(joined, "expected_points_added", "clutch_percentile")
+    """Consistency index next to expected points added and its percentile among the kept players.
+
+    Both come from one aggregate: points added are the same clutch sums per player.
+    """
+    clutch = F.col("wp_delta") * F.col("importance") * F.col("points_stake")
+    players = (
+        per_player(df, "importance", "points_stake")
+        .groupBy("player")
+        .agg(*_consistency_columns(), F.sum(clutch).alias("expected_points_added"))
+    )
+    return average_percent_rank(_with_index(players, min_points), "expected_points_added", "clutch_percentile")
 
 
 def swings(df):
@@ -271,12 +294,10 @@ def swing_scenarios(top):
 
     ``top`` is the short result of ``top_swings``; the position label counts from 0.
     """
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.orderBy(F.desc("abs_swing"), "match_id", "point_number")) - 1
-    text = lambda *cols: [F.col(c).cast("string") for c in cols]
-    sets = F.concat_ws("-", *text("p1_sets_won", "p2_sets_won"))
-    games = F.concat_ws("-", *text("p1_games_won", "p2_games_won"))
+    sets, games = (
+        F.concat_ws("-", *[F.col(f"p{p}_{level}_won").cast("string") for p in (1, 2)]) for level in ("sets", "games")
+    )
     outcomes = ["p1_win_prob_if_p1_wins", "p1_win_prob_if_p2_wins"]
     labelled = top.withColumns(
         {
@@ -304,18 +325,23 @@ def swing_scenarios(top):
 
 
 def top_upsets(df, n=10, sets_needed=None):
-    """The winner's lowest point of each match, and the n lowest of all."""
-    known = valid_matches(df.filter(F.col("match_winner").isNotNull()), sets_needed)
-    rest = [c for c in known.columns if c != "match_id"]
+    """The winner's lowest point of each unfinished match, and the n lowest of all.
+
+    One aggregate per match finds the row and the sets reached; no group is sorted.
+    """
+    rest = [c for c in df.columns if c not in ("match_id", "tour")]
+    row = F.struct("winner_prob_before", *rest)
     lowest = (
-        known.withColumn("winner_prob_before", winner_probability())
+        df.filter(F.col("match_winner").isNotNull())
+        .withColumn("winner_prob_before", winner_probability())
         .groupBy("match_id")
         .agg(
-            F.min_by(
-                F.struct("winner_prob_before", *rest), F.struct("winner_prob_before", "point_number")
-            ).alias("_row")
+            F.min_by(row, F.struct("winner_prob_before", "point_number")).alias("_row"),
+            F.max(F.greatest("p1_sets_won", "p2_sets_won")).alias("_top"),
+            F.min("tour").alias("tour"),
         )
-        .select("match_id", "_row.*")
+        .filter(~finished("_top", "tour", sets_needed))
+        .select("match_id", "tour", "_row.*")
         .withColumns(id_parts("match_id"))
     )
     return top_rows(lowest, "winner_prob_before", ["match_id"], n, ascending=True)

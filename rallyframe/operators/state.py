@@ -8,7 +8,7 @@ back on the same game key, so no second exchange of the points is needed.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rallyframe.constants import GAME, POINT_ORDER, SET
+from rallyframe.constants import GAME, SET
 from rallyframe.operators.ordered import (
     MAX_GROUP_ROWS,
     hot_groups,
@@ -73,7 +73,9 @@ def game_table(points):
     sets = games.groupBy(*SET).agg(
         F.sum("p1_game_won").alias("_g1"),
         F.sum("p2_game_won").alias("_g2"),
-        F.max_by("last_winner", "game_no").alias("_set_last"),
+        # Ordering by both columns keeps this branch identical to the game rows, so that
+        # Spark reuses their exchange instead of aggregating the points again.
+        F.max_by("last_winner", F.struct("game_no", "last_point")).alias("_set_last"),
     )
     in_match = _before(["match_id"], "set_no")
     whole = Window.partitionBy("match_id").orderBy("set_no").rowsBetween(
@@ -156,9 +158,13 @@ def sets_by_start(points, key="match_id", max_rows=MAX_GROUP_ROWS):
 
 
 def match_winner_codes(points):
-    """Winner code of each match: who won its last point. An aggregate, so any match size is fine."""
-    return points.groupBy("match_id").agg(
-        F.max_by("point_winner", F.struct(*POINT_ORDER)).alias("match_winner_code")
+    """Winner code of each match: who won the last point of its last game.
+
+    Two combining aggregates; the first, over the points, is hash-based.
+    """
+    games = points.groupBy(*GAME).agg(F.max_by("point_winner", "point_number").alias("_last"))
+    return games.groupBy("match_id").agg(
+        F.max_by("_last", F.struct("set_no", "game_no")).alias("match_winner_code")
     )
 
 

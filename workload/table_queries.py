@@ -203,7 +203,10 @@ SELECT row_number() OVER (ORDER BY player) AS player_id, player, tour, serve_pct
 
 
 def star_join_results(spark, sf):
-    log = _star_log(spark, sf)
+    # The scored log is written once, by year, and every table of the star reads it from there.
+    stored = scratch_path(spark, "scored")
+    writers.write_parquet(_star_log(spark, sf), stored)
+    log = readers.read_parquet(spark, stored)
     names = _variant_map(log)
     chosen = Filters(years=(2021, 2023, 2024), tour="ATP", tournament="All", status="Active")
     joined = star.star_join(
