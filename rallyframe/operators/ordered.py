@@ -6,7 +6,9 @@ cutting the ordered rows into blocks, scanning each block on its own, and adding
 the blocks before it contributed. Results are exact whatever the cut is.
 """
 
-from pyspark.sql import Window
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.session import materialise
@@ -15,29 +17,62 @@ MAX_GROUP_ROWS = 1_000_000
 MAX_HOT_GROUPS = 4096
 
 
-def hot_groups(df, keys, position, max_rows=MAX_GROUP_ROWS):
-    """Groups too large for one task, with their extent along ``position``.
+@dataclass(frozen=True)
+class Groups:
+    """A frame to be scanned in order per ``keys``, with its too-large groups cut in chunks.
 
-    A group is hot above ``max_rows`` and above 1/4096 of all rows, so there can never
-    be more than 4096 of them, nor more than 8192 chunks: small enough to broadcast.
+    ``hot`` is None while every group fits one task; then the scans are plain windows.
+    Otherwise it lists the groups that do not, and ``df`` carries ``chunk`` (0 outside hot
+    groups, monotone in the position inside) and ``is_hot``.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    limit = F.greatest(F.lit(max_rows).cast("double"), total / F.lit(float(MAX_HOT_GROUPS)))
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(position).alias("_lo"),
-        F.max(position).alias("_hi"),
-    )
-    return sizes.filter(F.col("_n") > limit).select(
-        *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"), "_lo", "_hi"
-    )
+
+    df: DataFrame
+    keys: tuple
+    hot: DataFrame | None = None
+
+    @property
+    def part(self):
+        return [*self.keys] if self.hot is None else [*self.keys, "chunk"]
+
+    def rows(self):
+        return self.df if self.hot is None else self.df.drop("chunk", "is_hot")
+
+    def join_groups(self, table):
+        """Join a table with one row per group, along the exchange the scans already used."""
+        if self.hot is None:
+            return replace(self, df=self.df.join(table, [*self.keys], "left"))
+        parts = F.coalesce(F.col("_parts"), F.lit(1))
+        repeated = (
+            table.join(F.broadcast(self.hot.select(*self.keys, "_parts")), [*self.keys], "left")
+            .withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1)))
+            .drop("_parts")
+        )
+        return replace(self, df=self.df.join(repeated, self.part, "left"))
 
 
-def with_chunks(df, hot, keys, position):
-    """Add ``chunk`` (0 outside hot groups, monotone in ``position`` inside) and ``is_hot``."""
+def ordered_groups(df, keys, position, max_rows=MAX_GROUP_ROWS):
+    """Look at the group sizes (one combining aggregate) and cut the groups that need it.
+
+    A group is hot above ``max_rows`` and above 1/4096 of all rows. So there are never more
+    than 4096 of them, nor more than 8192 chunks, and their list is safe to broadcast.
+    ``position`` is an integer column that follows the order inside a group.
+    """
+    keys = tuple(keys)
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi")
+    )
+    seen = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
+    if not seen["total"] or seen["largest"] <= max_rows:
+        return Groups(df, keys)
+    limit = max(max_rows, -(-seen["total"] // MAX_HOT_GROUPS))
+    large = sizes.filter(F.col("_n") > limit).withColumn("_parts", F.ceil(F.col("_n") / limit).cast("int")).drop("_n")
+    rows = large.collect()
+    if not rows:
+        return Groups(df, keys)
+    hot = df.sparkSession.createDataFrame(rows, large.schema)
     share = (F.col(position) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    return (
-        df.join(F.broadcast(hot), keys, "left")
+    cut = (
+        df.join(F.broadcast(hot), [*keys], "left")
         .withColumns(
             {
                 "chunk": F.coalesce(F.floor(share * F.col("_parts")).cast("int"), F.lit(0)),
@@ -46,72 +81,62 @@ def with_chunks(df, hot, keys, position):
         )
         .drop("_parts", "_lo", "_hi")
     )
+    return Groups(cut, keys, hot)
 
 
-def repeat_for_chunks(df, hot, keys):
-    """Repeat a row per group once per chunk, so it can be joined on keys + chunk."""
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    return (
-        df.join(F.broadcast(hot.select(*keys, "_parts")), keys, "left")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
-    )
-
+def running_sums(groups, order, sums, inclusive=False):
+    """Running totals per group in ``order``; ``sums`` maps output name to the column added up.
 
-def running_sums(df, keys, order, sums, inclusive=False):
-    """Running totals per ``keys`` in ``order``; ``df`` carries ``chunk`` and ``is_hot``.
-
-    ``sums`` maps output name to the column added up. Totals of earlier chunks come from
-    an aggregate over hot rows only, so ordinary groups pay nothing for it.
+    Totals of earlier chunks come from an aggregate over hot rows only.
     """
-    part = [*keys, "chunk"]
-    end = 0 if inclusive else -1
-    local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    flags = {f"_f_{name}": column.cast("bigint") for name, column in sums.items()}
-    tagged = df.withColumns(flags)
-    carried = (
-        tagged.filter("is_hot")
-        .groupBy(*part)
-        .agg(*[F.sum(f"_f_{n}").alias(f"_t_{n}") for n in sums])
-        .select(*part, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
-        .filter(F.col("chunk") > 0)
-    )
-    out = tagged.join(F.broadcast(carried), part, "left")
     zero = F.lit(0).cast("bigint")
-    return out.withColumns(
-        {
-            n: F.coalesce(F.sum(f"_f_{n}").over(local), zero) + F.coalesce(f"_c_{n}", zero)
-            for n in sums
-        }
-    ).drop(*flags, *[f"_c_{n}" for n in sums])
-
-
-def previous_values(df, keys, order, columns):
-    """Value of the previous row per ``keys``: ``columns`` maps output to (input, default)."""
-    part = [*keys, "chunk"]
-    local = Window.partitionBy(*part).orderBy(*order)
+    window = (
+        Window.partitionBy(*groups.part)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    )
+    flags = {f"_f_{name}": column.cast("bigint") for name, column in sums.items()}
+    df = groups.df.withColumns(flags)
+    extra = {name: zero for name in sums}
+    if groups.hot is not None:
+        before = Window.partitionBy(*groups.keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            df.filter("is_hot")
+            .groupBy(*groups.part)
+            .agg(*[F.sum(f"_f_{n}").alias(f"_t_{n}") for n in sums])
+            .select(*groups.part, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
+            .filter(F.col("chunk") > 0)
+        )
+        df = df.join(F.broadcast(carried), groups.part, "left")
+        extra = {name: F.coalesce(f"_c_{name}", zero) for name in sums}
+    totals = {n: F.coalesce(F.sum(f"_f_{n}").over(window), zero) + extra[n] for n in sums}
+    return replace(groups, df=df.withColumns(totals).drop(*flags, *[f"_c_{n}" for n in sums]))
+
+
+def previous_values(groups, order, columns):
+    """Value of the previous row per group: ``columns`` maps output to (input, default)."""
+    window = Window.partitionBy(*groups.part).orderBy(*order)
+    lags = {name: F.lag(src, 1, default).over(window) for name, (src, default) in columns.items()}
+    if groups.hot is None:
+        return replace(groups, df=groups.df.withColumns(lags))
     sources = list(dict.fromkeys(src for src, _ in columns.values()))
     tails = (
-        df.filter("is_hot")
-        .groupBy(*part)
+        groups.df.filter("is_hot")
+        .groupBy(*groups.part)
         .agg(F.max_by(F.struct(*sources), F.struct(*order)).alias("_tail"))
-        .select(*part, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("chunk")).alias("_tail"))
+        .select(
+            *groups.part, F.lag("_tail").over(Window.partitionBy(*groups.keys).orderBy("chunk")).alias("_tail")
+        )
         .filter(F.col("_tail").isNotNull())
     )
-    joined = df.join(F.broadcast(tails), part, "left").withColumn("_rn", F.row_number().over(local))
-    first = F.col("_rn") == 1
-
-    def previous(src, default):
-        value = F.when(first, F.col(f"_tail.{src}")).otherwise(F.lag(src).over(local))
-        if default is None:
-            return value
-        start = first & F.col("_tail").isNull()
-        return F.when(start, F.lit(default)).otherwise(value)
-
-    return joined.withColumns(
-        {name: previous(src, default) for name, (src, default) in columns.items()}
-    ).drop("_tail", "_rn")
+    # The first row of a later chunk follows the last row of the chunk before it.
+    continues = (F.row_number().over(window) == 1) & F.col("_tail").isNotNull()
+    joined = groups.df.join(F.broadcast(tails), groups.part, "left").withColumn("_continues", continues)
+    values = {
+        name: F.when(F.col("_continues"), F.col(f"_tail.{src}")).otherwise(lags[name])
+        for name, (src, _) in columns.items()
+    }
+    return replace(groups, df=joined.withColumns(values).drop("_tail", "_continues"))
 
 
 def _range_blocks(df, order):

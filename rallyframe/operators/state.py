@@ -5,18 +5,13 @@ summaries (one row per game, produced by a combining aggregate), and the result
 back on the same game key, so no second exchange of the points is needed.
 """
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rallyframe.constants import GAME, SET
-from rallyframe.operators.ordered import (
-    MAX_GROUP_ROWS,
-    hot_groups,
-    previous_values,
-    repeat_for_chunks,
-    running_sums,
-    with_chunks,
-)
+from rallyframe.operators.ordered import MAX_GROUP_ROWS, ordered_groups, previous_values, running_sums
 
 
 def _before(keys, order):
@@ -34,23 +29,17 @@ def _won(mine, other):
 
 def running_points(points, max_rows=MAX_GROUP_ROWS):
     """Points of both sides in the current game, before each point and including it."""
-    hot = hot_groups(points, GAME, "point_number", max_rows)
-    return _running_points(with_chunks(points, hot, GAME, "point_number")).drop("chunk", "is_hot")
+    return _running_points(points, max_rows).rows()
 
 
-def _running_points(chunked):
+def _running_points(points, max_rows):
     flags = {
-        "p1_points_pre": F.col("point_winner") == 1,
-        "p2_points_pre": F.col("point_winner") == 2,
+        f"p{p}_points_pre": F.coalesce((F.col("point_winner") == p).cast("int"), F.lit(0)) for p in (1, 2)
     }
-    flags = {n: F.coalesce(c.cast("int"), F.lit(0)) for n, c in flags.items()}
-    out = running_sums(chunked, GAME, ["point_number"], flags)
-    return out.withColumns({n: F.col(n).cast("int") for n in flags}).withColumns(
-        {
-            "p1_points_run": F.col("p1_points_pre") + flags["p1_points_pre"],
-            "p2_points_run": F.col("p2_points_pre") + flags["p2_points_pre"],
-        }
-    )
+    groups = running_sums(ordered_groups(points, GAME, "point_number", max_rows), ["point_number"], flags)
+    typed = {n: F.col(n).cast("int") for n in flags}
+    including = {n.replace("_pre", "_run"): F.col(n).cast("int") + flag for n, flag in flags.items()}
+    return replace(groups, df=groups.df.withColumns({**typed, **including}))
 
 
 def game_table(points):
@@ -96,25 +85,24 @@ def rebuild_state(points, tiebreak_at=6, match_columns=None, per_game=None, max_
     ``match_columns`` (one row per match_id) and whatever ``per_game`` adds to the game
     rows ride along to the points, which saves further exchanges of the points.
     """
-    hot = hot_groups(points, GAME, "point_number", max_rows)
-    chunked = _running_points(with_chunks(points, hot, GAME, "point_number"))
+    groups = _running_points(points, max_rows)
     games = game_table(points)
     if match_columns is not None:
         games = games.join(match_columns, "match_id", "left")
     if per_game is not None:
         games = per_game(games)
-    games = repeat_for_chunks(games, hot, GAME)
     level = F.lit(tiebreak_at)
     tiebreak = (F.col("p1_games_won") == level) & (F.col("p2_games_won") == level)
     last_point = F.col("point_number") == F.col("last_point")
     return (
-        chunked.join(games, [*GAME, "chunk"], "left")
+        groups.join_groups(games)
+        .rows()
         .withColumn("is_tiebreak", tiebreak)
         .withColumn(
             "game_win",
             F.when(F.col("is_tiebreak"), F.col("last_winner")).when(last_point, F.col("point_winner")),
         )
-        .drop("chunk", "is_hot", "last_point", "last_winner")
+        .drop("last_point", "last_winner")
     )
 
 
@@ -128,33 +116,21 @@ def set_columns(state, sets=5):
     return state.withColumns(columns)
 
 
-def lagged_state(points, columns, key="match_id", max_rows=MAX_GROUP_ROWS):
-    """State carried by the log itself, moved to the next point: previous row's values.
+def carried_state(points, columns=None, key="match_id", max_rows=MAX_GROUP_ROWS):
+    """State the log itself carries, moved to the next point, and sets counted by set starts.
 
-    ``columns`` maps output name to (input name, value for the first point).
+    ``columns`` maps output name to (input name, value for the first point). Where the set
+    number rises, the set goes to the winner of the previous point.
     """
-    hot = hot_groups(points, [key], "point_number", max_rows)
-    chunked = with_chunks(points, hot, [key], "point_number")
-    return previous_values(chunked, [key], ["point_number"], columns).drop("chunk", "is_hot")
-
-
-def sets_by_start(points, key="match_id", max_rows=MAX_GROUP_ROWS):
-    """Sets before each point, credited to the previous point's winner where the set number rises."""
-    hot = hot_groups(points, [key], "point_number", max_rows)
-    chunked = with_chunks(points, hot, [key], "point_number")
-    before = previous_values(
-        chunked,
-        [key],
-        ["point_number"],
-        {"prev_set_no": ("set_no", None), "prev_point_winner": ("point_winner", None)},
-    )
+    lags = {**(columns or {}), "prev_set_no": ("set_no", None), "prev_point_winner": ("point_winner", None)}
+    order = ["point_number"]
+    groups = previous_values(ordered_groups(points, [key], "point_number", max_rows), order, lags)
     rises = F.coalesce(F.col("set_no") > F.col("prev_set_no"), F.lit(False))
     credit = {
-        f"p{p}_sets_by_start": F.when(rises & (F.col("prev_point_winner") == p), 1).otherwise(0)
-        for p in (1, 2)
+        f"p{p}_sets_by_start": F.when(rises & (F.col("prev_point_winner") == p), 1).otherwise(0) for p in (1, 2)
     }
-    out = running_sums(before, [key], ["point_number"], credit, inclusive=True)
-    return out.withColumn("new_set_start", rises.cast("int")).drop("chunk", "is_hot")
+    out = running_sums(groups, order, credit, inclusive=True).rows()
+    return out.withColumn("new_set_start", rises.cast("int"))
 
 
 def match_winner_codes(points):

@@ -48,32 +48,36 @@ def test_row_ids_follow_a_total_order(spark):
     assert sorted(tuple(r) for r in got) == [(i + 1, i) for i in range(1000)]
 
 
-def chunked(spark, max_rows):
+def grouped(spark, max_rows):
     rows = [("hot", i, i % 3 == 0) for i in range(500)] + [(f"m{i % 20}", 1000 + i, i % 2 == 0) for i in range(100)]
     random.Random(3).shuffle(rows)
     df = spark.createDataFrame(rows, "k string, pos bigint, flag boolean")
-    hot = ordered.hot_groups(df, ["k"], "pos", max_rows)
-    return df, hot, ordered.with_chunks(df, hot, ["k"], "pos")
+    return df, ordered.ordered_groups(df, ["k"], "pos", max_rows)
 
 
 @pytest.mark.parametrize("max_rows", [20, 10_000])
 @pytest.mark.parametrize("inclusive", [False, True])
 def test_running_sums_do_not_depend_on_chunks(spark, max_rows, inclusive):
-    df, hot, tagged = chunked(spark, max_rows)
-    got = ordered.running_sums(tagged, ["k"], ["pos"], {"n": F.col("flag").cast("int")}, inclusive)
+    df, groups = grouped(spark, max_rows)
+    got = ordered.running_sums(groups, ["pos"], {"n": F.col("flag").cast("int")}, inclusive).rows()
     frame = df.toPandas().sort_values(["k", "pos"])
     frame["n"] = frame.groupby("k")["flag"].cumsum() - (0 if inclusive else frame["flag"].astype(int))
     assert sorted(tuple(r) for r in got.select("k", "pos", "n").collect()) == sorted(
         frame[["k", "pos", "n"]].itertuples(index=False, name=None)
     )
-    chunks = tagged.filter("k = 'hot'").agg(F.count_distinct("chunk")).first()[0]
-    assert chunks == (25 if max_rows == 20 else 1)
+
+
+def test_only_large_groups_are_cut(spark):
+    _, groups = grouped(spark, 20)
+    counts = dict(groups.df.groupBy("k").agg(F.count_distinct("chunk")).collect())
+    assert counts.pop("hot") == 25 and set(counts.values()) == {1}
+    assert grouped(spark, 10_000)[1].hot is None
 
 
 @pytest.mark.parametrize("max_rows", [20, 10_000])
 def test_previous_values_cross_chunk_boundaries(spark, max_rows):
-    df, _, tagged = chunked(spark, max_rows)
-    got = ordered.previous_values(tagged, ["k"], ["pos"], {"before": ("pos", -1), "raw": ("pos", None)})
+    df, groups = grouped(spark, max_rows)
+    got = ordered.previous_values(groups, ["pos"], {"before": ("pos", -1), "raw": ("pos", None)}).rows()
     frame = df.toPandas().sort_values(["k", "pos"])
     frame["before"] = frame.groupby("k")["pos"].shift(1).fillna(-1).astype(int)
     assert sorted(tuple(r) for r in got.select("k", "pos", "before").collect()) == sorted(
@@ -82,6 +86,13 @@ def test_previous_values_cross_chunk_boundaries(spark, max_rows):
     assert got.filter("raw IS NULL").count() == df.select("k").distinct().count()
 
 
-def test_hot_groups_are_few(spark):
+def test_group_rows_reach_every_chunk(spark):
+    df, groups = grouped(spark, 20)
+    table = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    joined = groups.join_groups(table).rows()
+    assert joined.count() == df.count() and joined.filter("n IS NULL").count() == 0
+
+
+def test_a_group_must_hold_a_share_of_the_rows_to_be_cut(spark):
     df = spark.range(10_000).select((F.col("id") % 5000).alias("k"), F.col("id").alias("pos"))
-    assert ordered.hot_groups(df, ["k"], "pos", max_rows=2).count() == 0
+    assert ordered.ordered_groups(df, ["k"], "pos", max_rows=1).hot is None

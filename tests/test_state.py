@@ -70,13 +70,13 @@ def test_set_columns_include_the_current_game(spark):
 
 def test_sets_by_start_credits_the_previous_point(spark, rows):
     log = Log().game(1, 1, "1112").game(2, 1, "11").game(3, 1, "2").frame(spark)
-    got = rows(st.sets_by_start(log), "point_number", "new_set_start", "p1_sets_by_start", "p2_sets_by_start")
+    got = rows(st.carried_state(log), "point_number", "new_set_start", "p1_sets_by_start", "p2_sets_by_start")
     assert got == [(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 0, 0, 0), (5, 1, 0, 1), (6, 0, 0, 1), (7, 1, 1, 1)]
 
 
 def test_lag_orders_numbers_not_text(spark, rows):
     log = Log().game(1, 1, "1" * 12).frame(spark).withColumn("game_no", F.col("point_number").cast("int"))
-    got = rows(st.lagged_state(log, {"prev": ("game_no", 0)}), "point_number", "prev")
+    got = rows(st.carried_state(log, {"prev": ("game_no", 0)}), "point_number", "prev")
     assert sorted(got) == [(i, i - 1) for i in range(1, 13)]
 
 

@@ -8,12 +8,11 @@ from rallyframe.functions.ids import best_of, id_parts, is_best_of_five, round_n
 from rallyframe.functions.scores import score_labels, swap_for_server
 from rallyframe.operators.filters import valid_matches
 from rallyframe.operators.state import (
-    lagged_state,
+    carried_state,
     last_rows,
     rebuild_state,
     running_points,
     set_columns,
-    sets_by_start,
     with_match_winner,
 )
 from workload import bindings as b
@@ -67,7 +66,7 @@ def state_lag_set_start(spark, sf):
     lags = {
         "set_no_pre": ("set_no", 1), "game_no_pre": ("game_no", 0), "token_pre": ("event_type", "0"),
     }
-    out = sets_by_start(lagged_state(log, lags))
+    out = carried_state(log, lags)
     return out.select(*KEY, *lags, "new_set_start", "p1_sets_by_start", "p2_sets_by_start")
 
 
