@@ -21,6 +21,7 @@ from rallyframe.operators.state import rebuild_state, with_match_winner
 from rallyframe.operators.winprob import empirical_win_prob
 from rallyframe.plans.build import prepared_log, scored_log
 from workload import bindings as b
+from workload.importance_oracle import importance_sql
 
 SCORES = f"WITH {b.SCORES_SQL}"
 KEY = [*GAME, "point_number"]
@@ -28,11 +29,12 @@ KEY_SQL = "match_id, set_no, game_no, point_number"
 
 
 def rounded(df, *columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Rounded columns; adding zero turns a rounded -0.0 into 0.0."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
 def _r(expression, name=None, digits=6):
-    return f"round({expression}, {digits}) AS {name or expression}"
+    return f"round({expression}, {digits}) + 0e0 AS {name or expression}"
 
 
 # ---- players ------------------------------------------------------------
@@ -272,10 +274,11 @@ def _hold_sql(a, c, rules="reference"):
     return f"CASE {' '.join(cases)} END"
 
 
-POINT_MODEL_COLUMNS = f"""{SCORES}, {_RATES_SQL}, {b.state_sql('s')}, {b.LABELS_SQL},
+_MODEL_SQL = f"""{SCORES}, {_RATES_SQL}, {b.state_sql('s')}, {b.LABELS_SQL},
 x0 AS (SELECT lb.*, (a.sp + (1 - c.rp)) * 5e-1 AS p1_serve_prob, (c.sp + (1 - a.rp)) * 5e-1 AS p2_serve_prob
   FROM lb JOIN rates a ON a.player = lb.player1 JOIN rates c ON c.player = lb.player2),
-x1 AS (SELECT *, CASE WHEN point_server = 1 THEN p1_serve_prob ELSE 1 - p2_serve_prob END AS x, p1_points_pre AS i, p2_points_pre AS j FROM x0)
+x1 AS (SELECT *, CASE WHEN point_server = 1 THEN p1_serve_prob ELSE 1 - p2_serve_prob END AS x, p1_points_pre AS i, p2_points_pre AS j FROM x0)"""
+POINT_MODEL_COLUMNS = f"""{_MODEL_SQL}
 SELECT match_id, point_number,
   CAST(CASE server_token WHEN '15' THEN 1 WHEN '30' THEN 2 WHEN '40' THEN 3 WHEN 'AD' THEN 4 ELSE 0 END AS INT) AS p1_points,
   CAST(CASE returner_token WHEN '15' THEN 1 WHEN '30' THEN 2 WHEN '40' THEN 3 WHEN 'AD' THEN 4 ELSE 0 END AS INT) AS p2_points,
@@ -283,7 +286,7 @@ SELECT match_id, point_number,
   {_r(_hold_sql('i', 'j'), 'hold_reference')}, {_r(_hold_sql('(i + 1)', 'j'), 'hold_if_p1')}, {_r(_hold_sql('i', '(j + 1)'), 'hold_if_p2')},
   {_r(_hold_sql('(i + 1)', 'j', 'standard'), 'hold_standard')},
   {_r("CASE WHEN match_winner = player1 THEN p1_win_prob_before ELSE p1_win_prob_if_p2_wins END", 'match_winner_prob_before')},
-  round(round(CASE WHEN match_winner = player1 THEN p1_win_prob_before ELSE 1 - p1_win_prob_before END, 5), 6) AS winner_prob_before,
+  round(round(CASE WHEN match_winner = player1 THEN p1_win_prob_before ELSE 1 - p1_win_prob_before END, 5), 6) + 0e0 AS winner_prob_before,
   {_r('p1_wp_delta')}, {_r('p2_wp_delta')}, {_r('p1_wp_delta', 'p1_wp_delta_else')}, {_r('importance * points_stake', 'weighted_importance')}
 FROM x1"""
 
@@ -403,7 +406,7 @@ k AS (SELECT player, avg(a) AS a, avg(h) AS h, sum(n) AS n, sum(hn) AS hn, avg(h
 sh AS (SELECT player, sum(CASE WHEN is_hp THEN 1 ELSE 0 END) AS hn, count(*) AS n FROM (SELECT player1 AS player, is_hp FROM hp UNION ALL SELECT player2, is_hp FROM hp) GROUP BY 1),
 t AS (SELECT player1 AS player, count(*) AS total_points FROM s GROUP BY 1)
 SELECT k.player, {_r('k.a', 'win_pct_all')}, {_r('k.h', 'win_pct_hp')}, CAST(k.n AS BIGINT) AS role_points, CAST(k.hn AS BIGINT) AS high_pressure_points,
-  {_r('k.d', 'clutch_delta')}, k.tour, CASE WHEN sh.hn >= 30 THEN round(sh.hn / sh.n, 6) END AS high_pressure_pct, t.total_points
+  {_r('k.d', 'clutch_delta')}, k.tour, CASE WHEN sh.hn >= 30 THEN round(sh.hn / sh.n, 6) + 0e0 END AS high_pressure_pct, t.total_points
 FROM k LEFT JOIN sh ON sh.player = k.player JOIN t ON t.player = k.player WHERE t.total_points >= 200"""
 
 
@@ -531,8 +534,8 @@ QUERIES = {
     "player_point_totals": (player_point_totals, PLAYER_POINT_TOTALS),
     "point_model_columns": (point_model_columns, POINT_MODEL_COLUMNS),
     "empirical_win_prob": (empirical, EMPIRICAL),
-    "point_importance": (_importance("reference"), None),
-    "point_importance_standard": (_importance("standard"), None),
+    "point_importance": (_importance("reference"), importance_sql(_MODEL_SQL, _hold_sql, "reference")),
+    "point_importance_standard": (_importance("standard"), importance_sql(_MODEL_SQL, _hold_sql, "standard")),
     "clutch_by_match": (clutch_by_match, CLUTCH_BY_MATCH),
     "clutch_by_player": (clutch_by_player, CLUTCH_BY_PLAYER),
     "epa_by_player": (_epa(False), _epa_sql("DESC")),
