@@ -45,9 +45,12 @@ def _running_points(points, max_rows):
 def game_table(points):
     """One row per game: points and winner, games and sets before it, winner of its match."""
     by_number = F.col("point_number")
-    games = points.groupBy(*GAME).agg(
-        F.count_if(F.col("point_winner") == 1).alias("_p1"),
-        F.count_if(F.col("point_winner") == 2).alias("_p2"),
+    # Rows without a full key match no game; leaving them out here keeps both uses of the
+    # game rows below on one and the same exchange.
+    keyed = points.filter(" AND ".join(f"{k} IS NOT NULL" for k in GAME))
+    games = keyed.groupBy(*GAME).agg(
+        F.count(F.when(F.col("point_winner") == 1, 1)).alias("_p1"),
+        F.count(F.when(F.col("point_winner") == 2, 1)).alias("_p2"),
         F.max(by_number).alias("last_point"),
         F.max_by("point_winner", by_number).alias("last_winner"),
     )

@@ -29,6 +29,12 @@ VALUES = ["win1", "lose1", "win2", "lose2"]
 GRID = 9  # tiebreak scores 0..8 per side; longer ones fold back
 
 
+def _settled(up, down):
+    """Chance to be the one who breaks a level score; one half when nobody ever would."""
+    total = up + down
+    return np.divide(up, total, out=np.full_like(total, 0.5), where=total > 0)
+
+
 def _game_from_love(x):
     y = 1 - x
     return x**4 * (1 + 4 * y + 10 * y * y) + 20 * (x * y) ** 3 * x * x / (x * x + y * y)
@@ -65,8 +71,7 @@ def _tiebreak_standard(own, other, a, b):
     def serve(n):
         return own if ((n + 1) // 2) % 2 == 0 else other
 
-    both, none = own * other, (1 - own) * (1 - other)
-    level = both / (both + none)
+    level = _settled(own * other, (1 - own) * (1 - other))
 
     def value(i, j):
         if max(i, j) >= 7 and abs(i - j) >= 2:
@@ -109,7 +114,7 @@ def _value_table(pa, pb, need, rules):
     else:
         breaker = {1: _tiebreak_standard(pa, 1 - pb, 0, 0), 2: _tiebreak_standard(1 - pb, pa, 0, 0)}
     table = np.zeros((need, need, 54, 3, len(pa)))
-    both, none = game[1] * game[2], (1 - game[1]) * (1 - game[2])
+    ahead = _settled(game[1] * game[2], (1 - game[1]) * (1 - game[2]))
     for s1 in reversed(range(need)):
         for s2 in reversed(range(need)):
             v = table[s1, s2]
@@ -117,7 +122,7 @@ def _value_table(pa, pb, need, rules):
                 v[WON, server] = 1.0 if s1 + 1 == need else table[s1 + 1, s2, 0, server]
                 v[LOST, server] = 0.0 if s2 + 1 == need else table[s1, s2 + 1, 0, server]
             for server in (1, 2):
-                v[LEVEL, server] = (both * v[WON, server] + none * v[LOST, server]) / (both + none)
+                v[LEVEL, server] = ahead * v[WON, server] + (1 - ahead) * v[LOST, server]
             for server in (1, 2):
                 h, turn = game[server], 3 - server
                 v[UP, server] = h * v[WON, turn] + (1 - h) * v[LEVEL, turn]

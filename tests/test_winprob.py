@@ -153,3 +153,12 @@ def test_deltas_mirror_each_other(spark):
     log = scored_log(tiebreak_set().frame(spark))
     assert log.filter(F.abs(F.col("p1_wp_delta") + F.col("p2_wp_delta")) > 0).count() == 0
     assert log.filter(F.col("error") != "").count() == 0
+
+
+def test_certain_servers_do_not_break_the_recursion(spark):
+    """With two unbreakable servers a level set never ends; both sides count as even."""
+    for rules in ("reference", "standard"):
+        for r in score(spark, [(1.0, 1.0, 3, 0, 0, 0, 0, 0, 0, 1), (0.0, 0.0, 5, 1, 1, 6, 6, 0, 0, 2)], rules):
+            assert 0 <= r["p1_win_prob_before"] <= 1
+    assert score(spark, [(1.0, 1.0, 3, 1, 1, 7, 7, 0, 0, 1)])[0]["p1_win_prob_before"] == 0.5
+    assert score(spark, [(1.0, 0.0, 3, 0, 0, 0, 0, 0, 0, 1)])[0]["p1_win_prob_before"] == 1.0
