@@ -228,7 +228,9 @@ def probabilities(df, rules="reference"):
 
     Every step is a projection of its own, so that shared inputs stay single columns.
     """
-    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in INPUTS])
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in INPUTS)
+    names = ", ".join(f"IF({c} IS NULL, '{c}', NULL)" for c in INPUTS)
+    missing = F.expr(f"IF({complete}, '', concat_ws(', ', {names}))")
     in_breaker = "p1_games_won = 6 AND p2_games_won = 6"
     outcomes = {"before": (0, 0), "if_p1_wins": (1, 0), "if_p2_wins": (0, 1)}
 

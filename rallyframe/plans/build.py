@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rallyframe.functions.cleaning import cast_columns, drop_sentinels, numeric_only
-from rallyframe.functions.ids import best_of, round_number
+from rallyframe.functions.ids import best_of, round_number, tour
 from rallyframe.functions.names import initial_form
 from rallyframe.functions.scores import (
     by_code,
@@ -38,18 +38,23 @@ def point_log(raw_points, raw_matches, observation=None):
 
 
 def prepared_log(points, tiebreak_at=6, per_game=None):
-    """Match state, labels, roles, rates and match facts for every point of a clean log."""
+    """Match state, labels, roles, rates and match facts for every point of a clean log.
+
+    Facts read from the match id are worked out on match rows, not once per point.
+    """
     rates = player_rates(with_serve_outcome(with_roles(points)))
     matches = points.select("match_id", "player1", "player2").distinct()
-    rated = attach_rates(matches, rates).drop("player1", "player2").withColumn("best_of", best_of())
-    log = rebuild_state(points, tiebreak_at, rated, per_game).withColumns(score_labels())
-    log = with_serve_outcome(with_roles(log))
+    facts = {"best_of": best_of(), "round": round_number(), "tour": tour()}
+    rated = attach_rates(matches, rates).drop("player1", "player2").withColumns(facts)
+    rated = rated.withColumn("points_stake", points_stake())
+    known = [c for c in rated.columns if c != "match_id"]
+    log = rebuild_state(points.drop(*known), tiebreak_at, rated, per_game).withColumns(score_labels())
     winner = by_code("match_winner_code", "player1", "player2")
-    return log.withColumns({"match_winner": winner, "round": round_number()})
+    return with_serve_outcome(with_roles(log)).withColumn("match_winner", winner)
 
 
 def scored_log(points, rules="reference", server_first=None):
-    """Prepared log plus stakes, probabilities, importance and deltas, in one pass over the points.
+    """Prepared log plus probabilities, importance and deltas, in one pass over the points.
 
     Match values are computed on game rows and reach the points with the game join.
     ``server_first`` feeds the server's token as player 1's points, as the published
@@ -63,5 +68,5 @@ def scored_log(points, rules="reference", server_first=None):
         own = {"p1_points": token_points("server_token"), "p2_points": token_points("returner_token")}
     else:
         own = {"p1_points": F.col("p1_points_pre"), "p2_points": F.col("p2_points_pre")}
-    scored = probabilities(log.withColumns({**own, "points_stake": points_stake()}), rules)
+    scored = probabilities(log.withColumns(own), rules)
     return scored.withColumns(probability_deltas()).withColumn("match_winner_prob_before", match_winner_before())

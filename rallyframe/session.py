@@ -18,6 +18,8 @@ def build_session(app="rallyframe", master=None, **conf):
         # Split skewed join sides even where that costs another exchange.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Larger generated methods are never compiled by the JVM and would run interpreted.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # Call-site capture costs milliseconds per column expression while plans are built.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from rallyframe.operators import filters, metrics
 from rallyframe.plans.build import point_log, scored_log
 from rallyframe.session import scratch_path
 from rallyframe.sources import readers, writers
@@ -51,6 +52,18 @@ def test_raw_files_to_scored_log(spark, raw):
     assert got[5]["player1"] is None and got[5]["best_of"] == 3
 
 
+def test_metrics_run_on_a_stored_scored_log(spark, raw):
+    log = point_log(readers.read_raw_points(spark, raw), readers.read_raw_matches(spark, raw))
+    path = scratch_path(spark, "scored-log")
+    writers.write_parquet(scored_log(log), path)
+    scored = filters.with_high_pressure(readers.read_parquet(spark, path))
+    assert metrics.top_upsets(scored).count() == 1  # the other match has no known players
+    assert {r["player"] for r in metrics.clutch_by_match(scored).collect()} == {"N. Djokovic", "Pele"}
+    assert metrics.consistency_and_clutch(scored).count() == 2
+    assert metrics.pressure_report(scored, min_ranking_points=1).count() >= 1
+    assert metrics.unlikely_results(scored, 1.0, 0.0).count() == 2
+
+
 def test_name_map_object(spark, tmp_path):
     path = tmp_path / "map.json"
     path.write_text(json.dumps({"C. Oconnell": "C. O'Connell", "A. de Minaur": "A. De Minaur"}, indent=2))

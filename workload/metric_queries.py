@@ -7,7 +7,6 @@ from rallyframe.functions.ids import best_of, round_number, tour, tournament_nam
 from rallyframe.functions.model import game_win_prob, p1_point_chance, point_win_prob
 from rallyframe.functions.scores import (
     match_winner_before,
-    points_stake,
     probability_deltas,
     score_labels,
     token_points,
@@ -220,7 +219,6 @@ def point_model_columns(spark, sf):
                 "p1_points": token_points("server_token"),
                 "p2_points": token_points("returner_token"),
                 "unknown_token": token_points("event_type", None),
-                "points_stake": points_stake(),
             }
         )
     )
