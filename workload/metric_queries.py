@@ -27,9 +27,13 @@ KEY = [*GAME, "point_number"]
 KEY_SQL = "match_id, set_no, game_no, point_number"
 
 
-def rounded(df, *columns, digits=6):
-    """Rounded columns; adding zero turns a rounded -0.0 into 0.0."""
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+def rounded(df, *columns):
+    """Columns rounded half away from zero to six digits, by plain arithmetic.
+
+    ``round`` on doubles goes through decimals row by row. Adding zero turns -0.0 into 0.0.
+    """
+    text = "sign({c}) * floor(abs({c}) * 1000000D + 0.5D) / 1000000D + 0D"
+    return df.withColumns({c: F.expr(text.format(c=c)) for c in columns})
 
 
 def _r(expression, name=None, digits=6):
