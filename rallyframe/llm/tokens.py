@@ -11,6 +11,7 @@ A shard file holds, little-endian throughout:
 arithmetic: block ``i // ids_per_block``, bit ``(i % ids_per_block) * bits``.
 """
 
+import re
 import struct
 import uuid
 import zlib
@@ -137,58 +138,80 @@ class ShardReader:
 
 
 class WordCache:
-    """Encodes texts by their space-separated pieces, each distinct piece once.
-
-    The byte-level split pattern takes a blank only together with what follows it, so a cut
-    before a single blank between two visible characters never divides a match: encoding
-    the pieces gives the ids of the whole. Texts with other runs of white space are encoded
-    whole. ``limit`` bounds the kept pieces; the oldest batch of them goes, never an id.
+    """Encodes texts by their space-separated words, each distinct word once while it is kept.
+
+    The split patterns take a blank only together with what follows it, so a cut before a
+    single blank between two visible characters never divides a match: the ids of the words,
+    each with the blank before it, are the ids of the whole. Texts with other white space
+    around a blank are encoded whole. New words are encoded as one joined text; its ids are cut
+    where a token begins with the blank (``heads`` marks those ids). ``limit`` bounds what is
+    kept between batches, never what is encoded.
     """
 
-    def __init__(self, encode_batch, prefix=" ", first="", limit=400_000):
-        import re
-
-        self.encode_batch, self.prefix, self.first, self.limit = encode_batch, prefix, first, limit
+    def __init__(self, encode_batch, heads, mark=" ", first="", limit=400_000):
+        self.encode_batch, self.heads, self.mark, self.first, self.limit = encode_batch, heads, mark, first, limit
         self.kept = {}
-        self.odd = re.compile(r"\s[\x20]|[\x20]\s|[\x20]\Z|\A[\x20]")
+        self.odd = [re.compile(x) for x in (r"[^\S\x20]\x20", r"\x20\s")]
+
+    def _split(self, text):
+        """The words of a text, or None if it must stay whole."""
+        if not text or text[0] == " " or text[-1] == " " or any(x.search(text) for x in self.odd):
+            return None
+        return text.split(" ")
+
+    def _learn(self, words):
+        """Encode words that follow a blank and keep their ids."""
+        words = list(words)
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for group, ids in zip(groups, self.encode_batch(["".join([self.mark + w for w in g]) for g in groups])):
+            ids = np.array(ids, "<u4")
+            cuts = np.flatnonzero(self.heads[ids])
+            if len(cuts) != len(group) or cuts[0]:
+                parts = [np.array(x, "<u4").tobytes() for x in self.encode_batch([self.mark + w for w in group])]
+            else:
+                data, at = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+                parts = [data[a:b] for a, b in zip(at[:-1], at[1:])]
+            self.kept.update(zip(group, parts))
 
     def encode(self, texts, end=()):
         """One unsigned 32-bit array per text, ``end`` appended."""
         end = np.array(end, "<u4").tobytes()
-        words = [None if self.odd.search(t) else t.split(" ") for t in texts]
+        words = [self._split(t) for t in texts]
+        new = set()
         for parts in words:
             if parts:
-                head = self.first + parts[0]
-                parts[1:] = [self.prefix + p for p in parts[1:]]
-                parts[0] = head
-        new = {p for parts in words if parts for p in parts}
-        new = [p for p in new if p not in self.kept]
-        if len(self.kept) + len(new) > self.limit:
+                new.update(parts[1:])
+        fresh = new - self.kept.keys()
+        if len(self.kept) + len(fresh) > self.limit:
             self.kept.clear()
-            new = list({p for parts in words if parts for p in parts})
-        for piece, ids in zip(new, self.encode_batch(new)):
-            self.kept[piece] = np.array(ids, "<u4").tobytes()
-        whole = [self.first + t.replace(" ", self.prefix) for t, parts in zip(texts, words) if parts is None]
-        rest = iter(self.encode_batch(whole))
-        look = self.kept.__getitem__
-        return [
-            np.frombuffer(b"".join(map(look, parts)) + end, "<u4")
-            if parts is not None
-            else np.frombuffer(np.array(next(rest), "<u4").tobytes() + end, "<u4")
-            for parts in words
+            fresh = new
+        self._learn(fresh)
+        starts = [
+            self.first + (t.replace(" ", self.mark) if parts is None else parts[0]) if t else ""
+            for t, parts in zip(texts, words)
         ]
+        look, out = {w: self.kept[w] for w in new}.__getitem__, []
+        for parts, head in zip(words, self.encode_batch(starts)):
+            data = np.array(head, "<u4").tobytes()
+            if parts:
+                data += b"".join(map(look, parts[1:]))
+            out.append(np.frombuffer(data + end, "<u4"))
+        return out
 
 
 def byte_bpe_encoder(tokenizer_path):
-    """(encode a list of texts to id arrays, vocabulary size) of a tokenizer file."""
+    """(encoder of lists of texts to id arrays, vocabulary size) of a byte-level tokenizer file."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    size = tokenizer.get_vocab_size()
+    heads = np.zeros(size, bool)
+    heads[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def batch(texts):
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    return WordCache(batch), tokenizer.get_vocab_size()
+    return WordCache(batch, heads), size
 
 
 def write_shards(docs, key, text, tokenizer_path, end_id=0, folder=None):
@@ -235,10 +258,11 @@ def write_shards(docs, key, text, tokenizer_path, end_id=0, folder=None):
     return stored(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
-def read_shards(manifest):
-    """One row per stored document: key, position of its first id among all ids, ids.
+def _documents(manifest, build, schema):
+    """Run ``build(keys, starts, ids, cuts)`` over runs of a shard's documents of about a million ids.
 
-    Every shard is one unit of work; starts come from the running total over the manifest.
+    Every shard is one unit of work; starts come from the running total over the manifest,
+    which has one row per shard.
     """
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     listed = manifest.select(
@@ -255,50 +279,33 @@ def read_shards(manifest):
                     while low < len(shard.keys):
                         room = int(shard.starts[low]) + (1 << 20)
                         high = max(low + 1, int(np.searchsorted(shard.starts, room, side="right")) - 1)
-                        ids = shard.ids(int(shard.starts[low]), int(shard.starts[high]))
-                        cut = (shard.starts[low : high + 1] - shard.starts[low]).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(shard.keys[low:high], pa.int64()),
-                                pa.array(shard.starts[low:high] + base, pa.int64()),
-                                pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int64))),
-                            ],
-                            ["key", "start", "ids"],
-                        )
+                        cuts = shard.starts[low : high + 1]
+                        ids = shard.ids(int(cuts[0]), int(cuts[-1]))
+                        yield build(pa.array(shard.keys[low:high], pa.int64()), cuts[:-1] + base, ids, cuts - cuts[0])
                         low = high
 
-    return listed.mapInArrow(read, "key long, start long, ids array<long>")
+    return listed.mapInArrow(read, schema)
+
+
+def read_shards(manifest):
+    """One row per stored document: key, position of its first id among all ids, ids."""
+
+    def build(keys, starts, ids, cuts):
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int64()), lists], ["key", "start", "ids"])
+
+    return _documents(manifest, build, "key long, start long, ids array<long>")
 
 
 def read_digests(manifest):
     """One row per stored document: key, start, number of ids and their unsigned CRC-32."""
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    listed = manifest.select(
-        "file", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("start")
-    ).repartition("file")
 
-    def read(batches):
-        for listing in batches:
-            for file, base in zip(listing.column(0).to_pylist(), listing.column(1).to_pylist()):
-                store, path = open_store(file)
-                with store.open_input_file(path) as stream:
-                    shard = ShardReader(stream)
-                    low = 0
-                    while low < len(shard.keys):
-                        room = int(shard.starts[low]) + (1 << 20)
-                        high = max(low + 1, int(np.searchsorted(shard.starts, room, side="right")) - 1)
-                        cut = shard.starts[low : high + 1]
-                        data = shard.ids(int(cut[0]), int(cut[-1])).tobytes()
-                        at = (cut - cut[0]) * 4
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(shard.keys[low:high], pa.int64()),
-                                pa.array(cut[:-1] + base, pa.int64()),
-                                pa.array(np.diff(cut), pa.int64()),
-                                pa.array([zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:])], pa.int64()),
-                            ],
-                            ["key", "start", "n_tokens", "ids_crc32"],
-                        )
-                        low = high
+    def build(keys, starts, ids, cuts):
+        data, at = ids.tobytes(), (cuts * 4).tolist()
+        crc = pa.array([zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:])], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(starts, pa.int64()), pa.array(np.diff(cuts), pa.int64()), crc],
+            ["key", "start", "n_tokens", "ids_crc32"],
+        )
 
-    return listed.mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
+    return _documents(manifest, build, "key long, start long, n_tokens long, ids_crc32 long")
