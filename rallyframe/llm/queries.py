@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rallyframe.llm import chat, merkle, mixing, tokens
+from rallyframe.llm import chat, jaccard, merkle, mixing, tokens
 from rallyframe.llm.files import stored
 
 
@@ -63,6 +63,11 @@ FROM said GROUP BY conv_id
 """
 
 
+def op5_jaccard_join(spark, folder):
+    """Near-duplicate components of all documents."""
+    return jaccard.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op9_source_mix(spark, folder):
     """Place of every document in the mix: its source, block, slot and order inside the source."""
     placed = mixing.schedule(_table(spark, folder, "documents"))
@@ -123,6 +128,7 @@ FROM f
 QUERIES = {
     "op1_token_shards": (op1_token_shards, None),
     "op3_chat_format": (op3_chat_format, OP3_SQL),
+    "op5_jaccard_join": (op5_jaccard_join, None),
     "op9_source_mix": (op9_source_mix, None),
     "op10_merkle_fingerprint": (op10_merkle_fingerprint, OP10_SQL),
 }

@@ -53,7 +53,7 @@ def powers(n, _kept=[np.ones(1, np.uint64)]):  # noqa: B006 - grows once per wor
     """The first ``n`` powers of BASE modulo 2**64."""
     while len(_kept[0]) < n:
         old = _kept[0]
-        _kept[0] = np.concatenate([old, old * (old[-1] * BASE)])
+        _kept[0] = np.concatenate([old, old * (old[-1:] * BASE)])
     return _kept[0][:n]
 
 
