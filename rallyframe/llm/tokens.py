@@ -11,6 +11,7 @@ A shard file holds, little-endian throughout:
 arithmetic: block ``i // ids_per_block``, bit ``(i % ids_per_block) * bits``.
 """
 
+import os
 import re
 import struct
 import uuid
@@ -148,7 +149,7 @@ class WordCache:
     kept between batches, never what is encoded.
     """
 
-    def __init__(self, encode_batch, heads, mark=" ", first="", limit=400_000):
+    def __init__(self, encode_batch, heads, mark=" ", first="", limit=250_000):
         self.encode_batch, self.heads, self.mark, self.first, self.limit = encode_batch, heads, mark, first, limit
         self.kept = {}
         self.odd = [re.compile(x) for x in (r"[^\S\x20]\x20", r"\x20\s")]
@@ -162,6 +163,10 @@ class WordCache:
     def _learn(self, words):
         """Encode words that follow a blank and keep their ids."""
         words = list(words)
+        for i in range(0, len(words), 4096):
+            self._learn_few(words[i : i + 4096])
+
+    def _learn_few(self, words):
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         for group, ids in zip(groups, self.encode_batch(["".join([self.mark + w for w in g]) for g in groups])):
             ids = np.array(ids, "<u4")
@@ -203,6 +208,7 @@ def byte_bpe_encoder(tokenizer_path):
     """(encoder of lists of texts to id arrays, vocabulary size) of a byte-level tokenizer file."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
     tokenizer = Tokenizer.from_file(tokenizer_path)
     size = tokenizer.get_vocab_size()
     heads = np.zeros(size, bool)
