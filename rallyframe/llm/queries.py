@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rallyframe.llm import chat, jaccard, merkle, mixing, tokens
+from rallyframe.llm import chat, jaccard, merkle, mixing, pages, quality, tokens
 from rallyframe.llm.files import stored
 
 
@@ -63,11 +63,22 @@ FROM said GROUP BY conv_id
 """
 
 
+def op4_quality_crf(spark, folder):
+    """Score all documents with a field fitted on labelled rows that are not held out."""
+    docs = _table(spark, folder, "documents")
+    return quality.scored(docs, quality.train(docs, _table(spark, folder, "labels")))
+
+
 def op5_jaccard_join(spark, folder):
     """Near-duplicate components of all documents."""
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op7_main_text(spark, folder):
+    """The main text of all pages."""
+    return pages.extract(_table(spark, folder, "pages"))
+
+
 def op9_source_mix(spark, folder):
     """Place of every document in the mix: its source, block, slot and order inside the source."""
     placed = mixing.schedule(_table(spark, folder, "documents"))
@@ -128,7 +139,9 @@ FROM f
 QUERIES = {
     "op1_token_shards": (op1_token_shards, None),
     "op3_chat_format": (op3_chat_format, OP3_SQL),
+    "op4_quality_crf": (op4_quality_crf, None),
     "op5_jaccard_join": (op5_jaccard_join, None),
+    "op7_main_text": (op7_main_text, None),
     "op9_source_mix": (op9_source_mix, None),
     "op10_merkle_fingerprint": (op10_merkle_fingerprint, OP10_SQL),
 }
