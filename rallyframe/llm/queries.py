@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rallyframe.llm import chat, jaccard, merkle, mixing, pages, quality, tokens
+from rallyframe.llm import chat, jaccard, lines, merkle, mixing, neighbours, pages, pieces, quality, tokens
 from rallyframe.llm.files import stored
 
 
@@ -19,6 +19,11 @@ def op1_token_shards(spark, folder):
     return tokens.read_digests(manifest).withColumnRenamed("key", "doc_id")
 
 
+def op2_sentencepiece(spark, folder):
+    """Encode and decode all documents with the piece model, verified against its own library."""
+    return pieces.encode_report(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: Says exactly what the template's marks say, in another layout than the table's.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -74,11 +79,22 @@ def op5_jaccard_join(spark, folder):
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_projected_neighbours(spark, folder):
+    """The 20 nearest rows by inner product of every 20th embedding."""
+    return neighbours.nearest(_table(spark, folder, "embeddings"))
+
+
 def op7_main_text(spark, folder):
     """The main text of all pages."""
     return pages.extract(_table(spark, folder, "pages"))
 
 
+def op8_fuzzy_lines(spark, folder):
+    """All documents without lines that repeat an earlier line."""
+    done = lines.without_repeats(_table(spark, folder, "documents"))
+    return done.select("doc_id", "text", F.col("_dropped").alias("n_removed"))
+
+
 def op9_source_mix(spark, folder):
     """Place of every document in the mix: its source, block, slot and order inside the source."""
     placed = mixing.schedule(_table(spark, folder, "documents"))
@@ -138,10 +154,13 @@ FROM f
 
 QUERIES = {
     "op1_token_shards": (op1_token_shards, None),
+    "op2_sentencepiece": (op2_sentencepiece, None),
     "op3_chat_format": (op3_chat_format, OP3_SQL),
     "op4_quality_crf": (op4_quality_crf, None),
     "op5_jaccard_join": (op5_jaccard_join, None),
+    "op6_projected_neighbours": (op6_projected_neighbours, None),
     "op7_main_text": (op7_main_text, None),
+    "op8_fuzzy_lines": (op8_fuzzy_lines, None),
     "op9_source_mix": (op9_source_mix, None),
     "op10_merkle_fingerprint": (op10_merkle_fingerprint, OP10_SQL),
 }
