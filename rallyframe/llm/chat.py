@@ -133,7 +133,8 @@ def canonical_turns(records, ignore=(), layouts=LAYOUTS):
 
     Rows whose fingerprint no layout knows keep null turns and their fingerprint. Null roles
     and texts inside a known layout are empty; an empty list of messages gives no turns.
-    Columns in ``ignore`` (ids and the like) take no part in the fingerprint.
+    Columns in ``ignore`` (ids and the like) take no part in the fingerprint; columns called
+    ``fingerprint``, ``layout`` or ``turns`` are replaced.
     """
     marked = with_fingerprint(records, ignore)
     turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
@@ -192,13 +193,13 @@ def render(chats, turns="turns", learn=("assistant",)):
         )
 
     return (
-        chats.withColumn("_said", said)
+        chats.withColumn("__said", said)
         .withColumn(
             "formatted",
-            F.array_join(F.transform("_said", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), ""),
+            F.array_join(F.transform("__said", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), ""),
         )
-        .withColumn("loss_spans", F.aggregate("_said", empty, step)["spans"])
-        .drop("_said")
+        .withColumn("loss_spans", F.aggregate("__said", empty, step)["spans"])
+        .drop("__said")
     )
 
 
@@ -232,11 +233,11 @@ def conversation_records(rows, key="conv_id", turn="turn", role="role", text="te
     said = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
     return (
         rows.groupBy(F.col(key).alias(key))
-        .agg(F.array_sort(F.collect_list(said)).alias("_said"))
+        .agg(F.array_sort(F.collect_list(said)).alias("__said"))
         .select(
             key,
             F.transform(
-                "_said",
+                "__said",
                 lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")),
             ).alias("messages"),
         )

@@ -17,8 +17,8 @@ prefix.
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rallyframe.llm import text as bytes_
 from rallyframe.llm.components import connected_components, release
@@ -247,7 +247,7 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
     sets = profiles.filter("n > 0 AND id IS NOT NULL")
     classes = stored(
         sets.groupBy("grp", "n", "one", "two").agg(F.min("id").alias("cid")).withColumn(
-            "gid", F.min("cid").over(_by("grp", "n"))
+            "gid", F.min("cid").over(Window.partitionBy("grp", "n"))
         ), "classes",
     )
     heads = classes.filter("cid = gid").select(F.col("gid").alias("_gid"), F.col("grp").alias("_grp"), F.col("n").alias("_n")).distinct()
@@ -321,16 +321,11 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
     )
 
 
-def _by(*columns):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
-
-
 def first_of_each(docs, key="doc_id", text="text", percent=75):
     """``docs`` without the rows whose component has an earlier key; columns stay as they are.
 
     Rows without a key or without words always stay. Of rows with equal keys all stay.
     """
-    found = near_duplicates(docs, key, text, percent).filter("component_id < " + f"`{key}`").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(found, docs[key] == F.col("_gone"), "left_anti")
+    found = near_duplicates(docs, key, text, percent).filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{key}`").alias("_id"))
+    return whole.join(found, F.col("_id") == F.col("_gone"), "left_anti").select("_doc.*")

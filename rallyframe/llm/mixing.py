@@ -154,20 +154,19 @@ def schedule(docs, source="source", key="doc_id", weights=None, block_rows=64, c
 def mixed(docs, source="source", key="doc_id", **options):
     """``docs`` in mixed order: sorted by slot, then by place inside the source.
 
-    Columns stay as they are; every row is kept. The order is that of the partitions and of
-    the rows in them, so files written from it hold it.
+    Columns stay as they are and may have any names; every row is kept. The order is that of
+    the partitions and of the rows in them, so files written from it hold it.
     """
-    marks = {n: c for n, c in row_keys(docs, source, key).items()}
-    clash = set(marks) & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    places = schedule(docs, source, key, **options).withColumnsRenamed({n: f"{n}_" for n in marks}).drop("copies", "block")
-    marked = docs.withColumns(marks)
-    same = [marked[n].eqNullSafe(places[f"{n}_"]) for n in marks]
-    order = {"start": "_start", "slot": "_slot"}
+    marks = row_keys(docs, source, key)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    marked = docs.select(whole, *[c.alias(n) for n, c in marks.items()])
+    places = schedule(docs, source, key, **options).select(
+        *[F.col(n).alias(f"{n}_") for n in marks], F.col("slot").alias("_slot"), F.col("start").alias("_start")
+    )
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in marks]
     return (
-        marked.join(places.withColumnsRenamed(order), same[0] & same[1] & same[2])
+        marked.join(places, same[0] & same[1] & same[2])
         .repartitionByRange("_slot", "_start")
         .sortWithinPartitions("_slot", "_start")
-        .select([F.col(f"`{c}`") for c in docs.columns])
+        .select("_doc.*")
     )

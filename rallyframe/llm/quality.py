@@ -263,9 +263,8 @@ def train(docs, labels, key="doc_id", text="text", label="quality", sample=SAMPL
         .orderBy(F.xxhash64("_key"), "_key").limit(sample)
     )
     # At most ``sample`` rows.
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("_key")).select(
-        F.col(key).cast("long").alias("_key"), "_label", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
-    )
+    texts = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("_id", "_label", "_text")
 
     def describe(batches):
         for whole in batches:

@@ -92,7 +92,7 @@ def op7_main_text(spark, folder):
 def op8_fuzzy_lines(spark, folder):
     """All documents without lines that repeat an earlier line."""
     done = lines.without_repeats(_table(spark, folder, "documents"))
-    return done.select("doc_id", "text", F.col("_dropped").alias("n_removed"))
+    return done.select("doc.doc_id", "doc.text", F.col("dropped").alias("n_removed"))
 
 
 def op9_source_mix(spark, folder):
