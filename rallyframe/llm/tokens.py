@@ -149,7 +149,7 @@ class WordCache:
     kept between batches, never what is encoded.
     """
 
-    def __init__(self, encode_batch, heads, mark=" ", first="", limit=250_000):
+    def __init__(self, encode_batch, heads, mark=" ", first="", limit=500_000):
         self.encode_batch, self.heads, self.mark, self.first, self.limit = encode_batch, heads, mark, first, limit
         self.kept = {}
         self.odd = [re.compile(x) for x in (r"[^\S\x20]\x20", r"\x20\s")]
@@ -235,7 +235,8 @@ def write_shards(docs, key, text, tokenizer_path, end_id=0, folder=None):
     rows = docs.select(
         F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
-    ordered = rows.repartitionByRange("key", "text").sortWithinPartitions("key", "text")
+    # Ranged by key alone: the sample that sets the ranges goes to the driver and holds no texts.
+    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def write(batches):
         from rallyframe.llm.text import slices
