@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from rallyframe.constants import SETS_NEEDED
-from rallyframe.operators.ordered import exact_quantile
+from rallyframe.operators.ordered import exact_quantile, join_on
 from rallyframe.operators.players import both_players
 
 ALL = "All"
@@ -57,12 +57,24 @@ def inactive_players(df, players=("player1", "player2"), year="year"):
     return everyone.join(active_players(df, players, year), "player", "left_anti")
 
 
+def flag_matches(df, players, lookups):
+    """Add flags looked up by player, worked out on match rows.
+
+    Players are constant in a match, so the lookups join the distinct (match, players) rows;
+    points take the flags from there, null-safe, and are never dealt out by player.
+    ``lookups`` maps an output column to (player column, frame with a ``player`` column).
+    """
+    keys = [*(["match_id"] if "match_id" in df.columns else []), *players]
+    matches = df.select(*keys).distinct()
+    for name, (column, found) in lookups.items():
+        seen = found.select(F.col("player").alias(column), F.lit(True).alias(name))
+        matches = matches.join(seen, column, "left")
+    return join_on(df, matches, keys)
+
+
 def _active_flags(df, players, year):
     active = active_players(df, players, year)
-    for column in players:
-        seen = active.select(F.col("player").alias(column), F.lit(True).alias(f"_active_{column}"))
-        df = df.join(seen, column, "left")
-    return df
+    return flag_matches(df, players, {f"_active_{c}": (c, active) for c in players})
 
 
 def mask_by_status(df, status, players=("player1", "player2"), year="year", suffix=""):
@@ -113,10 +125,7 @@ def with_min_points(df, minimum, players=("player1", "player2")):
     if not minimum:
         return df
     enough = point_totals(df, players=players).filter(F.col("total_points") >= minimum)
-    for i, column in enumerate(players):
-        df = df.join(
-            enough.select(F.col("player").alias(column), F.lit(True).alias(f"_enough{i}")), column, "left"
-        )
+    df = flag_matches(df, players, {f"_enough{i}": (c, enough) for i, c in enumerate(players)})
     return df.filter(F.col("_enough0").isNotNull() | F.col("_enough1").isNotNull()).drop("_enough0", "_enough1")
 
 
@@ -146,10 +155,10 @@ def valid_matches(df, sets_needed=None):
 
 
 def with_high_pressure(df, percent=25, column="importance"):
-    """Flag points whose importance is in the top ``percent`` of ``df``."""
+    """Flag points whose importance is in the top ``percent`` of ``df``; unscored points are not."""
     threshold = exact_quantile(df, column, 1 - percent / 100)
     flag = F.col(column) >= F.lit(threshold) if threshold is not None else F.lit(False)
-    return df.withColumn("is_high_pressure", flag)
+    return df.withColumn("is_high_pressure", F.coalesce(flag, F.lit(False)))
 
 
 def default_min_points(tour, years):
@@ -162,8 +171,13 @@ def default_min_pressure_points(tour, years):
     return (50 if tour == "ATP" else 30) * years
 
 
+def year_options(matches):
+    """The years to choose from, as integers in order."""
+    return matches.select(F.col("year").cast("int").alias("year")).filter("year IS NOT NULL").distinct().orderBy("year")
+
+
 def filter_options(matches, players):
-    """All choices of the filters as (option, value) rows."""
+    """All choices of the filters as (option, value) rows; ``year_options`` has the years as numbers."""
     listing = {"tournament": "tournament_name", "tour": "tour", "year": "year"}
     options = F.explode(
         F.array(

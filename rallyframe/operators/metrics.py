@@ -109,7 +109,7 @@ def pressure_share(df, min_pressure_points=0):
         .filter(F.col("player").isNotNull())
         .groupBy("player")
         .agg(
-            F.count("is_high_pressure").alias("total_points"),
+            F.count(F.lit(1)).alias("total_points"),
             F.count_if("is_high_pressure").alias("high_pressure_points"),
         )
         .withColumn("high_pressure_pct", F.try_divide("high_pressure_points", "total_points"))
@@ -126,9 +126,31 @@ def pressure_report(df, min_points=0, min_ranking_points=200, min_share_points=0
         .join(shares, "player", "left")
         .join(totals, "player", "left")
         .filter(F.col("total_points") >= min_points)
+        .orderBy(F.col("clutch_delta").desc_nulls_last(), "player")
     )
 
 
+def ranked(df, *order, name="place"):
+    """A short report with its place in ``order`` from 1, sorted by it.
+
+    For reports of one row per player, tour or score: the place needs them in one task.
+    """
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order))).orderBy(name)
+
+
+def pressure_extremes(df, metric, n=10):
+    """Head and tail of a pressure table: the n players with the most and the least of ``metric``.
+
+    ``side`` tells them apart and ``place`` counts from 1 on either side; ties go by player.
+    """
+    sides = []
+    for side, ascending in (("most", False), ("least", True)):
+        first = F.col(metric).asc_nulls_last() if ascending else F.col(metric).desc_nulls_last()
+        short = top_rows(df.filter(F.col(metric).isNotNull()), metric, ["player"], n, ascending)
+        sides.append(ranked(short, first, "player").withColumn("side", F.lit(side)))
+    return sides[0].unionByName(sides[1])
+
+
 def unlikely_results(df, low=0.10, high=0.90, sets_needed=None):
     """Matches won from at most ``low``, and lost from at least ``high``, per player.
 

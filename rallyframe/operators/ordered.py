@@ -14,7 +14,26 @@ from pyspark.sql import functions as F
 from rallyframe.session import materialise
 
 MAX_GROUP_ROWS = 1_000_000
-MAX_HOT_GROUPS = 4096
+
+
+def same_keys(left, right, pairs):
+    """Null-safe equality of (left column, right column) pairs, so that null keys are groups too."""
+    condition = None
+    for a, b in pairs:
+        one = left[a].eqNullSafe(right[b])
+        condition = one if condition is None else condition & one
+    return condition
+
+
+def _renamed(table, columns):
+    return table.withColumnsRenamed({c: f"_r_{c}" for c in columns})
+
+
+def join_on(left, right, columns, how="left"):
+    """Join on ``columns`` of both sides, null-safe, keeping the left side's columns."""
+    other = _renamed(right, columns)
+    joined = left.join(other, same_keys(left, other, [(c, f"_r_{c}") for c in columns]), how)
+    return joined if how == "left_semi" else joined.drop(*[f"_r_{c}" for c in columns])
 
 
 @dataclass(frozen=True)
@@ -22,8 +41,8 @@ class Groups:
     """A frame to be scanned in order per ``keys``, with its too-large groups cut in chunks.
 
     ``hot`` is None while every group fits one task; then the scans are plain windows.
-    Otherwise it lists the groups that do not, and ``df`` carries ``chunk`` (0 outside hot
-    groups, monotone in the position inside) and ``is_hot``.
+    Otherwise it has one row per too-large group with its number of chunks, and ``df``
+    carries ``chunk`` (0 outside hot groups, monotone in the position inside) and ``is_hot``.
     """
 
     df: DataFrame
@@ -43,7 +62,7 @@ class Groups:
             return replace(self, df=self.df.join(table, [*self.keys], "left"))
         parts = F.coalesce(F.col("_parts"), F.lit(1))
         repeated = (
-            table.join(F.broadcast(self.hot.select(*self.keys, "_parts")), [*self.keys], "left")
+            join_on(table, self.hot.select(*self.keys, "_parts"), self.keys)
             .withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1)))
             .drop("_parts")
         )
@@ -51,35 +70,43 @@ class Groups:
 
 
 def ordered_groups(df, keys, position, max_rows=MAX_GROUP_ROWS):
-    """Look at the group sizes (one combining aggregate) and cut the groups that need it.
+    """Look at the group sizes (one combining aggregate) and cut every group above ``max_rows``.
 
-    A group is hot above ``max_rows`` and above 1/4096 of all rows. So there are never more
-    than 4096 of them, nor more than 8192 chunks, and their list is safe to broadcast.
-    ``position`` is an integer column that follows the order inside a group.
+    Borders are found by counting rows, not by the spread of positions: the rows of hot
+    groups are counted per position, positions are ranked over range partitions, and a chunk
+    ends where its count is full. A chunk holds at most ``max_rows`` rows and those of one
+    more position. Null keys form groups like any other; rows without a position come first.
+    ``position`` is a column that follows the order inside a group.
     """
     keys = tuple(keys)
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi")
-    )
-    seen = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
-    if not seen["total"] or seen["largest"] <= max_rows:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n").alias("n")).first()["n"] or 0) <= max_rows:
         return Groups(df, keys)
-    limit = max(max_rows, -(-seen["total"] // MAX_HOT_GROUPS))
-    large = sizes.filter(F.col("_n") > limit).withColumn("_parts", F.ceil(F.col("_n") / limit).cast("int")).drop("_n")
-    rows = large.collect()
-    if not rows:
-        return Groups(df, keys)
-    hot = df.sparkSession.createDataFrame(rows, large.schema)
-    share = (F.col(position) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    large = sizes.filter(F.col("_n") > max_rows).select(*keys)
+    counts = (
+        join_on(df.select(*keys, F.col(position).alias("_at")), large, keys, "left_semi")
+        .filter(F.col("_at").isNotNull()).groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    blocks = _range_blocks(counts, [*keys, "_at"])
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.groupBy(*keys, "_block").agg(F.sum("_n").alias("_w")).select(
+        *keys, "_block", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_offset")
+    )
+    inside = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = join_on(
+        blocks.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))), offsets, [*keys, "_block"]
+    ).withColumn("_chunk", F.floor((F.col("_before") + F.col("_offset")) / max_rows))
+    # One row per chunk, then per hot group; the first chunk needs no border.
+    borders = ranked.groupBy(*keys, "_chunk").agg(F.min("_at").alias("_from")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_from")).alias("_borders")
+    )
+    hot = materialise(borders.withColumn("_borders", F.expr("slice(_borders, 2, greatest(size(_borders) - 1, 0))")))
+    hot = hot.withColumn("_parts", F.size("_borders") + 1)
+    passed = F.size(F.filter("_borders", lambda b: b <= F.col(position)))
     cut = (
-        df.join(F.broadcast(hot), [*keys], "left")
-        .withColumns(
-            {
-                "chunk": F.coalesce(F.floor(share * F.col("_parts")).cast("int"), F.lit(0)),
-                "is_hot": F.col("_parts").isNotNull(),
-            }
-        )
-        .drop("_parts", "_lo", "_hi")
+        join_on(df, hot.drop("_parts"), keys)
+        .withColumns({"chunk": F.coalesce(F.when(F.col("_borders").isNotNull(), passed), F.lit(0)), "is_hot": F.col("_borders").isNotNull()})
+        .drop("_borders")
     )
     return Groups(cut, keys, hot)
 
@@ -87,7 +114,7 @@ def ordered_groups(df, keys, position, max_rows=MAX_GROUP_ROWS):
 def running_sums(groups, order, sums, inclusive=False):
     """Running totals per group in ``order``; ``sums`` maps output name to the column added up.
 
-    Totals of earlier chunks come from an aggregate over hot rows only.
+    Totals of earlier chunks come from an aggregate over hot rows only, one row per chunk.
     """
     zero = F.lit(0).cast("bigint")
     window = (
@@ -107,7 +134,7 @@ def running_sums(groups, order, sums, inclusive=False):
             .select(*groups.part, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
             .filter(F.col("chunk") > 0)
         )
-        df = df.join(F.broadcast(carried), groups.part, "left")
+        df = join_on(df, carried, groups.part)
         extra = {name: F.coalesce(f"_c_{name}", zero) for name in sums}
     totals = {n: F.coalesce(F.sum(f"_f_{n}").over(window), zero) + extra[n] for n in sums}
     return replace(groups, df=df.withColumns(totals).drop(*flags, *[f"_c_{n}" for n in sums]))
@@ -131,7 +158,7 @@ def previous_values(groups, order, columns):
     )
     # The first row of a later chunk follows the last row of the chunk before it.
     continues = (F.row_number().over(window) == 1) & F.col("_tail").isNotNull()
-    joined = groups.df.join(F.broadcast(tails), groups.part, "left").withColumn("_continues", continues)
+    joined = join_on(groups.df, tails, groups.part).withColumn("_continues", continues)
     values = {
         name: F.when(F.col("_continues"), F.col(f"_tail.{src}")).otherwise(lags[name])
         for name, (src, _) in columns.items()
@@ -201,39 +228,53 @@ def average_percent_rank(df, value, name):
     return stored.join(ranks, stored[value] == ranks["_v"], "left").drop("_v")
 
 
-def exact_quantile(df, column, q, max_rows=100_000, bins=4096):
+#: Relative rank error of the quantile sketch is 1 / ACCURACY.
+ACCURACY = 10_000
+
+
+def exact_quantile(df, column, q, levels=2):
     """Exact quantile with linear interpolation, as a Python float (None on no rows).
 
-    Each pass counts rows per equal-width bin of the range that still holds the wanted
-    rank (at most ``bins`` rows reach the driver) and narrows to one bin, until that bin
-    is a single value or few enough rows to sort.
+    The column is stored once. Every level asks the engine's quantile sketch for a bracket
+    around the wanted rank and counts exactly what lies below and inside it, so each level
+    narrows the rows some thousandfold whatever their spread; then the distinct values still
+    inside are counted and read. The number of passes is fixed. Infinities are ordered like
+    other values, nulls and NaN are left out.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
-    edge = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if edge["n"] == 0:
+    values = materialise(
+        df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    )
+    total = values.count()
+    if not total:
         return None
-    rank = q * (edge["n"] - 1)
+    rank = q * (total - 1)
     lower, weight = int(rank), rank - int(rank)
-    inside, low, high, below = edge["n"], edge["lo"], edge["hi"], 0
-    while inside > max_rows and low < high:
-        share = (F.col("v") - F.lit(low)) / F.lit(high - low)
-        counts = (
-            values.filter(F.col("v").between(low, high))
-            .groupBy(F.least(F.floor(share * bins), F.lit(bins - 1)).alias("bin"))
-            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("bin")
-            .collect()
-        )
-        for here, following in zip(counts, [*counts[1:], None]):
-            if lower < below + here["n"]:
+    low, high, below, inside = float("-inf"), float("inf"), 0, total
+    for _ in range(levels):
+        within = values.filter((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+        share = (lower - below) / inside
+        shares = [max(0.0, share - 3 / ACCURACY), min(1.0, share + 3 / ACCURACY + 2 / inside)]
+        lo, hi = within.agg(F.percentile_approx("v", shares, ACCURACY).alias("p")).first()["p"]
+        seen = within.agg(
+            F.count(F.when(F.col("v") < lo, 1)).alias("under"), F.count(F.when(F.col("v").between(lo, hi), 1)).alias("n")
+        ).first()
+        # The bracket must hold the wanted row and the next one, if there is one.
+        if below + seen["under"] <= lower and min(lower + 1, total - 1) < below + seen["under"] + seen["n"]:
+            low, high, below, inside = lo, hi, below + seen["under"], seen["n"]
+    found = (
+        values.filter((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+        .groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+    )
+    picked = []
+    for wanted in (lower, min(lower + 1, total - 1)):
+        at = below
+        for row in found:
+            at += row["n"]
+            if wanted < at:
+                picked.append(row["v"])
                 break
-            below += here["n"]
-        if weight and lower + 1 == below + here["n"]:
-            # The two neighbours of the rank sit on either side of a bin boundary.
-            return here["hi"] + (following["lo"] - here["hi"]) * weight
-        inside, low, high = here["n"], here["lo"], here["hi"]
-    if low == high:
+    low, high = picked
+    if low == high or not weight or low == float("-inf"):
         return low
-    rest = values.filter(F.col("v").between(low, high)).orderBy("v")
-    rows = [r["v"] for r in rest.offset(lower - below).limit(2).collect()]
-    return rows[0] + (rows[-1] - rows[0]) * weight
+    step = high - low
+    return low + step * weight if step < float("inf") else low * (1 - weight) + high * weight

@@ -116,8 +116,11 @@ def both_players(df, columns=("player1", "player2"), keep=(), name="player"):
 def player_dimension(log, name_map=None):
     """Player, tour, mean rates over distinct rows, last year and Active/Inactive status.
 
-    The averages run over distinct (player, tour, rates, year) rows, not over points.
+    The averages run over distinct (player, tour, rates, year) rows, not over points; names
+    are looked up on distinct match facts.
     """
+    facts = [f"{p}{c}" for p in ("player1", "player2") for c in ("", "_serve_point_win_pct", "_return_point_win_pct")]
+    log = log.select(tour_of().alias("tour"), "year", *facts).distinct()
     if name_map is not None:
         log = canonical_names(log, name_map, ["player1", "player2"])
     sides = F.explode(
@@ -132,7 +135,7 @@ def player_dimension(log, name_map=None):
             ]
         )
     )
-    rows = log.select(tour_of().alias("tour"), "year", sides.alias("s")).select("s.*", "tour", "year").distinct()
+    rows = log.select("tour", "year", sides.alias("s")).select("s.*", "tour", "year").distinct()
     newest = log.agg(F.max("year").alias("y")).scalar()
     status = F.when(F.col("last_year") == newest, "Active").otherwise("Inactive")
     return (

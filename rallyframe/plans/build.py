@@ -23,6 +23,14 @@ _RENAMES = {
 }
 
 
+def one_per_match(matches):
+    """One row per match id: of several spellings the first in order, those with both players first."""
+    row = F.struct(
+        (F.col("player1").isNull().cast("int") + F.col("player2").isNull().cast("int")).alias("missing"), "player1", "player2"
+    )
+    return matches.groupBy("match_id").agg(F.min(row).alias("_m")).select("match_id", "_m.player1", "_m.player2")
+
+
 def point_log(raw_points, raw_matches, observation=None):
     """Clean raw points joined to their match's players (raw points without a match stay)."""
     players = raw_matches.select(
@@ -34,7 +42,7 @@ def point_log(raw_points, raw_matches, observation=None):
     clean = cast_columns(numeric_only(drop_sentinels(raw_points), observation=observation), types)
     for old, new in _RENAMES.items():
         clean = clean.withColumnRenamed(old, new)
-    return clean.join(players, "match_id", "left").drop("ElapsedTime")
+    return clean.join(one_per_match(players), "match_id", "left").drop("ElapsedTime")
 
 
 def prepared_log(points, tiebreak_at=6, per_game=None):
@@ -43,7 +51,7 @@ def prepared_log(points, tiebreak_at=6, per_game=None):
     Facts read from the match id are worked out on match rows, not once per point.
     """
     rates = player_rates(with_serve_outcome(with_roles(points)))
-    matches = points.select("match_id", "player1", "player2").distinct()
+    matches = one_per_match(points.select("match_id", "player1", "player2").distinct())
     facts = {"best_of": best_of(), "round": round_number(), "tour": tour()}
     rated = attach_rates(matches, rates).drop("player1", "player2").withColumns(facts)
     rated = rated.withColumn("points_stake", points_stake())

@@ -1,6 +1,5 @@
 """Session settings and the shared scratch folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,21 +29,17 @@ def build_session(app="rallyframe", master=None, **conf):
 
 
 def checkpoint_dir(spark):
-    """The shared folder of ``spark.checkpoint.dir``; local sessions fall back to a fresh one.
+    """The shared folder of ``spark.checkpoint.dir``, or one below the warehouse where that is unset.
 
-    A machine-local folder would lose checkpoints together with an executor, so a
-    cluster session without the setting is an error rather than a silent fallback.
+    Both are reached by all executors; a machine-local folder would lose checkpoints together
+    with an executor, so there is no such fallback, whatever the master.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        path = tempfile.mkdtemp(prefix="rallyframe-")
-    context.setCheckpointDir(path)
+    context.setCheckpointDir(path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
     return context.getCheckpointDir()
 
 

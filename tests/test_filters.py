@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.operators import filters as flt
+from rallyframe.operators import metrics as mx
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +69,42 @@ def test_high_pressure_flag_includes_the_threshold(spark):
     assert flt.with_high_pressure(empty).count() == 0
 
 
+def test_unscored_points_count_as_not_under_pressure(spark):
+    rows = [("a", "b", v) for v in (1.0, 2.0, None, 9.0)]
+    df = spark.createDataFrame(rows, "player1 string, player2 string, importance double")
+    flagged = flt.with_high_pressure(df, 25)
+    assert flagged.filter("is_high_pressure IS NULL").count() == 0
+    share = mx.pressure_share(flagged).filter("player = 'a'").first()
+    assert (share["total_points"], share["high_pressure_points"], share["high_pressure_pct"]) == (4, 1, 0.25)
+
+
+def test_player_lookups_leave_points_undealt(spark):
+    rows = [("m1", "a", None, 2024), ("m1", "a", None, 2024), ("m2", None, "b", 2023), ("m3", "c", "a", 2023)]
+    df = spark.createDataFrame(rows, "match_id string, player1 string, player2 string, year int")
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        for got, wanted in (
+            (flt.keep_by_activity(df, "Active"), {"m1", "m3"}), (flt.keep_by_activity(df, "Inactive"), {"m2", "m3"}),
+            (flt.with_min_points(df, 3), {"m1", "m3"}),
+        ):
+            assert {r["match_id"] for r in got.collect()} == wanted
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            joins = [x for x in plan.splitlines() if "SortMergeJoin" in x]
+            # The outermost join is the one that brings flags to the points.
+            assert "match_id" in joins[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_years_are_numbers_in_order(spark):
+    df = spark.createDataFrame([(2024,), (2020,), (2024,), (None,)], "year int")
+    assert [r["year"] for r in flt.year_options(df).collect()] == [2020, 2024]
+
+
 def test_default_thresholds():
     assert flt.default_min_points("ATP", 3) == 1200 and flt.default_min_points("WTA", 2) == 400
     assert flt.default_min_pressure_points("ATP", 2) == 100 and flt.default_min_pressure_points("WTA", 1) == 30

@@ -11,23 +11,49 @@ def numbers(spark, values):
     return spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
 
 
-@pytest.mark.parametrize("max_rows", [3, 50, 100_000])
-@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.75, 0.8, 1.0])
-def test_exact_quantile_matches_pandas(spark, q, max_rows):
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.75, 0.8, 1.0])
+def test_exact_quantile_matches_pandas(spark, monkeypatch, q, accuracy):
+    monkeypatch.setattr(ordered, "ACCURACY", accuracy)
     rng = random.Random(7)
     values = [rng.gauss(0, 1) ** 3 for _ in range(400)] + [1.5] * 300 + [1e6]
-    assert ordered.exact_quantile(numbers(spark, values), "v", q, max_rows=max_rows, bins=16) == pytest.approx(
+    assert ordered.exact_quantile(numbers(spark, values), "v", q) == pytest.approx(
         pd.Series(values).quantile(q), rel=1e-12
     )
 
 
 def test_quantile_edge_cases(spark):
     assert ordered.exact_quantile(numbers(spark, [1, 2, 2, 3, 7, 9, 11.0]), "v", 0.75) == 8.0
-    assert ordered.exact_quantile(numbers(spark, [4.0] * 9), "v", 0.5, max_rows=1) == 4.0
+    assert ordered.exact_quantile(numbers(spark, [4.0] * 9), "v", 0.5) == 4.0
     assert ordered.exact_quantile(numbers(spark, [None]), "v", 0.5) is None
     assert ordered.exact_quantile(numbers(spark, [None, float("nan"), 2.0]), "v", 0.5) == 2.0
 
 
+def test_quantile_ends_on_infinities_and_any_spread(spark):
+    inf = float("inf")
+    wide = [-1.7e308, 1.7e308, inf, -inf] + [float(i) for i in range(125)]
+    listed = sorted(wide)
+    for at in (0, 1, 64, 127, 128):  # 128 steps: every share is exact
+        assert ordered.exact_quantile(numbers(spark, wide), "v", at / 128) == listed[at]
+    assert ordered.exact_quantile(numbers(spark, [inf, inf, 1.0]), "v", 0.75) == inf
+
+
+def sizes(groups):
+    return sorted(r["count"] for r in groups.df.groupBy(*groups.part).count().collect())
+
+
+def test_chunks_are_cut_by_rows(spark):
+    far = spark.range(2000).select(F.lit("k").alias("k"), F.when(F.col("id") == 1999, 10**15).otherwise(F.col("id")).alias("pos"))
+    assert max(sizes(ordered.ordered_groups(far, ["k"], "pos", 20))) <= 21
+    nulls = spark.range(2000).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("pos"))
+    cut = ordered.ordered_groups(nulls, ["k"], "pos", 20)
+    assert max(sizes(cut)) <= 21
+    got = ordered.running_sums(cut, ["pos"], {"n": F.lit(1)}).rows().collect()
+    assert all(r["n"] == r["pos"] for r in got) and len(got) == 2000
+    ends = spark.createDataFrame([("k", -(2**63)), ("k", 2**63 - 1), ("k", 0)], "k string, pos bigint")
+    assert sizes(ordered.ordered_groups(ends, ["k"], "pos", 1)) == [1, 1, 1]
+
+
 def test_percent_rank_shares_ties(spark):
     ranked = ordered.average_percent_rank(numbers(spark, [1, 2, 2, 3, 7, 9, 11.0, None]), "v", "r").collect()
     got = {(r["v"], None if r["r"] is None else round(r["r"], 6)) for r in ranked}
@@ -93,6 +119,7 @@ def test_group_rows_reach_every_chunk(spark):
     assert joined.count() == df.count() and joined.filter("n IS NULL").count() == 0
 
 
-def test_a_group_must_hold_a_share_of_the_rows_to_be_cut(spark):
-    df = spark.range(10_000).select((F.col("id") % 5000).alias("k"), F.col("id").alias("pos"))
-    assert ordered.ordered_groups(df, ["k"], "pos", max_rows=1).hot is None
+def test_every_large_group_is_cut_however_many_there_are(spark):
+    df = spark.range(6000).select((F.col("id") % 1500).alias("k"), F.col("id").alias("pos"))
+    groups = ordered.ordered_groups(df, ["k"], "pos", max_rows=2)
+    assert groups.hot.count() == 1500 and max(sizes(groups)) == 2

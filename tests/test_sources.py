@@ -93,6 +93,22 @@ def test_bucketed_build_reruns_one_bucket(spark, rows):
     again = writers.build_by_bucket(df, path, "k", 4, doubled, only=[1])
     changed = {r["bucket"] for r in again.collect() if (r["k"], r["s"], r["bucket"]) not in set(first)}
     assert changed == {1} and again.count() == 20
+    # A bucket that has lost its rows must not keep its old ones.
+    emptied = writers.build_by_bucket(df.filter(F.lit(False)), path, "k", 4, total, only=[1])
+    assert {r["bucket"] for r in emptied.collect()} == {0, 2, 3}
+
+
+def test_repeated_matches_do_not_multiply_points(spark):
+    points = spark.createDataFrame(
+        [("m", "1", "1", str(n), "1", "1") for n in range(1, 5)],
+        "match_id string, SetNo string, GameNo string, PointNumber string, PointWinner string, PointServer string",
+    )
+    matches = spark.createDataFrame(
+        [("m", "Novak Djokovic", None), ("m", "Novak Djokovic", "Rafael Nadal"), ("m", "N Djokovic", "R. Nadal")],
+        "match_id string, player1 string, player2 string",
+    )
+    log = point_log(points, matches)
+    assert log.count() == 4 and {(r["player1"], r["player2"]) for r in log.collect()} == {("N. Djokovic", "R. Nadal")}
 
 
 def test_table_columns_can_be_added(spark):
