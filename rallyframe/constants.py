@@ -39,3 +39,17 @@ RAW_POINTS = (
     "P2GamesWon string, SetWinner string, P1PointsWon string, P2PointsWon string"
 )
 PLAYER_COUNTRIES = "player string, country string"
+_SET_GAMES = ", ".join(f"set{s}_p{p} double" for s in range(1, 6) for p in (1, 2))
+PREPARED_LOG = (
+    "match_id string, SetNo int, GameNo int, PointNumber int, PointWinner int, PointServer int, P1Score string, "
+    "P2Score string, tournament string, year int, player1 string, player2 string, P1_Sets_Won int, P2_Sets_Won int, "
+    "P1_Games_Won int, P2_Games_Won int, score string, P1Score_Pre string, P2Score_Pre string, server_point_win boolean, "
+    "server_name string, returner_name string, player1_serve_point_win_pct double, player1_return_point_win_pct double, "
+    "player2_serve_point_win_pct double, player2_return_point_win_pct double, is_tiebreak boolean, GameWin double, "
+    f"best_of_5 double, round double, match_winner string, {_SET_GAMES}"
+)
+SCORED_LOG = (
+    f"{PREPARED_LOG}, points_stake int, p1_points int, p2_points int, p1_win_prob_before double, "
+    "p1_win_prob_if_p1_wins double, p1_win_prob_if_p2_wins double, importance double, p1_wp_delta double, "
+    "p2_wp_delta double, match_winner_prob_before double"
+)

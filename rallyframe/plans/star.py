@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from rallyframe.functions.ids import tour, tournament_name
 from rallyframe.functions.names import canonical_names, initial_form
 from rallyframe.functions.scores import swap_for_server
-from rallyframe.operators.ordered import with_row_ids
-from rallyframe.operators.players import player_dimension
+from rallyframe.operators.filters import Filters
+from rallyframe.operators.ordered import join_on, with_row_ids
+from rallyframe.operators.players import attach_rates, player_dimension
 
 MATCH_COLUMNS = [
     "match_id", "tournament", "year", "player1", "player2", "best_of", "round", "points_stake", "match_winner",
@@ -33,12 +34,23 @@ def point_detail(log, key=True):
     return with_row_ids(points, ["match_id", "point_number"], "point_id") if key else points
 
 
+PROBABILITIES = [
+    "p1_win_prob_before", "p1_win_prob_if_p1_wins", "p1_win_prob_if_p2_wins", "importance", "p1_wp_delta", "p2_wp_delta",
+]
+
+
+def wide_facts(log):
+    """Attributes and probabilities of each point in one projection, with the year it is stored by."""
+    points = log.withColumns({"p1_score": F.col("server_token"), "p2_score": F.col("returner_token"), "score": swap_for_server()})
+    return points.select(
+        "match_id", "point_number", "year", "point_winner", "point_server", "p1_sets_won", "p2_sets_won", "p1_games_won",
+        "p2_games_won", "p1_score", "p2_score", "score", "server_name", "returner_name", "is_tiebreak", *PROBABILITIES,
+    )
+
+
 def point_probability(log, key=True):
     """Probability columns of each point."""
-    points = log.select(
-        "match_id", "point_number", "p1_win_prob_before", "p1_win_prob_if_p1_wins",
-        "p1_win_prob_if_p2_wins", "importance", "p1_wp_delta", "p2_wp_delta",
-    )
+    points = log.select("match_id", "point_number", *PROBABILITIES)
     return with_row_ids(points, ["match_id", "point_number"], "point_id") if key else points
 
 
@@ -67,7 +79,8 @@ def star_join(points, matches, players, filters, columns, probabilities=None, na
     """The serving join: points with their match and both players' status, filtered.
 
     Match filters and the player lookups work on match rows; points join the surviving
-    matches once. ``probabilities`` is only needed when they live in a table of their own.
+    matches once. ``probabilities`` is only needed when they live in a table of their own;
+    facts that carry ``year`` are filtered by it too, which prunes a table stored by year.
     Names of the match side are canonicalised with ``name_map`` like those of the player
     side, since otherwise matches with a variant spelling drop out. ``columns`` is a list
     or the name of a projection.
@@ -82,6 +95,8 @@ def star_join(points, matches, players, filters, columns, probabilities=None, na
         chosen = chosen.join(side, f"player{number}")
     chosen = filters.by_status(chosen)
     facts = points
+    if "year" in facts.columns:
+        facts = Filters(years=filters.years).apply(facts).drop("year")
     if probabilities is not None:
         facts = points.join(probabilities.drop("point_id"), ["match_id", "point_number"])
     return facts.join(chosen, "match_id").select(*(PROJECTIONS[columns] if isinstance(columns, str) else columns))
@@ -119,6 +134,16 @@ def dim_match(matches, players, events):
     )
 
 
+def fact_with_rates(fact, rates, server="server_id", returner="returner_id"):
+    """Fact rows with both roles' rates (left joins: unknown ids get the default rates).
+
+    Looked up once per distinct pair of ids, so that points are never dealt out by player.
+    """
+    pairs = fact.select(server, returner).distinct()
+    rated = attach_rates(pairs, rates, {server: "server", returner: "returner"})
+    return join_on(fact, rated, [server, returner])
+
+
 def fact_points(points, matches):
     """Points with their match's player ids resolved to server, returner and winner ids."""
     from rallyframe.operators.players import with_roles

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rallyframe.constants import PLAYER_COUNTRIES, RAW_MATCHES, RAW_POINTS
+from rallyframe.constants import PLAYER_COUNTRIES, PREPARED_LOG, RAW_MATCHES, RAW_POINTS, SCORED_LOG
 
 _PAIR = r"(\d{4})-([a-z]+)-(?:points|matches)\.csv"
 
@@ -45,6 +45,11 @@ def read_raw_matches(spark, folder, **narrow):
     return read_raw(spark, f"{folder}/*-matches.csv", RAW_MATCHES, **narrow)
 
 
+def read_stored_log(spark, folder, scored=False):
+    """The exported CSV parts of a prepared or scored log, typed, in the order of its columns."""
+    return read_parts(spark, folder, SCORED_LOG if scored else PREPARED_LOG)
+
+
 def read_player_countries(spark, path):
     return read_csv(spark, path, PLAYER_COUNTRIES)
 

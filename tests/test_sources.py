@@ -64,6 +64,16 @@ def test_metrics_run_on_a_stored_scored_log(spark, raw):
     assert metrics.unlikely_results(scored, 1.0, 0.0).count() == 2
 
 
+def test_stored_logs_have_typed_readers(spark, tmp_path):
+    from rallyframe import constants
+
+    assert len(constants.SCORED_LOG.split(", ")) == len(constants.PREPARED_LOG.split(", ")) + 10
+    row = spark.range(1).select(*[F.lit("1").alias(c.split()[0]) for c in constants.PREPARED_LOG.split(", ")])
+    writers.write_csv(row, str(tmp_path / "prepared"))
+    back = readers.read_stored_log(spark, str(tmp_path / "prepared"))
+    assert back.first()["P1_Sets_Won"] == 1 and dict(back.dtypes)["set5_p2"] == "double"
+
+
 def test_name_map_object(spark, tmp_path):
     path = tmp_path / "map.json"
     path.write_text(json.dumps({"C. Oconnell": "C. O'Connell", "A. de Minaur": "A. De Minaur"}, indent=2))

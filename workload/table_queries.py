@@ -21,7 +21,7 @@ from rallyframe.operators.filters import Filters, filter_options
 from rallyframe.operators.ordered import with_row_ids
 from rallyframe.operators.state import rebuild_state
 from rallyframe.plans import star
-from rallyframe.session import scratch_path
+from rallyframe.session import materialise, scratch_path
 from rallyframe.sources import readers, writers
 from workload import bindings as b
 from workload.metric_queries import _DIM_SQL, _r, _rate_log, _variant_map, rounded
@@ -150,6 +150,28 @@ SELECT p.match_id, point_number, CASE point_server WHEN 1 THEN player1_id ELSE p
 FROM p JOIN dm ON dm.match_id = p.match_id"""
 
 
+def fact_rates(spark, sf):
+    """Fact points joined with the rates of server and returner by their ids."""
+    games, players, events = _dimensions(spark, sf)
+    log = b.points(spark, sf).select("match_id", "point_number", "point_server", "point_winner")
+    fact = star.fact_points(pl.with_serve_outcome(log), star.dim_match(games, players, events))
+    # A rate of fewer than 40 points is not used, so some ids have none.
+    known = fact.groupBy(F.col("server_id").alias("player")).count().filter("count >= 40").select("player")
+    rates = pl.player_rates(fact, "server_id", "returner_id").join(known, "player")
+    rated = star.fact_with_rates(fact, rates)
+    columns = [f"{r}_{k}_point_win_pct" for r in ("server", "returner") for k in ("serve", "return")]
+    return rounded(rated.select("match_id", "point_number", "server_id", "returner_id", *columns), *columns)
+
+
+FACT_RATES = f"""WITH {b.POINTS_SQL}, {b.MATCHES_SQL}, {_DIMS_SQL},
+fp AS (SELECT p.match_id, point_number, CASE point_server WHEN 1 THEN player1_id ELSE player2_id END AS server_id,
+  CASE point_server WHEN 1 THEN player2_id ELSE player1_id END AS returner_id, CASE WHEN point_server = point_winner THEN 1e0 ELSE 0e0 END AS w FROM p JOIN dm ON dm.match_id = p.match_id),
+sv AS (SELECT server_id AS id, avg(w) AS s FROM fp GROUP BY 1 HAVING count(*) >= 40), rv AS (SELECT returner_id AS id, avg(1 - w) AS r FROM fp GROUP BY 1)
+SELECT fp.match_id, point_number, server_id, returner_id, {_r('coalesce(a.s, 62e-2)', 'server_serve_point_win_pct')}, {_r('CASE WHEN a.id IS NULL THEN 38e-2 ELSE coalesce(ar.r, 38e-2) END', 'server_return_point_win_pct')},
+  {_r('coalesce(c.s, 62e-2)', 'returner_serve_point_win_pct')}, {_r('CASE WHEN c.id IS NULL THEN 38e-2 ELSE coalesce(cr.r, 38e-2) END', 'returner_return_point_win_pct')}
+FROM fp LEFT JOIN sv a ON a.id = server_id LEFT JOIN rv ar ON ar.id = server_id LEFT JOIN sv c ON c.id = returner_id LEFT JOIN rv cr ON cr.id = returner_id"""
+
+
 def points_with_matches(spark, sf):
     """Points with their match's attributes; matches of one tournament only, so some points have none."""
     games = b.matches(spark, sf).filter(F.col("slam") != "usopen")
@@ -201,16 +223,15 @@ SELECT row_number() OVER (ORDER BY player) AS player_id, player, tour, serve_pct
 
 
 def star_join_results(spark, sf):
-    # The scored log is written once, by year, and every table of the star reads it from there.
+    # The scored log is written once, by year; its matches and players once from there.
     stored = scratch_path(spark, "scored")
     writers.write_parquet(_star_log(spark, sf), stored)
     log = readers.read_parquet(spark, stored)
-    names = _variant_map(log)
+    matches = materialise(star.match_detail(log, key=False))
+    names = _variant_map(matches)
+    players = materialise(pl.player_dimension(log, names))
     chosen = Filters(years=(2021, 2023, 2024), tour="ATP", tournament="All", status="Active")
-    joined = star.star_join(
-        star.point_detail(log, key=False), star.match_detail(log, key=False), pl.player_dimension(log, names),
-        chosen, "results", star.point_probability(log, key=False), names,
-    )
+    joined = star.star_join(star.wide_facts(log), matches, players, chosen, "results", name_map=names)
     return rounded(joined, *_PROBS)
 
 
@@ -225,7 +246,8 @@ WHERE mc.year IN (2021, 2023, 2024) AND mc.tour = 'ATP' AND (d1.player_status =
 def star_join_filtered(spark, sf):
     """The star join on order lines, orders and customers, summed per year and segment."""
     orders, customers = b.table(spark, sf, "orders"), b.table(spark, sf, "customer")
-    games = orders.select(
+    # The years as a range of dates, which the scan can use.
+    games = orders.filter("o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1999-01-01'").select(
         F.col("o_orderkey").alias("match_id"), F.year("o_orderdate").alias("year"),
         F.col("o_orderpriority").alias("tour"), F.col("o_orderstatus").alias("tournament_name"),
         F.col("o_custkey").alias("player1"), (F.col("o_custkey") + 1).alias("player2"),
@@ -436,6 +458,7 @@ QUERIES = {
     "country_enrich": (country_enrich, COUNTRY_ENRICH),
     "event_match_dims": (event_match_dims, EVENT_MATCH_DIMS),
     "fact_points": (fact_points, FACT_POINTS),
+    "fact_rates": (fact_rates, FACT_RATES),
     "points_with_matches": (points_with_matches, POINTS_WITH_MATCHES),
     "match_detail": (match_detail, f"{_STAR_SQL} SELECT * FROM md"),
     "point_detail": (point_detail, f"{_STAR_SQL} SELECT * FROM pd"),
