@@ -64,8 +64,11 @@ def _tiebreak_reference(own, other):
     return win
 
 
-def _tiebreak_standard(own, other, a, b):
-    """Tiebreak from (a, b) when the serve changes after points 1, 3, 5, ...; decided states count."""
+def _tiebreak_values(own, other):
+    """Tiebreak chance from any (a, b) when the serve changes after points 1, 3, 5, ...; decided states count.
+
+    ``own``/``other`` may be vectors, one entry for each pair; every score is worked out once.
+    """
     known = {}
 
     def serve(n):
@@ -83,7 +86,7 @@ def _tiebreak_standard(own, other, a, b):
             known[(i, j)] = x * value(i + 1, j) + (1 - x) * value(i, j + 1)
         return known[(i, j)]
 
-    return value(a, b)
+    return value
 
 
 # Slots of the value table beside the 7x7 game scores: level at 7-7 or later, one game
@@ -112,7 +115,7 @@ def _value_table(pa, pb, need, rules):
     if rules == "reference":
         breaker = {1: _tiebreak_reference(pa, 1 - pb), 2: _tiebreak_reference(1 - pb, pa)}
     else:
-        breaker = {1: _tiebreak_standard(pa, 1 - pb, 0, 0), 2: _tiebreak_standard(1 - pb, pa, 0, 0)}
+        breaker = {1: _tiebreak_values(pa, 1 - pb)(0, 0), 2: _tiebreak_values(1 - pb, pa)(0, 0)}
     table = np.zeros((need, need, 54, 3, len(pa)))
     ahead = _settled(game[1] * game[2], (1 - game[1]) * (1 - game[2]))
     for s1 in reversed(range(need)):
@@ -161,20 +164,27 @@ def _numbers(rows, rules):
             out[f"lose{server}"][at] = np.where(over, result, lost)
         tied = (g1 == 6) & (g2 == 6)
         if tied.any():
-            for row, pair in zip(at[tied], code[tied]):
-                if rules == "reference":
-                    breakers[row] = [breaker[1][pair], breaker[2][pair]]
-                else:
-                    breakers[row] = _tiebreak_grid(pa[pair], pb[pair])
+            # One list per distinct pair; rows of a pair share it.
+            used, which = np.unique(code[tied], return_inverse=True)
+            if rules == "reference":
+                lists = np.stack([breaker[1][used], breaker[2][used]], axis=1)
+            else:
+                lists = _tiebreak_grid(pa[used], pb[used])
+            shared = np.empty(len(used), dtype=object)
+            shared[:] = list(lists)
+            breakers[at[tied]] = shared[which]
     out["breaker"] = breakers
     return out
 
 
 def _tiebreak_grid(pa, pb):
-    """Player 1's tiebreak chance for every score, starter 1 first: 2 x 9 x 9 numbers in one list."""
-    own, other = np.array([pa, 1 - pb]), np.array([1 - pb, pa])
-    cells = [_tiebreak_standard(own, other, i, j) for i in range(GRID) for j in range(GRID)]
-    return np.stack(cells, axis=1).ravel().tolist()
+    """Player 1's tiebreak chance for every score, starter 1 first: 2 x 9 x 9 numbers for each pair."""
+    cells = [
+        value(i, j)
+        for value in (_tiebreak_values(pa, 1 - pb), _tiebreak_values(1 - pb, pa))
+        for i in range(GRID) for j in range(GRID)
+    ]
+    return np.stack(cells, axis=1)
 
 
 def with_game_values(states, rules="reference"):

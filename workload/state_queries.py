@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rallyframe.constants import GAME
 from rallyframe.functions.cleaning import cast_columns, census, clean, drop_sentinels, fill_defaults, numeric_only
 from rallyframe.functions.ids import best_of, id_parts, is_best_of_five, round_number, tour, tournament_name
-from rallyframe.functions.scores import score_labels, swap_for_server
+from rallyframe.functions.scores import by_code, score_labels, swap_for_server
 from rallyframe.operators.filters import valid_matches
 from rallyframe.operators.state import (
     carried_state,
@@ -84,7 +84,8 @@ FROM c WINDOW w AS (PARTITION BY match_id ORDER BY point_number)"""
 
 def game_match_winner(spark, sf):
     state = rebuild_state(b.points(spark, sf), tiebreak_at=3)
-    return with_match_winner(state.drop("match_winner_code")).select(*KEY, "game_win", "match_winner")
+    winner = by_code("match_winner_code", "player1", "player2")
+    return state.select(*KEY, "game_win", winner.alias("match_winner"))
 
 
 GAME_MATCH_WINNER = f"""WITH {b.POINTS_SQL}, {b.state_sql('p', 3)}
