@@ -3,6 +3,7 @@
 import re
 
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from rallyframe.session import scratch_path
 
@@ -24,3 +25,20 @@ def stored(df, label="step"):
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Values of the filters below; they bound what is broadcast and only save work.
+BUCKETS = 1 << 20
+
+
+def narrowed(df, column, wanted):
+    """Rows of ``df`` whose ``column`` may be among the values of the one-column frame ``wanted``.
+
+    A filter before a shuffle: it sends at most BUCKETS small numbers to every task and passes
+    all rows that match, and by chance some more.
+    """
+    def bucket(name):
+        return F.pmod(F.xxhash64(F.col(name)), F.lit(BUCKETS))
+
+    some = wanted.select(bucket(wanted.columns[0]).alias("_bucket")).distinct()
+    return df.join(F.broadcast(some), bucket(column) == F.col("_bucket"), "left_semi")

@@ -9,10 +9,13 @@ prefix.
 1. Equal sets collapse to one class, classes with equal prefix and size to one group.
 2. Rows (shingle, group) are range-partitioned, so a frequent shingle may span many tasks.
 3. Star pairs (least group of a shingle, group) and (least class of a group, class) are
-   verified on whole sets. This links most of every large group of copies at linear cost.
+   verified. This links most of every large group of copies at linear cost.
 4. All pairs of groups that share a prefix shingle, are not yet in one component and pass the
    size and position filters are expanded to their classes and verified. This finds
    whatever the stars missed, so the result is exact.
+
+Verification first bounds the overlap from small bit maps of the sets (a bit that only one set
+has stands for a shingle that the other lacks) and then compares the whole sets of what is left.
 """
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm import text as bytes_
 from rallyframe.llm.components import connected_components, release
-from rallyframe.llm.files import stored
+from rallyframe.llm.files import narrowed, stored
 
 WORDS = 5
 #: Share of a set, from its least hashes, that is counted to find frequent shingles.
@@ -70,6 +73,24 @@ def shingle_sets(array, words=WORDS):
     return sets
 
 
+def bit_map(s):
+    """A set as bits: a power of two of them, 1024 at least and twice the set's size or more."""
+    size = max(1024, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 1024
+    bits = np.zeros(size, np.uint8)
+    bits[(bytes_.mix(s + np.uint64(7)) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_overlap(n1, bits1, n2, bits2):
+    """An upper bound of the overlap of two sets from their sizes and bit maps."""
+    a, b = np.frombuffer(bits1, "<u8"), np.frombuffer(bits2, "<u8")
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(n1 - int(np.bitwise_count(a & ~b).sum()), n2 - int(np.bitwise_count(b & ~a).sum()))
+
+
 def prefix_length(n, percent):
     """How many first shingles of a set of n must be looked at."""
     return n - -(-n * percent // 100) + 1
@@ -111,7 +132,7 @@ def _profiles(rows, frequent, words, percent):
 
     def profile(batches):
         for batch in _each(batches):
-            n, one, two, group, prefixes = [], [], [], [], []
+            n, one, two, group, prefixes, maps = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 size = len(s)
                 if size and len(sorted_frequent):
@@ -121,6 +142,7 @@ def _profiles(rows, frequent, words, percent):
                         s = np.concatenate([s[~hot], s[hot][np.argsort(by_value[at[hot]], kind="stable")]])
                 head = s[: prefix_length(size, percent)] if size else s
                 n.append(size)
+                maps.append(bit_map(s))
                 one.append(int(bytes_.mix(s + np.uint64(size)).sum(dtype=np.uint64)))
                 two.append(int(bytes_.mix(s * bytes_.BASE + np.uint64(1)).sum(dtype=np.uint64)))
                 mark = (head * bytes_.powers(len(head))).sum(dtype=np.uint64) + np.uint64(size)
@@ -131,11 +153,12 @@ def _profiles(rows, frequent, words, percent):
                 [
                     batch.column(0), pa.array(n, pa.int32()), *[pa.array(_signed(np.array(x, np.uint64))) for x in (one, two, group)],
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]))),
+                    pa.array(maps, pa.binary()),
                 ],
-                ["id", "n", "one", "two", "grp", "prefix"],
+                ["id", "n", "one", "two", "grp", "prefix", "bits"],
             )
 
-    return rows.mapInArrow(profile, "id long, n int, one long, two long, grp long, prefix array<long>")
+    return rows.mapInArrow(profile, "id long, n int, one long, two long, grp long, prefix array<long>, bits binary")
 
 
 def _stars(rows, percent):
@@ -194,13 +217,34 @@ def _needed(percent):
     return f"ceil({percent}D * (n1 + n2) / {100 + percent})"
 
 
-def _verify(docs, pairs, words, percent):
+def _ids(pairs):
+    return pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
+
+
+def _possible(profiles, pairs, percent):
+    """The pairs (a, b) of ids whose bit maps leave the similarity possible."""
+    maps = narrowed(profiles.select("id", "n", "bits"), "id", _ids(pairs))
+    left = maps.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("m1"))
+    right = maps.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("m2"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n1", "m1", "n2", "m2")
+
+    def check(batches):
+        for batch in batches:
+            rows = zip(*[batch.column(i).to_pylist() for i in range(2, 6)])
+            keep = [(100 + percent) * most_overlap(n1, m1, n2, m2) >= percent * (n1 + n2) for n1, m1, n2, m2 in rows]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return stored(met.mapInArrow(check, "a long, b long").distinct(), "possible")
+
+
+def _verify(docs, profiles, pairs, words, percent):
     """The pairs (a, b) of ids whose whole sets reach the similarity.
 
     Sets are made anew from the texts of the ids that occur; a pair meets its two sets in two
     joins, whose frequent keys Spark may split.
     """
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
+    pairs = _possible(profiles, pairs, percent)
+    ids = _ids(pairs)
 
     def sets(batches):
         for batch in _each(batches):
@@ -210,7 +254,7 @@ def _verify(docs, pairs, words, percent):
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "tokens"])
 
     whole = stored(
-        docs.join(ids, F.col("id") == F.col("_id"), "left_semi").mapInArrow(sets, "id long, tokens array<long>"), "sets"
+        narrowed(docs, "id", ids).join(ids, F.col("id") == F.col("_id"), "left_semi").mapInArrow(sets, "id long, tokens array<long>"), "sets"
     )
     left = whole.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = whole.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
@@ -264,13 +308,11 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
         ), "shared",
     )
     release(spark)
-    # Stars: pairs that share enough of the shorter prefix go first; the rest is left to the exact step.
-    counted = shared.filter("lead <> gid").groupBy(F.col("lead").alias("a"), F.col("gid").alias("b")).agg(
-        F.count(F.lit(1)).alias("c"), F.max("n").alias("n")
-    ).filter(f"c * 10 >= n * {100 - percent} / 100D * 3").select("a", "b")
+    counted = shared.filter("lead <> gid").select(F.col("lead").alias("a"), F.col("gid").alias("b"))
     inner = classes.filter("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
     star_pairs = stored(counted.union(inner).distinct(), "pairs")
-    links = _verify(rows, star_pairs, words, percent)
+    links = _verify(rows, profiles, star_pairs, words, percent)
+    release(spark)
     parts = connected_components(links)
     release(spark)
 
@@ -307,7 +349,9 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
     )
     within = w1.join(w2, "gid").filter("a < b AND component1 <> component2").select("a", "b")
     rest = stored(across.union(within).distinct(), "pairs")
-    more = _verify(rows, rest, words, percent)
+    release(spark)
+    more = _verify(rows, profiles, rest, words, percent)
+    release(spark)
     labels = connected_components(links.union(more))
 
     named = classes.join(labels, F.col("cid") == F.col("id"), "left").select(
