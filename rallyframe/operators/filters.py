@@ -146,8 +146,10 @@ def finished(top_sets, tour, sets_needed=None):
 def valid_matches(df, sets_needed=None):
     """Drop matches in which a side already reached the set count that ends a match of its tour."""
     over = (
-        df.groupBy("match_id")
-        .agg(F.max(F.greatest("p1_sets_won", "p2_sets_won")).alias("_top"), F.min("tour").alias("_tour"))
+        df.groupBy("match_id", "tour")
+        .agg(F.max(F.greatest("p1_sets_won", "p2_sets_won")).alias("_top"))
+        .groupBy("match_id")
+        .agg(F.max("_top").alias("_top"), F.min("tour").alias("_tour"))
         .filter(finished("_top", "_tour", sets_needed))
         .select("match_id")
     )

@@ -36,17 +36,28 @@ def per_player(df, *keep):
 def player_deltas(df):
     """Sum, mean and count of probability changes, overall and under pressure, and the usual tour."""
     pressure = F.when(F.col("is_high_pressure"), F.col("wp_delta"))
-    return (
+    # Points are hash-aggregated by player and tour; the usual tour is picked from those few rows.
+    by_tour = (
         per_player(df, "is_high_pressure", "tour")
-        .groupBy("player")
+        .groupBy("player", "tour")
+        .agg(
+            F.sum("wp_delta").alias("d"), F.count("wp_delta").alias("n"), F.count(F.lit(1)).alias("rows"),
+            F.sum(pressure).alias("dh"), F.count(pressure).alias("nh"),
+        )
+    )
+    often = F.when(F.col("tour").isNotNull(), F.struct((-F.col("rows")).alias("rows"), "tour"))
+    nothing = F.lit(0.0)
+    return (
+        by_tour.groupBy("player")
         .agg(
-            F.coalesce(F.sum("wp_delta"), F.lit(0.0)).alias("total_delta"),
-            F.coalesce(F.avg("wp_delta"), F.lit(0.0)).alias("avg_delta"),
-            F.count("wp_delta").alias("total_points"),
-            F.coalesce(F.mode("tour", True), F.lit("Unknown")).alias("tour"),
-            F.coalesce(F.sum(pressure), F.lit(0.0)).alias("total_delta_hp"),
-            F.coalesce(F.avg(pressure), F.lit(0.0)).alias("avg_delta_hp"),
-            F.count(pressure).alias("hp_points"),
+            F.sum("d").alias("d"), F.sum("n").alias("total_points"), F.min(often).alias("often"),
+            F.sum("dh").alias("dh"), F.sum("nh").alias("hp_points"),
+        )
+        .select(
+            "player", F.coalesce("d", nothing).alias("total_delta"),
+            F.coalesce(F.try_divide("d", "total_points"), nothing).alias("avg_delta"), "total_points",
+            F.coalesce("often.tour", F.lit("Unknown")).alias("tour"), F.coalesce("dh", nothing).alias("total_delta_hp"),
+            F.coalesce(F.try_divide("dh", "hp_points"), nothing).alias("avg_delta_hp"), "hp_points",
         )
     )
 
@@ -77,16 +88,22 @@ def pressure_rankings(df, min_pressure_points=200):
     )
     won = F.col("won").cast("double")
     pressure = F.when(F.col("is_high_pressure"), won)
+    # Points are hash-aggregated by player, role and tour; the tour shown is picked from those few rows.
     per_role = (
         df.select("is_high_pressure", "tour", roles.alias("r"))
         .select("is_high_pressure", "tour", "r.*")
         .filter(F.col("player").isNotNull())
-        .groupBy("player", "role")
+        .groupBy("player", "role", "tour")
         .agg(
-            F.avg(won).alias("win_all"),
-            F.avg(pressure).alias("win_hp"),
+            F.sum(won).alias("w"), F.count(won).alias("n"), F.sum(pressure).alias("wh"), F.count(pressure).alias("nh"),
             F.count(F.lit(1)).alias("points"),
-            F.count(pressure).alias("hp_points"),
+        )
+        .groupBy("player", "role")
+        .agg(
+            F.try_divide(F.sum("w"), F.sum("n")).alias("win_all"),
+            F.try_divide(F.sum("wh"), F.sum("nh")).alias("win_hp"),
+            F.sum("points").alias("points"),
+            F.sum("nh").alias("hp_points"),
             F.min("tour").alias("tour"),
         )
         .filter((F.col("hp_points") > 0) & (F.col("hp_points") >= min_pressure_points))
@@ -162,11 +179,15 @@ def unlikely_results(df, low=0.10, high=0.90, sets_needed=None):
     unlikely_win = F.col("is_winner") & (F.col("wp_before") <= low)
     unlikely_loss = ~F.col("is_winner") & (F.col("wp_before") >= high)
     per_match = (
-        sides.groupBy("player", "match_id")
+        sides.groupBy("player", "match_id", "tour")
         .agg(
             F.max(unlikely_win.cast("int")).alias("win"),
             F.max(unlikely_loss.cast("int")).alias("loss"),
             F.max("top_sets").alias("top_sets"),
+        )
+        .groupBy("player", "match_id")
+        .agg(
+            F.max("win").alias("win"), F.max("loss").alias("loss"), F.max("top_sets").alias("top_sets"),
             F.min("tour").alias("tour"),
         )
         .filter(~finished("top_sets", "tour", sets_needed))
