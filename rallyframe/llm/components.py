@@ -19,6 +19,10 @@ def _min_neighbour(edges):
     return edges.join(least, F.col("u") == F.col("_u")).select("u", "v", "m")
 
 
+#: Edges for each file of a round; small graphs are not spread over all shuffle partitions.
+FILE_EDGES = 500_000
+
+
 def connected_components(edges, max_rounds=60):
     """(id, component) for every id of ``edges`` (columns a, b): component is the least id reachable.
 
@@ -30,7 +34,10 @@ def connected_components(edges, max_rounds=60):
     """
     spark = edges.sparkSession
     kind = edges.schema["a"].dataType
-    current = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges")
+    listed = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
+    # Contraction never adds edges, so the first count bounds all rounds.
+    files = max(1, -(-listed.count() // FILE_EDGES))
+    current = stored(listed.distinct().coalesce(files), "edges")
     seen = None
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,7 +45,8 @@ def connected_components(edges, max_rounds=60):
         small = _min_neighbour(large.filter("u > v"))
         step = small.select(F.col("v").alias("x"), "m").union(small.select(F.col("u").alias("x"), "m"))
         current = stored(
-            step.filter("x <> m").distinct().select(F.col("x").cast(kind).alias("u"), F.col("m").cast(kind).alias("v")), "star"
+            step.filter("x <> m").distinct().select(F.col("x").cast(kind).alias("u"), F.col("m").cast(kind).alias("v")).coalesce(files),
+            "star",
         )
         mark = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == seen:
@@ -50,6 +58,6 @@ def connected_components(edges, max_rounds=60):
     return stored(
         current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
             roots.select("id", F.col("id").alias("component"))
-        ),
+        ).coalesce(files),
         "components",
     )
