@@ -10,7 +10,9 @@ prefix.
 2. Rows (shingle, group) are range-partitioned, so a frequent shingle may span many tasks.
 3. Star pairs (least group of a shingle, group) and (least class of a group, class) are
    verified. This links most of every large group of copies at linear cost.
-4. All pairs of groups that share a prefix shingle, are not yet in one component and pass the
+4. TURNS times, another member leads each shingle whose groups still lie in several components,
+   chosen by a hash, and is paired with those outside its component.
+5. All pairs of groups that share a prefix shingle, are not yet in one component and pass the
    size and position filters are expanded to their classes and verified. This finds
    whatever the stars missed, so the result is exact.
 
@@ -33,6 +35,8 @@ COUNTED = 0.36
 #: The list of frequent shingles: at most so many (8 bytes each reach every task).
 FREQUENT = 1 << 17
 LEAST_FREQUENT = 24
+#: Rounds of further star pairs before the exact step.
+TURNS = 3
 
 
 def shingle_sets(array, words=WORDS):
@@ -217,6 +221,30 @@ def _needed(percent):
     return f"ceil({percent}D * (n1 + n2) / {100 + percent})"
 
 
+def _may_link(percent):
+    """SQL: rows 1 and 2 of a shingle lie in different components and may reach the similarity."""
+    return (
+        f"component1 <> component2 AND least(n1, n2) * 100 >= greatest(n1, n2) * {percent} "
+        f"AND 1 + least(n1 - pos1 - 1, n2 - pos2 - 1) + least(pos1, pos2) >= {_needed(percent)}"
+    )
+
+
+def _members(classes, parts):
+    """The classes of every group with their components so far."""
+    named = classes.select("gid", "cid", "n").distinct().join(parts, F.col("cid") == F.col("id"), "left")
+    return stored(named.select("gid", "cid", "n", F.coalesce("component", "cid").alias("component")), "members")
+
+
+def _open(shared, members):
+    """Rows of the shingles whose groups lie in several components, once per component of a group."""
+    spread = shared.select("token", "gid", "n", "pos").join(members.select("gid", "component").distinct(), "gid")
+    mixed = (
+        spread.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+        .filter("_lo <> _hi").select(F.col("token").alias("_t"))
+    )
+    return stored(spread.join(mixed, F.col("token") == F.col("_t"), "left_semi"), "open")
+
+
 def _ids(pairs):
     return pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
 
@@ -316,24 +344,28 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
     parts = connected_components(links)
     release(spark)
 
+    for turn in range(TURNS):
+        open_rows = _open(shared, _members(classes, parts))
+        marked = open_rows.withColumn("_h", F.xxhash64("gid", F.lit(turn)))
+        least = marked.groupBy("token").agg(F.min("_h").alias("_least")).select(F.col("token").alias("_t"), "_least")
+        leaders = marked.join(least, (F.col("token") == F.col("_t")) & (F.col("_h") == F.col("_least"))).select(
+            "token", *[F.col(c).alias(c + "1") for c in ("gid", "n", "pos", "component")]
+        )
+        others = open_rows.select("token", *[F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "component")])
+        met = leaders.join(others, "token").filter(f"gid1 <> gid2 AND {_may_link(percent)}")
+        found = stored(met.select(F.col("gid1").alias("a"), F.col("gid2").alias("b")).distinct(), "pairs")
+        release(spark)
+        links = stored(links.union(_verify(rows, profiles, found, words, percent)), "links")
+        release(spark)
+        parts = connected_components(links)
+    release(spark)
+
     # Exact step: groups of several components that share a shingle.
-    members = classes.select("gid", "cid", "n").distinct().join(parts, F.col("cid") == F.col("id"), "left").select(
-        "gid", "cid", "n", F.coalesce("component", "cid").alias("component")
-    )
-    members = stored(members, "members")
-    # A group stands in its shingles once per component of its classes.
-    spread = shared.select("token", "gid", "n", "pos").join(members.select("gid", "component").distinct(), "gid")
-    mixed = (
-        spread.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        .filter("_lo <> _hi").select(F.col("token").alias("_t"))
-    )
-    open_rows = stored(spread.join(mixed, F.col("token") == F.col("_t"), "left_semi"), "open")
+    members = _members(classes, parts)
+    open_rows = _open(shared, members)
     x = open_rows.select("token", *[F.col(c).alias(c + "1") for c in ("gid", "n", "pos", "component")])
     y = open_rows.select("token", *[F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "component")])
-    met = x.join(y, "token").filter(
-        f"gid1 < gid2 AND component1 <> component2 AND least(n1, n2) * 100 >= greatest(n1, n2) * {percent} "
-        f"AND 1 + least(n1 - pos1 - 1, n2 - pos2 - 1) + least(pos1, pos2) >= {_needed(percent)}"
-    )
+    met = x.join(y, "token").filter(f"gid1 < gid2 AND {_may_link(percent)}")
     near = (
         met.groupBy("gid1", "gid2", "component1", "component2")
         .agg(F.count(F.lit(1)).alias("c"), F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max("pos1").alias("i"), F.max("pos2").alias("j"))
