@@ -91,7 +91,7 @@ def op7_main_text(spark, folder):
 
 def op8_fuzzy_lines(spark, folder):
     """All documents without lines that repeat an earlier line."""
-    done = lines.without_repeats(_table(spark, folder, "documents"))
+    done = lines.without_repeats(_table(spark, folder, "documents"), distance=None)
     return done.select("doc.doc_id", "doc.text", F.col("dropped").alias("n_removed"))
 
 
