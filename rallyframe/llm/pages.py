@@ -28,19 +28,27 @@ MARKS = frozenset(
     "share sharing social related recommended recommendations widget toolbar pagination pager copyright legal "
     "contentinfo complementary search form".split()
 )
+#: A name of two parts is a mark by its second if the first says where it lies.
+AREAS = frozenset("site page main global primary secondary top bottom mobile post article entry".split())
+#: Second parts that tell how a page is laid out or what state it is in, not what an element holds.
+STATES = frozenset(
+    "open opened closed active inactive visible hidden shown on off enabled disabled free none less fixed sticky "
+    "collapsed expanded accepted left right layout content main page".split()
+)
 #: Common function words of the languages that are told apart.
 STOP = frozenset(
     (
         "the of and to in is that it for was on as with be by at this from are or an have not but they his her which a "
         "der die das und in zu den von mit sich des auf für ist im dem nicht ein eine als auch es an er hat aus bei "
         "le la les de des du et un une en que qui est dans pour par sur au ce il pas plus avec se ne son "
-        "el los las y del se una por con para su al lo como más pero sus o este esta"
+        "el los las y del se una por con para su al lo como más pero sus o este esta "
     ).split()
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+PART = re.compile(r"[-_]+")
 SPACE = re.compile(r"\s+")
 
 #: Rules of the first pass.
@@ -60,12 +68,27 @@ class Block:
         self.text, self.linked, self.outside, self.inside, self.label = text, linked, outside, inside, OPEN
 
 
-def _marked(attributes, in_article):
-    for match in NAMED.finditer(attributes):
-        words = set(re.split(r"[^a-z]+", (match[1] or match[2] or match[3] or "").lower()))
-        if words & MARKS and not (in_article and words & MARKS == {"header"}):
+def _mark(name):
+    """The mark that a class, id or role name stands for, if any: as a whole, by its first part or after an area."""
+    if name in MARKS:
+        return name
+    first, *rest = PART.split(name)
+    if first in MARKS and rest and not STATES.intersection(rest):
+        return first
+    return rest[0] if first in AREAS and len(rest) == 1 and rest[0] in MARKS else None
+
+
+def _marked(attributes, in_article, main):
+    """Whether the attributes of an element make it no part of the article; names never remove main or article."""
+    for match in ATTRIBUTE.finditer(attributes):
+        name, value = match[1].lower(), (match[2] or match[3] or match[4] or "").lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value.strip() == "true" or name == "style" and UNSHOWN.search(value):
             return True
-    return bool(HIDDEN.search(attributes))
+        if name in ("class", "id", "role") and not main:
+            marks = {m for m in map(_mark, value.split()) if m}
+            if marks and not (in_article and marks == {"header"}):
+                return True
+    return False
 
 
 def blocks(page):
@@ -134,7 +157,7 @@ def blocks(page):
             continue
         main = name in ("article", "main") and not outside
         # A header inside an article is the article's own.
-        foreign = (name in OUTSIDE and not (name == "header" and articles)) or (name != "body" and name != "html" and _marked(match[3], articles > 0))
+        foreign = (name in OUTSIDE and not (name == "header" and articles)) or (name != "body" and name != "html" and _marked(match[3], articles > 0, name in ("article", "main")))
         if main and not articles:
             number += 1
         stack.append((name, int(foreign), int(main and not foreign)))
@@ -150,7 +173,8 @@ def classify(found):
     for b in found:
         words = b.text.lower().split()
         density = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
-        if b.outside or b.linked > LINKED * len(b.text) or "©" in b.text:
+        # A mark of rights tells of a footer only in a short block.
+        if b.outside or b.linked > LINKED * len(b.text) or ("©" in b.text and not b.inside and len(b.text) < LONG):
             b.label = BAD
         elif len(b.text) >= LONG and (b.inside or density >= STOPPED):
             b.label = GOOD

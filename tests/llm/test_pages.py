@@ -1,3 +1,5 @@
+import pytest
+
 from rallyframe.llm.pages import extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -39,3 +41,28 @@ def test_rows_stay_one_to_one(spark):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert max(r.n_chars for r in got) == 11 * 50_000 - 1
     assert extract(pages.filter("false")).count() == 0
+
+
+BODY = "The text of the page goes on for quite some time and it has all of the usual words of an article in it."
+
+
+@pytest.mark.parametrize(
+    "head",
+    [
+        '<div class="overflow-hidden"><article>', '<div data-hidden="0"><article>', '<main class="has-sidebar">', '<div class="content-with-sidebar"><article>',
+        '<article class="post social">', '<div class="wrapper menu-open"><div>', '<div title="hidden treasure" data-id="sidebar"><main id=search>',
+    ],
+)
+def test_loose_names_remove_no_article(head):
+    assert main_text(f"<body>{head}<p>{BODY}</p></body>") == BODY
+
+
+@pytest.mark.parametrize("head", ["<div hidden>", "<div class='x sidebar'>", "<div class=sidebar-list>", "<div id=site-footer>", "<div style='color:red; display: none'>", "<article hidden>"])
+def test_marked_and_hidden_elements_still_go(head):
+    assert main_text(f"<body>{head}<p>{BODY}</p></body>") == ""
+
+
+def test_copyright_sign_in_a_long_block():
+    text = BODY + " The photo is © of its owner."
+    assert main_text(f"<article><p>{text}</p></article><p>© a site</p>") == text
+    assert main_text(f"<div><p>{text}</p></div>") == text
