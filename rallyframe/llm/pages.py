@@ -42,6 +42,13 @@ STOP = frozenset(
         "der die das und in zu den von mit sich des auf für ist im dem nicht ein eine als auch es an er hat aus bei "
         "le la les de des du et un une en que qui est dans pour par sur au ce il pas plus avec se ne son "
         "el los las y del se una por con para su al lo como más pero sus o este esta "
+        "os as dos das do da na no em um uma não mais foi são ao pela pelo seu sua também "
+        "il gli di che per non della dei nel alla sono anche dal ma ha è "
+        "het een van voor niet zijn op aan met ook maar bij naar wordt "
+        "och att det som på för av är inte till har med om jag af til ikke "
+        "i w z na się nie do jest że to od jak przez dla oraz po ale "
+        "и в не на что с по как это из у за от для он но к а то его "
+        "a je v se že na ve pro jsou ale bir ve bu da için ile çok olarak daha"
     ).split()
 )
 
@@ -55,6 +62,9 @@ SPACE = re.compile(r"\s+")
 LINKED = 0.33
 LONG = 70
 STOPPED = 0.2
+UNTOLD = 0.25
+#: Characters of scripts that say a word in one or two of them; they count twice.
+DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 GOOD, BAD, OPEN = 1, -1, 0
 
@@ -169,14 +179,26 @@ def blocks(page):
 
 
 def classify(found):
-    """Set the labels of the blocks of one page, in two passes."""
+    """Set the labels of the blocks of one page, in two passes.
+
+    Stop words are those of some languages. On a page where no block inside an article and few of the
+    others (under UNTOLD of their text) reach them, long blocks of few links are good by length alone.
+    """
+    untold, told = [], 0
     for b in found:
         words = b.text.lower().split()
         density = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
+        size = len(b.text) + len(DENSE.findall(b.text))
         # A mark of rights tells of a footer only in a short block.
-        if b.outside or b.linked > LINKED * len(b.text) or ("©" in b.text and not b.inside and len(b.text) < LONG):
+        if b.outside or b.linked > LINKED * len(b.text) or ("©" in b.text and not b.inside and size < LONG):
             b.label = BAD
-        elif len(b.text) >= LONG and (b.inside or density >= STOPPED):
+        elif size >= LONG and (b.inside or density >= STOPPED):
+            b.label = GOOD
+            told += size
+        elif size >= LONG:
+            untold.append((b, size))
+    if told < UNTOLD * (told + sum(n for _, n in untold)) and not any(b.inside and b.label == GOOD for b in found):
+        for b, _ in untold:
             b.label = GOOD
     decided = [b.label for b in found]
     for i, b in enumerate(found):

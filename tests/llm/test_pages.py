@@ -66,3 +66,17 @@ def test_copyright_sign_in_a_long_block():
     text = BODY + " The photo is © of its owner."
     assert main_text(f"<article><p>{text}</p></article><p>© a site</p>") == text
     assert main_text(f"<div><p>{text}</p></div>") == text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Depois de muitos anos de trabalho, a equipa apresentou ontem os resultados do estudo sobre o clima da região.",
+        "Po wielu latach pracy zespół przedstawił wczoraj wyniki badań nad klimatem regionu, które zaskoczyły ekspertów.",
+        "После многих лет работы группа представила вчера результаты исследования климата региона, удивившие экспертов.",
+        "Monivuotisen työn jälkeen ryhmä esitteli eilen alueen ilmastoa koskevan tutkimuksen tulokset, jotka yllättivät.",
+        "经过多年的工作，研究小组昨天公布了有关该地区气候的研究结果，这些结果让许多专家感到惊讶，也引起了公众的广泛关注。",
+    ],
+)
+def test_other_languages_without_article(text):
+    assert main_text(f"<div><a href=\"/x\">x</a></div><div><p>{text}</p><p>{text}</p></div><div class=footer>{text}</div>") == f"{text}\n{text}"
