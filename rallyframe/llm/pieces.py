@@ -2,10 +2,12 @@
 
 The model file is a protobuf message; its pieces, types, scores and normaliser settings are
 read from the wire format and rebuilt as a tokenizer: normaliser (character map, dummy prefix,
-white-space mark), unigram scores or merges in order of score, byte fallback, decoder. Every
-distinct word is compared with the sentencepiece library as it is first encoded.
+white-space mark), unigram scores or merges in order of score, byte fallback, decoder. The ids
+of every whole text, as assembled from its words, are compared with those of the sentencepiece
+library, written to the shared folder, read again and decoded.
 """
 
+import hashlib
 import os
 import re
 import struct
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from rallyframe.llm.files import stored
 from rallyframe.llm.tokens import WordCache
 
 MARK = "▁"
@@ -203,26 +206,45 @@ class PieceCodec(WordCache):
         return self.tokenizer.decode_batch([x.tolist() for x in many], skip_special_tokens=False)
 
 
-def _rows(docs, key, text):
-    return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+def _rows(docs, key, text, also=()):
+    return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *also)
 
 
-def encode_ids(docs, path, key="doc_id", text="text", threads=2):
-    """(key, ids array<int>) per row, over whole texts; null texts are empty and give no ids."""
+def encode_ids(docs, path, key="doc_id", text="text", threads=2, checked=False, also=()):
+    """(key, ids array<int>) per row, over whole texts; null texts are empty and give no ids.
+
+    Columns of longs named in ``also`` follow. ``checked`` adds ``text_sha256`` and ``parity``: whether
+    the ids of the whole text, as assembled, are those that the sentencepiece library gives it.
+    """
+    names = [key, "ids", *also, *(["text_sha256", "parity"] if checked else [])]
 
     def work(batches):
         from rallyframe.llm.text import slices
 
-        codec = None
+        codec = reference = None
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20):
                 codec = codec or PieceCodec(path, threads, verify=False)
-                found = codec.encode(batch.column(1).to_pylist())
+                texts = batch.column(1).to_pylist()
+                found = codec.encode(texts)
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = pa.array(np.concatenate([*found, np.zeros(0, "<u4")]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), values)], [key, "ids"])
+                columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), values), *batch.columns[2:]]
+                if checked:
+                    if reference is None:
+                        import sentencepiece
+
+                        reference = sentencepiece.SentencePieceProcessor(model_file=path)
+                    same = [np.array_equal(np.array(reference.encode(t), "<u4"), x) for t, x in zip(texts, found)]
+                    columns += [pa.array([_digest(t) for t in texts], pa.binary()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    more = "".join(f", `{c}` long" for c in also) + (", text_sha256 binary, parity boolean" if checked else "")
+    return _rows(docs, key, text, [F.col(c).cast("long").alias(c) for c in also]).mapInArrow(work, f"`{key}` long, ids array<int>{more}")
+
 
-    return _rows(docs, key, text).mapInArrow(work, f"`{key}` long, ids array<int>")
+def _digest(text):
+    return hashlib.sha256(text.encode()).digest()
 
 
 def decode_ids(encoded, path, key="doc_id", ids="ids", threads=2):
@@ -242,36 +264,49 @@ def decode_ids(encoded, path, key="doc_id", ids="ids", threads=2):
     )
 
 
-def encode_report(docs, path, key="doc_id", text="text", threads=2):
-    """Encode, decode and verify every whole text: (key, n_pieces, ids_crc32, round_trip, parity).
+def written_ids(docs, path, key="doc_id", text="text", threads=2, also=()):
+    """The checked rows of ``encode_ids``, written to the shared folder and read from there."""
+    return stored(encode_ids(docs, path, key, text, threads, True, also), "pieces")
 
-    ``ids_crc32`` is the unsigned CRC-32 of the ids as little-endian 32-bit integers;
-    ``round_trip`` says that decoding gives the text back (a literal white-space mark decodes
-    to a blank, in either library); ``parity`` that both libraries encode all its words alike.
-    Null texts are empty; null keys, ties and repeated rows stay as they are; an empty table
-    gives no rows; other columns are ignored.
+
+def ids_report(written, path, key="doc_id", threads=2, also=()):
+    """(key, n_pieces, ids_crc32, round_trip, parity) and the columns ``also`` of rows of ``written_ids``.
+
+    All but parity is worked out from the ids as they were read.
     """
+    kept = [written.schema[c] for c in also]
 
     def work(batches):
-        from rallyframe.llm.text import slices
-
         codec = None
-        for whole in batches:
-            for batch in slices(whole, 1, 2 << 20):
-                codec = codec or PieceCodec(path, threads)
-                texts = batch.column(1).to_pylist()
-                found = codec.encode(texts)
-                back = codec.decode(found)
+        for batch in batches:
+            codec = codec or PieceCodec(path, threads, verify=False)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                ids = [np.asarray(x.values.to_numpy(zero_copy_only=False), "<u4") for x in part.column(1)]
+                back = [_digest(t) for t in codec.decode(ids)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), pa.array([len(x) for x in found], pa.int64()),
-                        pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()),
-                        pa.array([t == b for t, b in zip(texts, back)], pa.bool_()),
-                        pa.array([codec.agrees(t) for t in texts], pa.bool_()),
+                        part.column(0), pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                        pa.array([d == b for d, b in zip(part.column(2).to_pylist(), back)], pa.bool_()),
+                        *part.columns[3:],
                     ],
-                    [key, "n_pieces", "ids_crc32", "round_trip", "parity"],
+                    [key, "n_pieces", "ids_crc32", "round_trip", "parity", *also],
                 )
 
-    return _rows(docs, key, text).mapInArrow(
-        work, f"`{key}` long, n_pieces long, ids_crc32 long, round_trip boolean, parity boolean"
-    )
+    schema = written.select(key).schema.add("n_pieces", "long").add("ids_crc32", "long").add("round_trip", "boolean").add("parity", "boolean")
+    for c in kept:
+        schema = schema.add(c)
+    return written.select(key, "ids", "text_sha256", "parity", *also).mapInArrow(work, schema)
+
+
+def encode_report(docs, path, key="doc_id", text="text", threads=2):
+    """Encode, write, read, decode and verify every whole text: (key, n_pieces, ids_crc32, round_trip, parity).
+
+    ``ids_crc32`` is the unsigned CRC-32 of the ids as little-endian 32-bit integers;
+    ``round_trip`` says that decoding the written ids gives the text back (a literal white-space mark
+    decodes to a blank, in either library); ``parity`` that both libraries give the whole text the same
+    ids. Null texts are empty; null keys, ties and repeated rows stay as they are; an empty table
+    gives no rows; other columns are ignored.
+    """
+    return ids_report(written_ids(docs, path, key, text, threads), path, key, threads)

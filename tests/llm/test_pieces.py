@@ -2,6 +2,7 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from rallyframe.llm import pieces
@@ -88,3 +89,37 @@ def test_words_that_differ_are_named():
     texts = ["a plain text", "with a zebra inside", "zebra first"]
     codec.encode(texts)
     assert [codec.agrees(t) for t in texts] == [True, False, False]
+
+
+def test_written_ids_are_those_of_whole_texts(spark, small):
+    written = pieces.written_ids(small.withColumn("place", small["drop"]), PATH, also=["place"])
+    assert written.inputFiles() and all("pieces-" in f for f in written.inputFiles())
+    reference = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = {r["drop"]: r.text or "" for r in small.collect()}
+    rows = pieces.ids_report(written, PATH, also=["place", "ids"]).collect()
+    assert len(rows) == small.count() and all(r.ids == reference.encode(texts[r.place]) and r.n_pieces == len(r.ids) for r in rows)
+
+
+def test_parity_sees_a_fault_of_the_assembled_ids(spark, small, monkeypatch):
+    made = []
+
+    class Rows:
+        def mapInArrow(self, work, schema):
+            made.append(work)
+
+    class Cut(pieces.PieceCodec):
+        def encode(self, texts, end=()):
+            return [x[:-1] if "moon" in t else x for t, x in zip(texts, super().encode(texts, end))]
+
+    monkeypatch.setattr(pieces, "PieceCodec", Cut)
+    monkeypatch.setattr(pieces, "_rows", lambda *_: Rows())
+    pieces.encode_ids(small, PATH, checked=True)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the cat sat", "on the moon"])], ["doc_id", "_text"])
+    assert [x for part in made[0]([batch]) for x in part.column(3).to_pylist()] == [True, False]
+
+
+def test_report_sees_changed_files(spark, small):
+    written = pieces.written_ids(small, PATH)
+    changed = written.selectExpr("doc_id", "slice(ids, 1, 3) AS ids", "text_sha256", "parity")
+    rows = pieces.ids_report(changed, PATH).collect()
+    assert {r.doc_id for r in rows if not r.round_trip} >= {1, 2, 5, 7} and all(r.n_pieces <= 3 for r in rows)

@@ -54,3 +54,13 @@ def test_mix_reorders_without_loss(steps):
 def test_every_document_is_encoded(steps):
     assert {r.doc_id for r in steps[5].collect()} == {r.doc_id for r in steps[4].collect()}
     assert steps[5].filter("NOT (round_trip AND parity)").count() == 0
+
+
+def test_result_holds_the_ids(steps):
+    import public_tokenizers
+    import sentencepiece
+
+    reference = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text or "" for r in steps[4].collect()}
+    rows = steps[5].collect()
+    assert rows and all(r.ids == reference.encode(texts[r.doc_id]) for r in rows)
