@@ -64,3 +64,42 @@ def test_result_holds_the_ids(steps):
     texts = {r.doc_id: r.text or "" for r in steps[4].collect()}
     rows = steps[5].collect()
     assert rows and all(r.ids == reference.encode(texts[r.doc_id]) for r in rows)
+
+
+def test_result_is_in_the_order_of_the_mix(spark, tmp_path, monkeypatch):
+    """Several sources over several files of uneven sizes, through the last stages of run()."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from rallyframe.llm import mixing
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(20) + F.pmod(F.xxhash64("id"), F.lit(400))), lambda i: F.substring(F.sha1(F.concat_ws("-", F.col("id").cast("string"), i.cast("string"))), 1, 6)))
+    source = F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b").otherwise("c")
+    spark.range(4000).select(F.col("id").alias("doc_id"), source.alias("source"), text.alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    # The stages before the mix are tested above.
+    monkeypatch.setattr(pipeline, "STAGES", pipeline.STAGES[3:])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.place for r in rows] == list(range(4000))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    placed = sorted((r.slot, r.start, r._key) for r in mixing.schedule(docs).collect())
+    assert [r.doc_id for r in rows] == [k for _, _, k in placed]
+    # While all sources last, no source is a block or more off its share at any slot.
+    sources = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    sizes = Counter(sources.values())
+    blocks = {s: -(-n // 64) for s, n in sizes.items()}
+    slots = mixing.shares(mixing.default_weights(blocks), 1000)
+    seen, left = Counter(), dict(sizes)
+    for t in range(sum(blocks.values())):
+        if min(left.values()) < 64:
+            break
+        s = sources[rows[64 * t].doc_id]
+        assert all(sources[r.doc_id] == s for r in rows[64 * t : 64 * t + 64])
+        seen[s] += 1
+        left[s] -= 64
+        assert all(abs(seen[x] - slots[x] * (t + 1) / 1000) < 1 for x in slots)
+    assert t > 10
