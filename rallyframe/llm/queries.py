@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rallyframe.llm import chat, jaccard, lines, merkle, mixing, neighbours, pages, pieces, quality, tokens
+from rallyframe.llm import (
+    chat, jaccard, lines, merkle, mixing, neighbours, pages, pieces, prefixes, quality, repetition, spelling, tokens,
+)
 from rallyframe.llm.files import stored
 
 
@@ -152,6 +154,138 @@ FROM f
 """
 
 
+def op11_repetition_rules(spark, folder):
+    """Repetition measures and verdicts of all documents."""
+    return repetition.scored(_table(spark, folder, "documents"))
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _covered(n, first):
+    """SQL of a table c<n>: words and characters of words in windows of ``n`` words that a text repeats."""
+    window = "concat_ws(' ', w, " + ", ".join(f"l{k}" for k in range(1, n)) + ")"
+    flag = "count(*) OVER (PARTITION BY r, win)" if first else "row_number() OVER (PARTITION BY r, win ORDER BY i)"
+    return f"""c{n}{'a' if first else ''} AS (
+  SELECT r, sum(f) AS n, sum(f * length(w)) AS chars FROM (
+    SELECT r, w, max(fl) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS f FROM (
+      SELECT r, i, w, CASE WHEN win IS NOT NULL AND {flag} > 1 THEN 1 ELSE 0 END AS fl
+      FROM (SELECT r, i, w, CASE WHEN l{n - 1} IS NOT NULL THEN {window} END AS win FROM l))) GROUP BY r)"""
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT r, regexp_extract_all(t, '{_WORDS}') AS ws FROM d),
+e AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM x),
+l AS (SELECT r, i, w, {", ".join(f"lead(w, {k}) OVER (PARTITION BY r ORDER BY i) AS l{k}" for k in range(1, max(repetition.SHARES)))} FROM e),
+g AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars FROM e GROUP BY r),
+s AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+k AS (SELECT r, line, row_number() OVER (PARTITION BY r, line) AS again FROM s WHERE regexp_matches(line, '{_WORDS}')),
+y AS (SELECT r, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM k WHERE again > 1 GROUP BY r),
+{_covered(repetition.BASE_WINDOW, True)},
+{", ".join(_covered(n, False) for n in repetition.SHARES)},
+m AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(y.n, 0) AS n_dup_lines,
+         CAST(coalesce(c8a.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(y.chars, 0) AS BIGINT) AS dup_line_chars,
+         {", ".join(f"CAST(coalesce(c{n}.chars, 0) AS BIGINT) AS dup{n}_chars" for n in repetition.SHARES)}
+  FROM d LEFT JOIN g USING (r) LEFT JOIN y USING (r) LEFT JOIN c8a USING (r) {" ".join(f"LEFT JOIN c{n} USING (r)" for n in repetition.SHARES)}
+)
+SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.REPEAT_PERCENT} * n_words
+            OR 100 * dup_line_chars > {repetition.LINE_PERCENT} * word_chars OR 100 * n_symbols > {repetition.SYMBOL_PERCENT} * n_words
+            OR {" OR ".join(f"100 * dup{n}_chars > {share} * word_chars" for n, share in repetition.SHARES.items())}) AS kept
+FROM m
+"""
+
+
+def op12_spelling_variants(spark, folder):
+    """Forms and roots of all frequent words, with the deletions that the query plants."""
+    counts = spelling.word_counts(_table(spark, folder, "documents"), change=spelling.planted_change)
+    return spelling.variants(counts)
+
+
+def _crc32(text):
+    """SQL of the unsigned crc32 of a text's UTF-8 bytes, bit by bit."""
+    digits = "0123456789ABCDEF"
+    byte = f"16 * (instr('{digits}', hex(encode({text}))[2 * k + 1]) - 1) + instr('{digits}', hex(encode({text}))[2 * k + 2]) - 1"
+    bits = f"flatten(list_transform(range(0, length(hex(encode({text}))) // 2), lambda k: [CAST({byte} AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(c, v) >> 1, (xor(c, v) & 1) * 3988292384)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, v: {step}), 4294967295)"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+r AS (SELECT id, unnest(regexp_extract_all(t, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM d),
+g AS (SELECT id, w, count(*) AS k, id || ':' || w AS said FROM r GROUP BY id, w),
+h AS (SELECT w, k, {_crc32('said')} AS crc FROM g),
+e AS (SELECT CASE WHEN crc % 97 = 0 THEN substring(w, 1, crc % length(w)) || substring(w, crc % length(w) + 2) ELSE w END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+x AS (SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (
+  SELECT a.word AS w, b.word AS near FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, x.word FROM v JOIN x ON v.word = x.rest
+  UNION SELECT x.word, v.word FROM v JOIN x ON v.word = x.rest
+),
+o AS (
+  SELECT p.w, p.near, v.n AS m, count(*) OVER (PARTITION BY p.w) AS n_near, row_number() OVER (PARTITION BY p.w ORDER BY v.n DESC, p.near) AS at
+  FROM p JOIN v ON v.word = p.near
+),
+f AS (
+  SELECT v.word, v.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN o.m >= 2 * v.n THEN o.near END AS form, CASE WHEN o.m >= 2 * v.n THEN o.m END AS form_n
+  FROM v LEFT JOIN o ON o.w = v.word AND o.at = 1
+),
+c AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM f JOIN c ON c.word = f.word JOIN f last ON last.word = c.root AND last.form IS NULL
+"""
+
+
+def op13_conversation_trie(spark, folder):
+    """The prefix trie of all conversations, rebuilt with shared beginnings."""
+    turns, ids = prefixes.rebuilt(_table(spark, folder, "conversations"))
+    return prefixes.prefix_nodes(turns, ids)
+
+
+OP13_SQL = f"""
+WITH a AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS body, turn FROM conversations WHERE conv_id IS NOT NULL
+),
+s AS (
+  SELECT conv_id, {_crc32('CAST(conv_id AS VARCHAR)')} % 6 AS h,
+         list({{'k': sha256(role || chr(10) || body), 'n': length(body)}} ORDER BY turn NULLS FIRST, role, body) AS turns
+  FROM a GROUP BY conv_id
+),
+b AS (
+  SELECT s.conv_id, list_concat(CASE WHEN s.h = 0 OR p.turns IS NULL THEN [] ELSE p.turns[1:s.h] END, s.turns[s.h + 1:]) AS turns
+  FROM s LEFT JOIN s p ON p.conv_id = s.conv_id - s.conv_id % 100
+),
+m AS (
+  SELECT conv_id, d, len(turns) AS size, array_to_string(list_transform(turns[1:d], lambda t: t.k), '') AS path,
+         CASE WHEN d = 0 THEN 0 ELSE turns[d].n END AS chars
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM b)
+),
+n AS (
+  SELECT CASE WHEN d = 0 THEN '' ELSE path END AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256
+  FROM m GROUP BY ALL
+),
+k AS (SELECT left(path, 64 * (d - 1)) AS up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.path),
+t AS (
+  SELECT w.path, count(*) FILTER (below.n_children = 0) AS n_leaves, CAST(sum((below.n_convs - 1) * below.chars) AS BIGINT) AS saved_tokens
+  FROM w JOIN w below ON starts_with(below.path, w.path) GROUP BY w.path
+)
+SELECT w.conv_id, w.d AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, t.n_leaves, t.saved_tokens, w.ends_sha256
+FROM w JOIN t ON t.path = w.path LEFT JOIN w up ON w.d > 0 AND up.path = left(w.path, 64 * (w.d - 1))
+"""
+
+
 QUERIES = {
     "op1_token_shards": (op1_token_shards, None),
     "op2_sentencepiece": (op2_sentencepiece, None),
@@ -163,4 +297,7 @@ QUERIES = {
     "op8_fuzzy_lines": (op8_fuzzy_lines, None),
     "op9_source_mix": (op9_source_mix, None),
     "op10_merkle_fingerprint": (op10_merkle_fingerprint, OP10_SQL),
+    "op11_repetition_rules": (op11_repetition_rules, OP11_SQL),
+    "op12_spelling_variants": (op12_spelling_variants, OP12_SQL),
+    "op13_conversation_trie": (op13_conversation_trie, OP13_SQL),
 }

@@ -57,16 +57,58 @@ def powers(n, _kept=[np.ones(1, np.uint64)]):  # noqa: B006 - grows once per wor
     return _kept[0][:n]
 
 
+#: Bytes that ``segment_hashes`` spreads to 64-bit terms at a time.
+PIECE = 1 << 18
+
+
+def _terms(data, starts, sizes):
+    """The sums of (byte + 1) * BASE ** place over the byte ranges."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    inside = np.arange(int(ends[-1]), dtype=np.int64)
+    at = data[inside + np.repeat(starts - begins, sizes)].astype(np.uint64)
+    inside -= np.repeat(begins, sizes)
+    at += np.uint64(1)
+    at *= powers(int(sizes.max()))[inside]
+    return np.add.reduceat(at, begins)
+
+
 def segment_hashes(data, starts, stops):
-    """One 64-bit hash per byte range; ranges are disjoint, ascending and not empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(len(data), dtype=np.int64)
-    owner = np.zeros(len(data) + 1, np.int64)
-    owner[starts[1:]] = 1
-    owner = np.cumsum(owner[: len(data)])
-    inside = place - starts[owner]
-    used = (inside >= 0) & (inside < (stops - starts)[owner])
-    weight = powers(int((stops - starts).max()))[np.where(used, inside, 0)]
-    terms = np.where(used, (data.astype(np.uint64) + np.uint64(1)) * weight, np.uint64(0))
-    return mix(np.add.reduceat(terms, starts) + (stops - starts).astype(np.uint64) * BASE)
+    """One 64-bit hash per byte range; ranges are disjoint, ascending and not empty.
+
+    Works on PIECE bytes at a time, longer ranges piece by piece, so memory follows the number
+    of ranges and not of bytes.
+    """
+    sizes = stops - starts
+    sums = np.zeros(len(starts), np.uint64)
+    total = np.cumsum(sizes)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(total, total[first] - sizes[first] + PIECE, side="right")))
+        if sizes[first] > PIECE:
+            scale = np.ones(1, np.uint64)
+            for low in range(int(starts[first]), int(stops[first]), PIECE):
+                size = min(PIECE, int(stops[first]) - low)
+                sums[first : first + 1] += _terms(data, np.array([low]), np.array([size])) * scale
+                scale = scale * powers(PIECE)[-1:] * BASE
+            last = first + 1
+        else:
+            sums[first:last] = _terms(data, starts[first:last], sizes[first:last])
+        first = last
+    return mix(sums + sizes.astype(np.uint64) * BASE)
+
+
+def word_spans(data, bounds):
+    """(starts, stops) in bytes of the words of texts, and the number of the first word of each text.
+
+    Words are runs of bytes other than blank and ``\\t`` to ``\\r``; ``bounds`` are the texts' offsets,
+    so the third array has one entry more than there are texts.
+    """
+    visible = np.ones(len(data) + 2, bool)
+    visible[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    visible[0] = visible[-1] = False
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(visible[1:] & (~visible[:-1] | edge))
+    stops = np.flatnonzero(visible[:-1] & (~visible[1:] | edge))
+    return starts[starts < len(data)], stops, np.searchsorted(starts, bounds)
