@@ -7,6 +7,7 @@ of every whole text, as assembled from its words, are compared with those of the
 library, written to the shared folder, read again and decoded.
 """
 
+import functools
 import hashlib
 import os
 import re
@@ -151,59 +152,69 @@ class PieceModel:
 
 
 class PieceCodec(WordCache):
-    """Encodes and decodes batches of texts; ``bad`` holds words on which the libraries differ."""
+    """Encodes and decodes batches of texts with the rebuilt tokenizer."""
 
-    def __init__(self, path, threads=2, verify=True, limit=200_000):
+    def __init__(self, path, threads=2, limit=200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         with open(path, "rb") as file:
             self.model = PieceModel.parse(file.read())
-        self.by_words = self.model.separable() and not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
-        self.tokenizer = self.model.tokenizer(normalise=not self.by_words)
-        self.reference = None
-        if verify:
-            import sentencepiece
-
-            self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        heads = np.array([p.startswith(MARK) for p in self.model.pieces])
+        model = self.model
+        self.by_words = model.separable() and not model.charsmap and not model.squeeze and model.dummy_prefix
+        self.tokenizer = model.tokenizer(normalise=not self.by_words)
+        sizes = [len(p.encode()) if t in (NORMAL, USER_DEFINED) else t == BYTE for p, t in zip(model.pieces, model.types)]
         first, mark = (MARK, MARK) if self.by_words else ("", " ")
-        super().__init__(self._batch, heads, mark, first, limit)
-        self.odd.append(re.compile(MARK + " "))
-        self.bad = set()
+        super().__init__(self._batch, np.array(sizes, np.int64), mark, first, limit)
+        self.odd.append(re.compile(MARK))  # a literal mark may join the one that stands for a blank
+        said = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, t in zip(model.pieces, model.types)]
+        self.said = np.frombuffer(b"".join(said), np.uint8)
+        self.said_at = np.concatenate([[0], np.cumsum([len(x) for x in said])])
 
     def _batch(self, texts):
-        if not texts:
-            return []
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.reference is not None:
-            plain = [t[1:].replace(MARK, " ") if self.by_words else t for t in texts]
-            said = self.reference.encode(plain, num_threads=1)
-            self.bad.update(t for t, x, y in zip(texts, found, said) if x != y)
-        return found
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _split(self, text):
         return super()._split(text) if self.by_words else None
 
-    def _learn_few(self, words):
-        before = len(self.bad)
-        super()._learn_few(words)
-        if len(self.bad) > before:  # name the words, not the joined texts
-            self.bad = {t for t in self.bad if t.count(MARK) < 2}
-            self._batch([self.mark + w for w in words])
-
-    def agrees(self, text):
-        """Whether the libraries gave equal ids for all parts of a text just encoded."""
-        if not self.bad:
-            return True
-        parts = self._split(text)
-        if parts is None:
-            whole = self.first + text.replace(" ", self.mark)
-            return whole not in self.bad
-        return not any(self.mark + w in self.bad for w in parts)
+    def whole(self, text):
+        """Ids of a text encoded in one go."""
+        marked = self.first + text.replace(" ", self.mark) if text and self.by_words else text
+        return np.array(self._batch([marked])[0], "<u4")
+
+    def decode_bytes(self, ids, cuts):
+        """(bytes, offsets) of the texts whose ids lie between the ``cuts`` of one array of ids."""
+        sizes = np.diff(self.said_at)[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(ends[-1]) + np.repeat(self.said_at[ids] - ends[:-1], sizes)
+        data, at = self.said[place], ends[cuts]
+        if not self.model.dummy_prefix:
+            return data, at, at[1:]
+        # The blank that encoding put before the text.
+        first = np.zeros(len(at) - 1, np.int64)
+        full = at[1:] > at[:-1]
+        first[full] = data[at[:-1][full]] == 32
+        return data, at[:-1] + first, at[1:]
 
     def decode(self, many):
-        """Texts of id arrays."""
-        return self.tokenizer.decode_batch([x.tolist() for x in many], skip_special_tokens=False)
+        """Texts of id arrays; bytes that are no UTF-8 become replacement characters."""
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in many])]).astype(np.int64)
+        data, starts, stops = self.decode_bytes(np.concatenate([*many, np.zeros(0, np.int64)]).astype(np.int64), cuts)
+        data = data.tobytes()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), stops.tolist())]
+
+
+@functools.lru_cache(maxsize=2)
+def codec_of(path, threads):
+    """The codec of a model file, kept by the worker process so that its tasks share the words met so far."""
+    return PieceCodec(path, threads)
+
+
+@functools.lru_cache(maxsize=2)
+def reference_of(path):
+    """The sentencepiece library's processor of a model file."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 def _rows(docs, key, text, also=()):
@@ -214,46 +225,46 @@ def encode_ids(docs, path, key="doc_id", text="text", threads=2, checked=False,
     """(key, ids array<int>) per row, over whole texts; null texts are empty and give no ids.
 
     Columns of longs named in ``also`` follow. ``checked`` adds ``text_sha256`` and ``parity``: whether
-    the ids of the whole text, as assembled, are those that the sentencepiece library gives it.
+    the ids of the whole text are those that the sentencepiece library gives it. A text whose assembled
+    ids differ is encoded again in one go before that is said.
     """
     names = [key, "ids", *also, *(["text_sha256", "parity"] if checked else [])]
 
     def work(batches):
         from rallyframe.llm.text import slices
 
-        codec = reference = None
         for whole in batches:
-            for batch in slices(whole, 1, 2 << 20):
-                codec = codec or PieceCodec(path, threads, verify=False)
+            for batch in slices(whole, 1, 1 << 20):
+                codec = codec_of(path, threads)
                 texts = batch.column(1).to_pylist()
                 found = codec.encode(texts)
+                if checked:
+                    said = [np.array(x, "<u4") for x in reference_of(path).encode(texts, num_threads=1)]
+                    for i, (x, y) in enumerate(zip(found, said)):
+                        if not np.array_equal(x, y):
+                            found[i] = codec.whole(texts[i])
+                    same = [np.array_equal(x, y) for x, y in zip(found, said)]
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = pa.array(np.concatenate([*found, np.zeros(0, "<u4")]).astype(np.int32))
                 columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), values), *batch.columns[2:]]
                 if checked:
-                    if reference is None:
-                        import sentencepiece
-
-                        reference = sentencepiece.SentencePieceProcessor(model_file=path)
-                    same = [np.array_equal(np.array(reference.encode(t), "<u4"), x) for t, x in zip(texts, found)]
-                    columns += [pa.array([_digest(t) for t in texts], pa.binary()), pa.array(same, pa.bool_())]
+                    columns += [pa.array([_digest(t.encode()) for t in texts], pa.binary()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     more = "".join(f", `{c}` long" for c in also) + (", text_sha256 binary, parity boolean" if checked else "")
     return _rows(docs, key, text, [F.col(c).cast("long").alias(c) for c in also]).mapInArrow(work, f"`{key}` long, ids array<int>{more}")
 
 
-def _digest(text):
-    return hashlib.sha256(text.encode()).digest()
+def _digest(data):
+    return hashlib.sha256(data).digest()
 
 
 def decode_ids(encoded, path, key="doc_id", ids="ids", threads=2):
     """(key, text) of encoded rows; null and empty ids give an empty text."""
 
     def work(batches):
-        codec = None
         for batch in batches:
-            codec = codec or PieceCodec(path, threads, verify=False)
+            codec = codec_of(path, threads)
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 texts = codec.decode([np.array(x or [], np.int64) for x in part.column(1).to_pylist()])
@@ -277,17 +288,21 @@ def ids_report(written, path, key="doc_id", threads=2, also=()):
     kept = [written.schema[c] for c in also]
 
     def work(batches):
-        codec = None
         for batch in batches:
-            codec = codec or PieceCodec(path, threads, verify=False)
+            codec = codec_of(path, threads)
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                ids = [np.asarray(x.values.to_numpy(zero_copy_only=False), "<u4") for x in part.column(1)]
-                back = [_digest(t) for t in codec.decode(ids)]
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                data, starts, stops = codec.decode_bytes(ids.astype(np.int64), cuts)
+                data, packed = data.tobytes(), ids.astype("<u4").tobytes()
+                back = [_digest(data[a:b]) for a, b in zip(starts.tolist(), stops.tolist())]
+                places = (cuts * 4).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                        part.column(0), pa.array(np.diff(cuts), pa.int64()),
+                        pa.array([zlib.crc32(packed[a:b]) for a, b in zip(places[:-1], places[1:])], pa.int64()),
                         pa.array([d == b for d, b in zip(part.column(2).to_pylist(), back)], pa.bool_()),
                         *part.columns[3:],
                     ],

@@ -11,6 +11,7 @@ A shard file holds, little-endian throughout:
 arithmetic: block ``i // ids_per_block``, bit ``(i % ids_per_block) * bits``.
 """
 
+import functools
 import os
 import re
 import struct
@@ -144,13 +145,14 @@ class WordCache:
     The split patterns take a blank only together with what follows it, so a cut before a
     single blank between two visible characters never divides a match: the ids of the words,
     each with the blank before it, are the ids of the whole. Texts with other white space
-    around a blank are encoded whole. New words are encoded as one joined text; its ids are cut
-    where a token begins with the blank (``heads`` marks those ids). ``limit`` bounds what is
+    around a blank are encoded whole. New words are encoded as one joined text. ``sizes`` has the
+    bytes that each id stands for (0: not fixed), so every word must begin and end where ids do;
+    a joined text of which that does not hold is encoded word by word. ``limit`` bounds what is
     kept between batches, never what is encoded.
     """
 
-    def __init__(self, encode_batch, heads, mark=" ", first="", limit=500_000):
-        self.encode_batch, self.heads, self.mark, self.first, self.limit = encode_batch, heads, mark, first, limit
+    def __init__(self, encode_batch, sizes, mark=" ", first="", limit=500_000):
+        self.encode_batch, self.sizes, self.mark, self.first, self.limit = encode_batch, sizes, mark, first, limit
         self.kept = {}
         self.odd = [re.compile(x) for x in (r"[^\S\x20]\x20", r"\x20\s")]
 
@@ -167,16 +169,20 @@ class WordCache:
             self._learn_few(words[i : i + 4096])
 
     def _learn_few(self, words):
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for group, ids in zip(groups, self.encode_batch(["".join([self.mark + w for w in g]) for g in groups])):
+        groups = [[self.mark + w for w in words[i : i + 256]] for i in range(0, len(words), 256)]
+        at = 0
+        for group, ids in zip(groups, self.encode_batch(["".join(g) for g in groups])):
             ids = np.array(ids, "<u4")
-            cuts = np.flatnonzero(self.heads[ids])
-            if len(cuts) != len(group) or cuts[0]:
-                parts = [np.array(x, "<u4").tobytes() for x in self.encode_batch([self.mark + w for w in group])]
+            stops = np.cumsum([len(w.encode()) for w in group])
+            reached = np.cumsum(self.sizes[ids])
+            last = np.minimum(np.searchsorted(reached, stops), len(ids) - 1)
+            if self.sizes[ids].all() and reached[-1] == stops[-1] and (reached[last] == stops).all():
+                data, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+                parts = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             else:
-                data, at = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-                parts = [data[a:b] for a, b in zip(at[:-1], at[1:])]
-            self.kept.update(zip(group, parts))
+                parts = [np.array(x, "<u4").tobytes() for x in self.encode_batch(group)]
+            self.kept.update(zip(words[at : at + len(group)], parts))
+            at += len(group)
 
     def encode(self, texts, end=()):
         """One unsigned 32-bit array per text, ``end`` appended."""
@@ -204,20 +210,27 @@ class WordCache:
         return out
 
 
+@functools.lru_cache(maxsize=2)
 def byte_bpe_encoder(tokenizer_path):
-    """(encoder of lists of texts to id arrays, vocabulary size) of a byte-level tokenizer file."""
+    """(encoder of lists of texts to id arrays, vocabulary size) of a byte-level tokenizer file.
+
+    Kept by the worker process, so that its tasks share the words met so far.
+    """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
     tokenizer = Tokenizer.from_file(tokenizer_path)
     size = tokenizer.get_vocab_size()
-    heads = np.zeros(size, bool)
-    heads[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+    sizes = np.zeros(size, np.int64)
+    for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
+        sizes[number] = len(token)  # one character for each byte
+    for number, token in tokenizer.get_added_tokens_decoder().items():
+        sizes[number] = len(token.content.encode())
 
     def batch(texts):
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    return WordCache(batch, heads), size
+    return WordCache(batch, sizes), size
 
 
 def write_shards(docs, key, text, tokenizer_path, end_id=0, folder=None):
@@ -268,13 +281,14 @@ def write_shards(docs, key, text, tokenizer_path, end_id=0, folder=None):
 def _documents(manifest, build, schema):
     """Run ``build(keys, starts, ids, cuts)`` over runs of a shard's documents of about a million ids.
 
-    Every shard is one unit of work; starts come from the running total over the manifest,
+    Every shard is one task: a number of partitions that is asked for is left as it is by adaptive
+    execution, and rows are dealt out in turn. Starts come from the running total over the manifest,
     which has one row per shard.
     """
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     listed = manifest.select(
         "file", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("start")
-    ).repartition("file")
+    ).repartition(max(1, manifest.count()))
 
     def read(batches):
         for listing in batches:

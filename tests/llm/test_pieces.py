@@ -1,8 +1,10 @@
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 
 from rallyframe.llm import pieces
@@ -54,8 +56,8 @@ def test_parity_on_bpe_model():
     texts = mixed_texts(3000) + ["", " ", "word " * 2000]
     got = [list(x) for i in range(0, len(texts), 400) for x in codec.encode(texts[i : i + 400])]
     reference = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    assert got == reference.encode(texts) and not codec.bad
-    back = codec.decode([__import__("numpy").array(x) for x in got])
+    assert got == reference.encode(texts)
+    back = codec.decode([np.array(x) for x in got])
     assert back == [t.replace("▁", " ") for t in texts]
 
 
@@ -78,17 +80,43 @@ def test_report_and_separate_steps(spark, small):
     assert pieces.encode_report(small.filter("false"), PATH).count() == 0
 
 
-def test_words_that_differ_are_named():
+@pytest.mark.parametrize("seed", range(10))
+def test_order_of_new_words_changes_nothing(seed):
+    """Words reach the cache in the order of a set; any order must give the same ids."""
+    random.seed(seed)
     codec = pieces.PieceCodec(PATH, threads=1)
+    words = ["▁", "▁ésat", "ésat", "▁▁", "cat", "a▁", "日本", "é", "<0x0A>", "sat", "\u00a0", "🙂x"]
+    random.shuffle(words)
+    codec._learn_few(words)
+    alone = {w: np.array(codec.encode_batch([pieces.MARK + w])[0], "<u4").tobytes() for w in words}
+    assert codec.kept == alone
 
-    class Wrong:
-        def encode(self, texts, num_threads=1):
-            return [[7] if "zebra" in t else codec.tokenizer.encode(pieces.MARK + t.replace(" ", pieces.MARK), add_special_tokens=False).ids for t in texts]
 
-    codec.reference = Wrong()
-    texts = ["a plain text", "with a zebra inside", "zebra first"]
-    codec.encode(texts)
-    assert [codec.agrees(t) for t in texts] == [True, False, False]
+@pytest.mark.parametrize("words", [["▁", "▁ésat"], ["▁ésat", "▁"]])
+def test_marks_that_meet_are_not_joined(words):
+    codec = pieces.PieceCodec(PATH, threads=1)
+    codec._learn_few(words)
+    for w in words:
+        assert codec.kept[w] == np.array(codec.encode_batch([pieces.MARK + w])[0], "<u4").tobytes()
+
+
+def test_a_text_that_differs_is_encoded_whole(small, monkeypatch):
+    """Wrong ids in the cache reach no result: the text is encoded again."""
+    made = []
+
+    class Rows:
+        def mapInArrow(self, work, schema):
+            made.append(work)
+
+    codec = pieces.PieceCodec(PATH, threads=1)
+    codec.kept["moon"] = np.array([5, 6], "<u4").tobytes()
+    monkeypatch.setattr(pieces, "codec_of", lambda *_: codec)
+    monkeypatch.setattr(pieces, "_rows", lambda *_: Rows())
+    pieces.encode_ids(small, PATH, checked=True)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the cat sat", "on the moon"])], ["doc_id", "_text"])
+    part = next(iter(made[0]([batch])))
+    assert part.column(3).to_pylist() == [True, True]
+    assert part.column(1).to_pylist() == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(["the cat sat", "on the moon"])
 
 
 def test_written_ids_are_those_of_whole_texts(spark, small):
@@ -111,7 +139,11 @@ def test_parity_sees_a_fault_of_the_assembled_ids(spark, small, monkeypatch):
         def encode(self, texts, end=()):
             return [x[:-1] if "moon" in t else x for t, x in zip(texts, super().encode(texts, end))]
 
-    monkeypatch.setattr(pieces, "PieceCodec", Cut)
+        def whole(self, text):
+            return super().whole(text)[:-1]
+
+    codec = Cut(PATH)
+    monkeypatch.setattr(pieces, "codec_of", lambda *_: codec)
     monkeypatch.setattr(pieces, "_rows", lambda *_: Rows())
     pieces.encode_ids(small, PATH, checked=True)
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the cat sat", "on the moon"])], ["doc_id", "_text"])

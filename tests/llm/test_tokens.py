@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rallyframe.llm import tokens
@@ -44,7 +45,7 @@ def test_shard_random_access(tmp_path):
 
 
 def test_words_encode_like_whole_texts():
-    cache, _ = tokens.byte_bpe_encoder(PATH)
+    cache, _ = tokens.byte_bpe_encoder.__wrapped__(PATH)
     cache.limit = 40
     random.seed(3)
     parts = ["a", "the", "don't", "it's,", "x.", "\n", " ", "  ", "\t", "é", "3", "<|endoftext|>", "!!", " ", "　", "日本", "\x1c"]
@@ -68,6 +69,28 @@ def test_shards_match_direct_encoding(spark, small):
     assert sum(map(len, ids.values())) == start and ids[0][-1] == 0
 
 
+def test_every_shard_is_read_by_a_task_of_its_own(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so small a table is one shard
+    try:
+        manifest = tokens.write_shards(docs, "doc_id", "text", PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = manifest.count()
+    found = tokens.read_digests(manifest).withColumn("part", F.spark_partition_id())
+    assert shards > 1 and found.groupBy("part").count().count() == shards
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_order_of_new_words_changes_nothing(seed):
+    cache, _ = tokens.byte_bpe_encoder.__wrapped__(PATH)
+    words = ["a", "don't", "<|endoftext|>", "é", "日本", "\u00a0x", "x.\n", "'", "1234567"]
+    random.seed(seed)
+    random.shuffle(words)
+    cache._learn_few(words)
+    assert cache.kept == {w: np.array(cache.encode_batch([" " + w])[0], "<u4").tobytes() for w in words}
+
+
 def test_empty_table(spark, small):
     manifest = tokens.write_shards(small.filter("false"), "doc_id", "text", PATH)
     assert tokens.read_digests(manifest).count() == 0
