@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rallyframe.constants import PLAYER_COUNTRIES, PREPARED_LOG, RAW_MATCHES, RAW_POINTS, SCORED_LOG
+from rallyframe.sources import generations
 
 _PAIR = r"(\d{4})-([a-z]+)-(?:points|matches)\.csv"
 
@@ -63,5 +64,10 @@ def read_name_map(spark, path):
     )
 
 
+def read_merged(spark, folder):
+    """Parquet parts written at different times, with all their columns and their widest types."""
+    return generations.read_generations(spark, folder)
+
+
 def read_parquet(spark, path):
     return spark.read.parquet(path)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from rallyframe.sources import builds
+
 
 def write_parquet(df, path, partition_by=("year",)):
     """Overwrite a parquet directory, partitioned by columns queries filter on."""
@@ -51,30 +53,6 @@ def key_range(df, key, low, high):
     return df.filter(F.col(key).between(low, high))
 
 
-def _remove(spark, folders):
-    """Delete folders in whatever file system they are."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in folders:
-        place = jvm.org.apache.hadoop.fs.Path(folder)
-        place.getFileSystem(conf).delete(place, True)
-
-
 def build_by_bucket(df, path, key, buckets, compute, only=None):
-    """Compute and write a result in key buckets, one job for all of them.
-
-    ``compute`` maps a frame to a frame that keeps ``key``. ``only`` re-runs the listed
-    buckets: their directories are emptied first, so a bucket whose rows are gone does not keep
-    old ones, and the others stay as they are, which is what a restart after a failure needs.
-    """
-    if only is not None:
-        _remove(df.sparkSession, [f"{path}/bucket={b}" for b in only])
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    source = df if only is None else df.filter(bucket.isin(*only))
-    (
-        compute(source)
-        .withColumn("bucket", bucket)
-        .write.mode("overwrite" if only is None else "append")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-    return df.sparkSession.read.parquet(path)
+    """A build in key buckets that can be re-run piece by piece; see ``builds``."""
+    return builds.build(df, path, key, buckets, compute, only)

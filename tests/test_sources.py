@@ -2,11 +2,12 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rallyframe.operators import filters, metrics
 from rallyframe.plans.build import point_log, scored_log
 from rallyframe.session import scratch_path
-from rallyframe.sources import readers, writers
+from rallyframe.sources import builds, generations, readers, writers
 
 POINTS_HEADER = "match_id,ElapsedTime,SetNo,GameNo,PointNumber,PointWinner,PointServer,P1Score,P2Score,P1GamesWon,P2GamesWon,SetWinner,P1PointsWon,P2PointsWon"
 MATCHES_HEADER = "match_id,year,slam,match_num,player1,player2,status,winner,event_name,round,court_name,court_id,player1id,player2id,nation1,nation2"
@@ -108,6 +109,119 @@ def test_bucketed_build_reruns_one_bucket(spark, rows):
     assert {r["bucket"] for r in emptied.collect()} == {0, 2, 3}
 
 
+def _totals(factor=1):
+    return lambda f: f.groupBy("k").agg((F.sum("id") * factor).alias("s"))
+
+
+def test_a_failed_run_leaves_the_build_as_it_was(spark, rows):
+    path = scratch_path(spark, "crash")
+    df = spark.range(200).select((F.col("id") % 20).alias("k"), "id")
+    before = rows(writers.build_by_bucket(df, path, "k", 4, _totals()))
+
+    def breaks_in_a_task(f):
+        wrong = F.when(F.col("k") > 17, F.raise_error(F.lit("lost"))).otherwise(F.col("id"))
+        return f.groupBy("k").agg(F.sum(wrong).alias("s"))
+
+    def breaks_at_once(f):
+        raise RuntimeError("no plan")
+
+    for broken in (breaks_in_a_task, breaks_at_once):
+        for only in (None, [0, 1, 2, 3], [2]):
+            try:
+                writers.build_by_bucket(df, path, "k", 4, broken, only)
+            except Exception:
+                pass
+            else:
+                assert only == [2]  # no key above 17 lies there
+                writers.build_by_bucket(df, path, "k", 4, _totals(), only)
+            assert rows(builds.read(spark, path)) == before
+    # The retry replaces what it is asked for.
+    again = rows(writers.build_by_bucket(df, path, "k", 4, _totals(3), [1]))
+    assert {r[2] for r in set(again) - set(before)} == {1} and len(again) == len(before)
+
+
+def test_files_that_no_commit_lists_are_ignored(spark, rows):
+    path = scratch_path(spark, "unlisted")
+    df = spark.range(40).select((F.col("id") % 8).alias("k"), "id")
+    before = rows(writers.build_by_bucket(df, path, "k", 2, _totals()))
+    stray = spark.range(3).selectExpr("id AS k", "id AS s", "0 AS bucket")
+    stray.write.partitionBy("bucket").parquet(f"{path}/run=stray")
+    store = builds._Store(spark, path)
+    store.create("_commits/00000007.json", '{"buckets": {"0": "stray"')  # cut off while it was written
+    assert rows(builds.read(spark, path)) == before
+    # The next commit goes after the broken one, and a number is given once.
+    doubled = rows(writers.build_by_bucket(df, path, "k", 2, _totals(2), [0, 1]))
+    assert sorted(s for _, s, _ in doubled) == sorted(2 * s for _, s, _ in before)
+    assert not store.create("_commits/00000008.json", "{}")
+    assert "run=stray" in builds.remove_stale(spark, path) and rows(builds.read(spark, path)) == doubled
+
+
+def test_runs_that_end_together_both_keep_their_buckets(spark, rows, monkeypatch):
+    path = scratch_path(spark, "both")
+    df = spark.range(200).select((F.col("id") % 20).alias("k"), "id")
+    writers.build_by_bucket(df, path, "k", 4, _totals())
+    create, other = builds._Store.create, []
+
+    def late(store, name, text):
+        if not other:  # another run commits first
+            other.append(1)
+            writers.build_by_bucket(df, path, "k", 4, _totals(5), [0])
+        return create(store, name, text)
+
+    monkeypatch.setattr(builds._Store, "create", late)
+    writers.build_by_bucket(df, path, "k", 4, _totals(7), [1])
+    plain = {r["k"]: r["s"] for r in _totals()(df).collect()}
+    factor = {0: 5, 1: 7, 2: 1, 3: 1}
+    assert all(r["s"] == plain[r["k"]] * factor[r["bucket"]] for r in builds.read(spark, path).collect())
+
+
+def test_an_empty_build_has_its_schema(spark):
+    path = scratch_path(spark, "none")
+    df = spark.range(0).select(F.col("id").alias("k"), "id")
+    built = writers.build_by_bucket(df, path, "k", 4, _totals())
+    assert built.columns == ["k", "s", "bucket"] and built.count() == 0
+    with pytest.raises(FileNotFoundError):
+        builds.read(spark, scratch_path(spark, "nowhere"))
+
+
+def test_generations_are_read_with_all_columns_and_widest_types(spark):
+    path = scratch_path(spark, "ages")
+    spark.sql("SELECT 1 AS id, CAST(1.5 AS FLOAT) AS x, array(1, 2) AS many, 2020 AS year").write.partitionBy("year").parquet(path)
+    spark.sql("SELECT 5000000000 AS id, 3 AS x, CAST(7 AS DECIMAL(9,2)) AS paid, 2021 AS year").write.mode("append").partitionBy("year").parquet(path)
+    spark.sql("SELECT CAST(3 AS SMALLINT) AS id, array(CAST(9 AS BIGINT)) AS many, 12 AS paid, 'n' AS note, 2021 AS year").write.mode("append").partitionBy("year").parquet(path)
+    df = readers.read_merged(spark, path)
+    assert dict(df.dtypes) == {"id": "bigint", "x": "double", "many": "array<bigint>", "paid": "decimal(12,2)", "note": "string", "year": "int"}
+    got = {r["id"]: r.asDict() for r in df.collect()}
+    assert got[1] == {"id": 1, "x": 1.5, "many": [1, 2], "paid": None, "note": None, "year": 2020}
+    assert got[5000000000]["x"] == 3.0 and got[5000000000]["many"] is None and str(got[5000000000]["paid"]) == "7.00"
+    assert got[3]["many"] == [9] and str(got[3]["paid"]) == "12.00" and got[3]["note"] == "n"
+    plan = df.filter("year = 2021 AND id > 3").select("paid")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in plan and "PartitionFilters: [isnotnull(year" in plan and "note" not in plan
+
+
+@pytest.mark.parametrize("one,two,both", [
+    ("tinyint", "int", "int"), ("int", "float", "double"), ("bigint", "decimal(5,2)", "decimal(22,2)"), ("date", "timestamp_ntz", "timestamp_ntz"),
+    ("map<string,int>", "map<string,double>", "map<string,double>"), ("bigint", "double", None), ("string", "int", None), ("decimal(38,0)", "decimal(3,2)", None),
+])
+def test_types_are_widened_only_without_loss(one, two, both):
+    a, b = (T.StructType.fromDDL(f"c {t}")["c"].dataType for t in (one, two))
+    if both is None:
+        with pytest.raises(ValueError, match="c"):
+            generations.wider(a, b, "c")
+    else:
+        assert generations.wider(a, b).simpleString() == generations.wider(b, a).simpleString() == both
+
+
+def test_one_part_of_each_write_is_looked_at(spark):
+    path = scratch_path(spark, "writes")
+    for _ in range(3):
+        spark.range(40).repartition(5).write.mode("append").parquet(path)
+    assert len(generations.generations(spark, path)) == 3
+    with pytest.raises(ValueError, match="no type holds both"):
+        spark.range(3).selectExpr("cast(id as string) AS id").write.mode("append").parquet(path)
+        readers.read_merged(spark, path)
+
+
 def test_repeated_matches_do_not_multiply_points(spark):
     points = spark.createDataFrame(
         [("m", "1", "1", str(n), "1", "1") for n in range(1, 5)],

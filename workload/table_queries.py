@@ -418,6 +418,33 @@ TABLE_LIFECYCLE = """SELECT c_custkey, c_name, CAST(NULL AS BIGINT) AS points_wo
 UNION ALL SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT), c_acctbal FROM customer WHERE c_nationkey > 20 AND c_custkey BETWEEN 100 AND 900"""
 
 
+def schema_generations(spark, sf):
+    """One folder written three times, each time with more columns or wider types, read as one table."""
+    path = scratch_path(spark, "generations")
+    source = b.table(spark, sf, "customer").withColumn("third", F.col("c_custkey") % 3)
+    first = source.filter("third = 0").select(
+        F.col("c_custkey").cast("int").alias("c_custkey"), "c_name", F.struct(F.col("c_nationkey").cast("smallint").alias("nation")).alias("home")
+    )
+    second = source.filter("third = 1").select(
+        F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("int").alias("points_won"),
+        F.struct(F.col("c_nationkey").cast("int").alias("nation"), F.col("c_mktsegment").alias("segment")).alias("home"),
+    )
+    third = source.filter("third = 2").select(
+        F.col("c_custkey").cast("int").alias("c_custkey"), (F.col("c_nationkey") / 4).alias("points_won"), F.col("c_acctbal").alias("rate")
+    )
+    for part in (first, second, third):
+        part.write.mode("append").parquet(path)
+    return readers.read_merged(spark, path).select(
+        "c_custkey", "c_name", F.col("home.nation").alias("nation"), F.col("home.segment").alias("segment"), "points_won", "rate"
+    )
+
+
+SCHEMA_GENERATIONS = """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS c_name,
+  CASE WHEN c_custkey % 3 < 2 THEN CAST(c_nationkey AS INT) END AS nation, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS segment,
+  CASE c_custkey % 3 WHEN 1 THEN CAST(c_nationkey AS DOUBLE) WHEN 2 THEN c_nationkey / 4 END AS points_won,
+  CASE WHEN c_custkey % 3 = 2 THEN c_acctbal END AS rate FROM customer"""
+
+
 def table_preview(spark, sf):
     """First rows by key of two stored tables."""
     out = None
@@ -475,6 +502,7 @@ QUERIES = {
     "parquet_pruned": (parquet_pruned, PARQUET_PRUNED),
     "union_sources": (union_sources, UNION_SOURCES),
     "table_lifecycle": (table_lifecycle, TABLE_LIFECYCLE),
+    "schema_generations": (schema_generations, SCHEMA_GENERATIONS),
     "table_preview": (table_preview, TABLE_PREVIEW),
     "chunked_build": (chunked_build, CHUNKED_BUILD),
 }
