@@ -131,25 +131,40 @@ def with_min_points(df, minimum, players=("player1", "player2")):
 
 def with_player1_total(df, minimum=0, player="player1"):
     """Attach each row's player-1 point total and keep totals of at least ``minimum``."""
-    totals = df.groupBy(player).agg(F.count(F.lit(1)).alias("total_points"))
-    return df.join(totals.filter(F.col("total_points") >= minimum), player)
+    totals = df.groupBy(F.col(player).alias("player")).agg(F.count(F.lit(1)).alias("total_points"))
+    enough = totals.filter((F.col("total_points") >= minimum) & F.col("player").isNotNull())
+    # Players are constant in a match: the totals reach the points along the match rows.
+    keys = [*(["match_id"] if "match_id" in df.columns else []), player]
+    matches = df.select(*keys).distinct().join(enough.withColumnRenamed("player", player), player)
+    return join_on(df, matches, keys, "inner")
 
 
-def finished(top_sets, tour, sets_needed=None):
-    """Whether ``top_sets`` (the most sets a side has won) already ends a match of this tour."""
+def tour_code(tour="tour", sets_needed=None):
+    """The tours that have a limit as numbers in the order of their names, others as the next number.
+
+    A number is a fixed-width value, so its least per match is kept by a hash aggregate.
+    """
+    names = sorted(sets_needed or SETS_NEEDED)
+    code = F.lit(len(names))
+    for i, name in reversed(list(enumerate(names))):
+        code = F.when(F.col(tour) == name, F.lit(i)).otherwise(code)
+    return code
+
+
+def finished(top_sets, code, sets_needed=None):
+    """Whether ``top_sets`` (the most sets a side has won) already ends a match of the tour with this code."""
+    limits = sets_needed or SETS_NEEDED
     over = F.lit(False)
-    for name, limit in (sets_needed or SETS_NEEDED).items():
-        over = over | ((F.col(tour) == name) & (F.col(top_sets) >= limit))
-    return over
+    for i, name in enumerate(sorted(limits)):
+        over = over | ((F.col(code) == i) & (F.col(top_sets) >= limits[name]))
+    return F.coalesce(over, F.lit(False))
 
 
 def valid_matches(df, sets_needed=None):
     """Drop matches in which a side already reached the set count that ends a match of its tour."""
     over = (
-        df.groupBy("match_id", "tour")
-        .agg(F.max(F.greatest("p1_sets_won", "p2_sets_won")).alias("_top"))
-        .groupBy("match_id")
-        .agg(F.max("_top").alias("_top"), F.min("tour").alias("_tour"))
+        df.groupBy("match_id")
+        .agg(F.max(F.greatest("p1_sets_won", "p2_sets_won")).alias("_top"), F.min(tour_code(sets_needed=sets_needed)).alias("_tour"))
         .filter(finished("_top", "_tour", sets_needed))
         .select("match_id")
     )

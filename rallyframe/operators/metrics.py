@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from rallyframe.constants import SCORE_POINTS
 from rallyframe.functions.ids import id_parts
+from rallyframe.functions.packing import packed, packed_number
 from rallyframe.functions.scores import by_code, winner_probability
-from rallyframe.operators.filters import finished
-from rallyframe.operators.ordered import average_percent_rank
+from rallyframe.operators.filters import finished, tour_code
+from rallyframe.operators.ordered import average_percent_rank, with_row_ids
 from rallyframe.session import materialise
 
 
@@ -148,11 +149,9 @@ def pressure_report(df, min_points=0, min_ranking_points=200, min_share_points=0
 
 
 def ranked(df, *order, name="place"):
-    """A short report with its place in ``order`` from 1, sorted by it.
-
-    For reports of one row per player, tour or score: the place needs them in one task.
-    """
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order))).orderBy(name)
+    """A report with its place in ``order`` from 1, sorted by it; the places are counted over range partitions."""
+    columns = df.columns
+    return with_row_ids(df, list(order), name).select(*columns, F.col(name).cast("int").alias(name)).orderBy(name)
 
 
 def pressure_extremes(df, metric, n=10):
@@ -175,22 +174,18 @@ def unlikely_results(df, low=0.10, high=0.90, sets_needed=None):
     """
     known = df.filter(F.col("match_winner").isNotNull())
     known = known.withColumn("top_sets", F.greatest("p1_sets_won", "p2_sets_won"))
-    sides = per_player(known, "match_id", "tour", "top_sets")
+    sides = per_player(known.withColumn("tour_code", tour_code(sets_needed=sets_needed)), "match_id", "tour_code", "top_sets")
     unlikely_win = F.col("is_winner") & (F.col("wp_before") <= low)
     unlikely_loss = ~F.col("is_winner") & (F.col("wp_before") >= high)
     per_match = (
-        sides.groupBy("player", "match_id", "tour")
+        sides.groupBy("player", "match_id")
         .agg(
             F.max(unlikely_win.cast("int")).alias("win"),
             F.max(unlikely_loss.cast("int")).alias("loss"),
             F.max("top_sets").alias("top_sets"),
+            F.min("tour_code").alias("tour_code"),
         )
-        .groupBy("player", "match_id")
-        .agg(
-            F.max("win").alias("win"), F.max("loss").alias("loss"), F.max("top_sets").alias("top_sets"),
-            F.min("tour").alias("tour"),
-        )
-        .filter(~finished("top_sets", "tour", sets_needed))
+        .filter(~finished("top_sets", "tour_code", sets_needed))
     )
     return (
         per_match.groupBy("player")
@@ -204,17 +199,19 @@ def extreme_points(df, low=0.10, high=0.90):
     sides = per_player(df.filter(F.col("match_winner").isNotNull()), "match_id", "point_number")
     win = F.when(F.col("is_winner") & (F.col("wp_before") <= low), F.col("wp_before"))
     loss = F.when(~F.col("is_winner") & (F.col("wp_before") >= high), F.col("wp_before"))
-    at_win = F.when(win.isNotNull(), F.struct(win.alias("p"), F.col("point_number")))
-    at_loss = F.when(loss.isNotNull(), F.struct((-loss).alias("p"), F.col("point_number")))
+    # The least of (value, point) as one fixed-width key each; the most likely loss by its negative value.
+    number = F.col("point_number")
     return (
         sides.groupBy("player", "match_id")
-        .agg(F.min(at_win).alias("w"), F.min(at_loss).alias("l"))
-        .select(
-            "player", "match_id",
-            F.col("w.p").alias("win_prob"), F.col("w.point_number").alias("win_point"),
-            (-F.col("l.p")).alias("loss_prob"), F.col("l.point_number").alias("loss_point"),
+        .agg(
+            F.min(win).alias("win_prob"), F.min(packed(win, number)).alias("_w"),
+            F.max(loss).alias("loss_prob"), F.min(packed(-loss, number)).alias("_l"),
         )
         .filter(F.col("win_prob").isNotNull() | F.col("loss_prob").isNotNull())
+        .select(
+            "player", "match_id", "win_prob", packed_number(F.col("_w")).alias("win_point"), "loss_prob",
+            packed_number(F.col("_l")).alias("loss_point"),
+        )
     )
 
 
@@ -367,24 +364,41 @@ def swing_scenarios(top):
     )
 
 
+#: Up to so many rows are sent to all tasks when whole rows are fetched for them.
+FETCHED = 10_000
+
+
 def top_upsets(df, n=10, sets_needed=None):
     """The winner's lowest point of each unfinished match, and the n lowest of all.
 
-    One aggregate per match finds the row and the sets reached; no group is sorted.
+    One hash aggregate per match keeps the least probability, the first point that has it and the sets
+    reached; the n rows that are shown are fetched from ``df`` afterwards, by a second scan, so ``df`` should be
+    a stored log. If a match has that point twice, one of the two rows is shown.
     """
-    rest = [c for c in df.columns if c not in ("match_id", "tour")]
-    row = F.struct("winner_prob_before", *rest)
+    known = df.filter(F.col("match_winner").isNotNull()).withColumn("winner_prob_before", winner_probability())
     lowest = (
-        df.filter(F.col("match_winner").isNotNull())
-        .withColumn("winner_prob_before", winner_probability())
-        .groupBy("match_id")
+        known.groupBy("match_id")
         .agg(
-            F.min_by(row, F.struct("winner_prob_before", "point_number")).alias("_row"),
+            F.min("winner_prob_before").alias("winner_prob_before"),
+            F.min(packed(F.col("winner_prob_before"), F.col("point_number"))).alias("_key"),
             F.max(F.greatest("p1_sets_won", "p2_sets_won")).alias("_top"),
-            F.min("tour").alias("tour"),
+            F.min(tour_code(sets_needed=sets_needed)).alias("_tour"),
         )
-        .filter(~finished("_top", "tour", sets_needed))
-        .select("match_id", "tour", "_row.*")
-        .withColumns(id_parts("match_id"))
+        .filter(~finished("_top", "_tour", sets_needed))
+    )
+    shown = top_rows(lowest, "winner_prob_before", ["match_id"], n, ascending=True).select(
+        F.col("match_id").alias("_match"), F.col("winner_prob_before").alias("_p"), packed_number(F.col("_key")).alias("_point")
+    )
+    same = (
+        (F.col("match_id") == F.col("_match"))
+        & F.col("winner_prob_before").eqNullSafe(F.col("_p"))
+        & (F.col("point_number").cast("bigint").eqNullSafe(F.col("_point")) | F.col("_p").isNull())
+    )
+    rows = known.join(F.broadcast(shown) if n <= FETCHED else shown, same).drop("_match", "_p", "_point")
+    once = Window.partitionBy("match_id").orderBy("point_number")
+    rest = [c for c in df.columns if c not in ("match_id", "tour")]
+    picked = (
+        rows.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1")
+        .select("match_id", "tour", "winner_prob_before", *rest).withColumns(id_parts("match_id"))
     )
-    return top_rows(lowest, "winner_prob_before", ["match_id"], n, ascending=True)
+    return top_rows(picked, "winner_prob_before", ["match_id"], n, ascending=True)

@@ -187,15 +187,18 @@ def _block_offsets(blocks, weight):
 
 
 def with_row_ids(df, order, name="row_id"):
-    """Dense 1-based ids in a total ``order`` over the whole table, without a single-task sort."""
-    blocks = _range_blocks(df, order)
-    offsets = _block_offsets(blocks, F.lit(1).cast("bigint"))
-    local = Window.partitionBy("_block").orderBy(*order)
-    return (
-        blocks.withColumn("_rn", F.row_number().over(local))
-        .join(F.broadcast(offsets), "_block")
-        .withColumn(name, (F.col("_rn") + F.col("_offset")).cast("bigint"))
-        .select(name, *df.columns)
+    """Dense 1-based ids in a total ``order`` over the whole table, without a single-task sort.
+
+    Rows are range-partitioned and sorted once and numbered where they lie; that is written, and
+    the number of rows before each partition is added. ``name`` comes first.
+    """
+    placed = materialise(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_block", F.shiftright("_at", 33))
+    offsets = _block_offsets(placed, F.lit(1).cast("bigint"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), "_block").select(
+        (inside + F.col("_offset") + 1).cast("bigint").alias(name), *df.columns
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rallyframe.constants import GAME, SET
-from rallyframe.operators.ordered import MAX_GROUP_ROWS, ordered_groups, previous_values, running_sums
+from rallyframe.operators.ordered import MAX_GROUP_ROWS, join_on, ordered_groups, previous_values, running_sums
 
 
 def _before(keys, order):
@@ -166,10 +166,12 @@ def with_match_winner(points, matches=None):
 
 
 def last_rows(points, keys, order):
-    """The last row of each group as one struct-valued aggregate (no sort of the group)."""
-    rest = [c for c in points.columns if c not in keys]
-    return (
-        points.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-        .select(*keys, "_row.*")
-    )
+    """The row of each group with the largest ``order``, a column of integers; whole rows are fetched last.
+
+    A hash aggregate finds the largest number of each group, and the rows join it by their keys; rows
+    without a number come before all others. Of rows that tie one stays. Null keys are groups too.
+    """
+    largest = points.groupBy(*keys).agg(F.max(order).alias("_largest"))
+    met = join_on(points, largest, keys, "inner").filter(F.col(order).eqNullSafe(F.col("_largest"))).drop("_largest")
+    once = Window.partitionBy(*keys).orderBy(order)
+    return met.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").drop("_copy")

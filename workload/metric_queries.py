@@ -19,6 +19,8 @@ from rallyframe.operators import players as pl
 from rallyframe.operators.state import rebuild_state, with_match_winner
 from rallyframe.operators.winprob import empirical_win_prob
 from rallyframe.plans.build import prepared_log, scored_log
+from rallyframe.session import scratch_path
+from rallyframe.sources import readers, writers
 from workload import bindings as b
 from workload.importance_oracle import importance_sql
 
@@ -446,6 +448,13 @@ def _results_log(spark, sf):
     return log.withColumn("match_winner", winner)
 
 
+def _stored_results(spark, sf):
+    """The results log, written by year and read back, as serving queries find it."""
+    path = scratch_path(spark, "results")
+    writers.write_parquet(_results_log(spark, sf), path)
+    return readers.read_parquet(spark, path)
+
+
 _RESULTS_SQL = f"""{SCORES}, {b.state_sql('s')}, {b.LABELS_SQL}"""
 _VALID_SQL = """vm AS (SELECT match_id FROM st GROUP BY 1 HAVING max(greatest(p1_sets_won, p2_sets_won)) < 3)"""
 
@@ -511,7 +520,7 @@ _UPSET_COLUMNS = [
 
 
 def top_upsets(spark, sf):
-    return mx.top_upsets(_results_log(spark, sf), sets_needed=_LIMITS).select(*_UPSET_COLUMNS)
+    return mx.top_upsets(_stored_results(spark, sf), sets_needed=_LIMITS).select(*_UPSET_COLUMNS)
 
 
 TOP_UPSETS = f"""{_RESULTS_SQL}, {_VALID_SQL},

@@ -66,7 +66,7 @@ SELECT player, total_points, high_pressure_points, {_r('p', 'high_pressure_pct')
 
 
 def results_tab(spark, sf):
-    report = reports.results_tab(mq._results_log(spark, sf), CHOSEN, sets_needed=mq._LIMITS)
+    report = reports.results_tab(mq._stored_results(spark, sf), CHOSEN, sets_needed=mq._LIMITS)
     return report.select("place", "match_id", "player1", "player2", "match_winner", "winner_prob_before", "point_number", "score")
 
 

@@ -108,7 +108,7 @@ FROM p JOIN lastrow l ON l.match_id = p.match_id AND l.rn = 1 JOIN mt ON mt.matc
 
 def last_game_rows(spark, sf):
     log = b.points(spark, sf).select(*KEY, "point_winner", "point_server")
-    return last_rows(log, GAME, ["point_number"])
+    return last_rows(log, GAME, "point_number")
 
 
 LAST_GAME_ROWS = f"""WITH {b.POINTS_SQL}

@@ -116,9 +116,10 @@ SELECT pl.player, CASE WHEN country IS NOT NULL THEN chr(ascii(substr(iso2, 1, 1
 
 
 def _dimensions(spark, sf):
+    """Matches, players and events; the latter two are written once, since each is read for several roles."""
     games = b.matches(spark, sf)
-    players = with_row_ids(star.dim_player(games), ["player_name_clean"], "player_id")
-    events = with_row_ids(star.dim_event(games), ["slam", "year"], "event_id")
+    players = materialise(with_row_ids(star.dim_player(games), ["player_name_clean"], "player_id"))
+    events = materialise(with_row_ids(star.dim_event(games), ["slam", "year"], "event_id"))
     return games, players, events
 
 
@@ -154,7 +155,7 @@ def fact_rates(spark, sf):
     """Fact points joined with the rates of server and returner by their ids."""
     games, players, events = _dimensions(spark, sf)
     log = b.points(spark, sf).select("match_id", "point_number", "point_server", "point_winner")
-    fact = star.fact_points(pl.with_serve_outcome(log), star.dim_match(games, players, events))
+    fact = star.fact_points(pl.with_serve_outcome(log), materialise(star.dim_match(games, players, events)))
     # A rate of fewer than 40 points is not used, so some ids have none.
     known = fact.groupBy(F.col("server_id").alias("player")).count().filter("count >= 40").select("player")
     rates = pl.player_rates(fact, "server_id", "returner_id").join(known, "player")
