@@ -104,7 +104,7 @@ def _signed(values):
     return values.view(np.int64)
 
 
-def _each(batches, column=1, max_bytes=4 << 20):
+def _each(batches, column=1, max_bytes=1 << 20):
     for whole in batches:
         yield from bytes_.slices(whole, column, max_bytes)
 
@@ -117,8 +117,8 @@ def frequent_shingles(rows, words=WORDS):
     """
 
     def count(batches):
-        for batch in _each(batches, max_bytes=16 << 20):
-            found = [s[: int(len(s) * COUNTED) + 1] for part in bytes_.slices(batch, 1) for s in shingle_sets(part.column(1), words)]
+        for batch in _each(batches, max_bytes=8 << 20):
+            found = [s[: int(len(s) * COUNTED) + 1] for part in bytes_.slices(batch, 1, 1 << 20) for s in shingle_sets(part.column(1), words)]
             values, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(n, pa.int64())], ["token", "n"])
 
@@ -398,10 +398,22 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
 
 
 def first_of_each(docs, key="doc_id", text="text", percent=75):
-    """``docs`` without the rows whose component has an earlier key; columns stay as they are.
+    """One row of each component of ``docs``; columns stay as they are.
 
-    Rows without a key or without words always stay. Of rows with equal keys all stay.
+    Rows are decided by themselves, whatever their keys: every distinct row stands for its copies under a
+    hash of all its columns, and of a component the row with the least key stays (nulls last, then by
+    that hash). Of rows equal in all columns one stays. Rows without words always stay, all copies.
     """
-    found = near_duplicates(docs, key, text, percent).filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{key}`").alias("_id"))
-    return whole.join(found, F.col("_id") == F.col("_gone"), "left_anti").select("_doc.*")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.struct(*names).alias("_doc"), F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"), F.xxhash64(*names).alias("_row"))
+    found = stored(near_duplicates(whole.select("_row", "_text"), "_row", "_text", percent), "rows")
+    sized = found.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_words"), F.min("component_id").alias("_part"))
+    keyed = whole.select("_row", "_id").groupBy("_row").agg(F.min("_id").alias("_id"))
+    named = stored(sized.filter("_words > 0").join(keyed, "_row"), "named")
+    first = named.groupBy("_part").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")).alias("_first"))
+    kept = named.join(first, "_part").filter("_row = _first._row").select(F.col("_row").alias("_kept"), "_n")
+    silent = sized.filter("_words = 0").select(F.col("_row").alias("_kept"), F.lit(1).cast("long").alias("_n"))
+    chosen = stored(kept.union(silent), "kept")
+    stays = whole.join(chosen, F.col("_row") == F.col("_kept"))
+    once = stays.filter("_n > 1").dropDuplicates(["_row"])
+    return stays.filter("_n = 1").select("_doc.*").union(once.select("_doc.*"))

@@ -85,3 +85,14 @@ def test_components_of_paths_stars_and_loops(spark):
     expected = {i: 100 for i in range(100, 161)} | {i: 0 for i in range(40)} | {498: 498, 499: 498, 500: 498}
     assert got == expected
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_are_decided_by_themselves(spark):
+    """Keys that rows share, null keys and equal rows: no text is lost and no copy stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (None, b, "y"), (None, c, "y"), (7, c + " more", "z"), (9, "", "z"), (9, "", "z"), (None, None, None)]
+    rows += [(5, "an exact copy of a row with words enough", "q")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.tag) for r in jaccard.first_of_each(docs).collect()), key=repr)
+    want = [(1, a, "x"), (2, b, "x"), (7, c + " more", "z"), (9, "", "z"), (9, "", "z"), (None, None, None), (5, "an exact copy of a row with words enough", "q")]
+    assert got == sorted(want, key=repr)
