@@ -148,12 +148,12 @@ class WordCache:
     around a blank are encoded whole. New words are encoded as one joined text. ``sizes`` has the
     bytes that each id stands for (0: not fixed), so every word must begin and end where ids do;
     a joined text of which that does not hold is encoded word by word. ``limit`` bounds what is
-    kept between batches, never what is encoded.
+    kept between batches, in two halves of which the older one goes first; never what is encoded.
     """
 
     def __init__(self, encode_batch, sizes, mark=" ", first="", limit=500_000):
         self.encode_batch, self.sizes, self.mark, self.first, self.limit = encode_batch, sizes, mark, first, limit
-        self.kept = {}
+        self.kept, self.older = {}, {}
         self.odd = [re.compile(x) for x in (r"[^\S\x20]\x20", r"\x20\s")]
 
     def _split(self, text):
@@ -192,11 +192,12 @@ class WordCache:
         for parts in words:
             if parts:
                 new.update(parts[1:])
+        if len(self.kept) > self.limit // 2:  # words met since then stay, the others go at the next turn
+            self.older, self.kept = self.kept, {}
         fresh = new - self.kept.keys()
-        if len(self.kept) + len(fresh) > self.limit:
-            self.kept.clear()
-            fresh = new
-        self._learn(fresh)
+        known = fresh & self.older.keys()
+        self.kept.update((w, self.older[w]) for w in known)
+        self._learn(fresh - known)
         starts = [
             self.first + (t.replace(" ", self.mark) if parts is None else parts[0]) if t else ""
             for t, parts in zip(texts, words)
