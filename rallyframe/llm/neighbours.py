@@ -9,7 +9,7 @@ once the next leaf is so far that a better row would lie there with probability
 at most.
 
 Rows are dealt to cells of a kd-tree fitted on a bounded sample, large cells to several shards,
-queries to blocks. A query first searches its own cell, and with the distance found there only
+queries to blocks of those that visit the same cell. A query first searches its own cell, and with the distance found there only
 the cells that the same test does not rule out.
 """
 
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rallyframe.llm.files import stored
 
@@ -52,11 +53,13 @@ def projections(size, dimensions=DIMENSIONS, seed=11):
 
 def lift_rows(x, largest):
     """Rows as unit vectors with one more component."""
-    rest = np.sqrt(np.maximum(largest**2 - (x * x).sum(1), 0))
-    return np.hstack([x, rest[:, None]]) / largest
+    x = x / largest
+    rest = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
+    return np.hstack([x, rest[:, None]])
 
 
 def lift_queries(q):
+    q = q / np.abs(q).max(1, keepdims=True)  # squares of large components stay finite
     return np.hstack([q, np.zeros((len(q), 1))]) / np.sqrt((q * q).sum(1))[:, None]
 
 
@@ -127,16 +130,17 @@ def leaves(points, leaf=LEAF):
     return order, np.array(sorted(starts) + [len(points)])
 
 
-def search(ids, x, queries, own, largest, k, bound, project, stop):
+def search(ids, rows_, x, queries, own, largest, k, bound, project, stop):
     """The k best rows of one shard for each query: (query index, row id, score) arrays.
 
+    ``rows_`` numbers the rows and ``own`` the queries' rows: a query does not find itself.
     ``bound`` is the squared distance of the k-th best that a query knows already (inf: none).
     """
     lifted = lift_rows(x, largest) @ project
     asked = lift_queries(queries) @ project
     scale = 1 / (largest * np.sqrt((queries * queries).sum(1)))
     order, starts = leaves(lifted)
-    lifted, x, ids = lifted[order], x[order], ids[order]
+    lifted, x, ids, rows_ = lifted[order], x[order], ids[order], rows_[order]
     lows = np.minimum.reduceat(lifted, starts[:-1], axis=0)
     highs = np.maximum.reduceat(lifted, starts[:-1], axis=0)
     far = box_distance(asked, lows, highs)
@@ -156,7 +160,7 @@ def search(ids, x, queries, own, largest, k, bound, project, stop):
             at, step = at + len(opened), step * 4
             n = sizes[opened]
             rows = np.repeat(starts[opened] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            rows = rows[ids[rows] != own[i]]
+            rows = rows[rows_[rows] != own[i]]
             score = np.concatenate([best_score, x[rows] @ queries[i]])
             name = np.concatenate([best_id, ids[rows]])
             keep = np.lexsort((name, -score))[:k]
@@ -175,9 +179,20 @@ def _matrix(column):
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def component(rows, vector):
+    """The type components are kept in: float as stored, double for all others."""
+    return "float" if rows.schema[vector].dataType == T.ArrayType(T.FloatType(), rows.schema[vector].dataType.containsNull) else "double"
+
+
+def norm(v):
+    """Length of a vector that is not zero, from components over the largest so that squares stay finite."""
+    most = F.array_max(F.transform(v, lambda e: F.abs(e.cast("double"))))
+    return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + F.pow(e.cast("double") / most, 2)))
+
+
 def usable(rows, key, vector):
     """(key, v) of the rows that can be compared: finite, not zero, of the commonest length, with a key."""
-    v = F.col(vector).cast("array<float>")
+    v = F.col(vector).cast(f"array<{component(rows, vector)}>")
     fit = rows.select(F.col(key).cast("long").alias("key"), v.alias("v")).filter(
         F.col("key").isNotNull()
         & F.col("v").isNotNull()
@@ -187,11 +202,41 @@ def usable(rows, key, vector):
     return fit
 
 
-def nearest(rows, key="vec_id", vector="embedding", every=20, k=20, shard_rows=SHARD_ROWS, confidence=CONFIDENCE):
+#: Columns of what a cell's search finds.
+FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def meetings(index, asked, per_cell, block_queries=BLOCK_QUERIES):
+    """Rows and queries dealt to the (cell, shard, block) groups in which they meet.
+
+    Blocks are cut among the queries that visit the same cell, so a row is copied once for
+    ``block_queries`` visitors of its cell, however many queries there are elsewhere. One row per
+    cell is broadcast: no more cells than rows of the sample.
+    """
+    visitors = asked.groupBy(F.col("cell").alias("_cell")).agg(
+        F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("blocks")
+    )
+    dealt = index.join(F.broadcast(visitors), F.col("cell") == F.col("_cell")).select(
+        "key", "row", "v", "cell", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    )
+    # Renamed, so that the two sides of the cogroup share no column.
+    plan = visitors.join(F.broadcast(per_cell), F.col("_cell") == per_cell["cell"]).select(
+        F.col("_cell").alias("_at"), F.col("blocks").alias("_blocks"), F.col("shards").alias("_shards")
+    )
+    each = asked.select([F.col(c).alias(c) for c in asked.columns]).join(F.broadcast(plan), F.col("cell") == F.col("_at")).withColumns(
+        {
+            "block": F.pmod(F.xxhash64("key", "row", F.lit(7)), F.col("_blocks")).cast("int"),
+            "shard": F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)),
+        }
+    ).select("key", "row", "v", "known", "cell", "shard", "block")
+    return dealt, each
+
+
+def nearest(rows, key="vec_id", vector="embedding", every=20, k=20, shard_rows=SHARD_ROWS, confidence=CONFIDENCE, block_queries=BLOCK_QUERIES):
     """(query_id, rank, vec_id, score) of the k rows with the largest inner product for each query.
 
-    Queries are the rows whose key is divisible by ``every``; candidates all rows with another
-    key. Ties go to the smaller key. Vectors that are null, zero, hold null or non-finite components
+    Queries are the rows whose key is divisible by ``every``; candidates all rows but the query's
+    own, so another row with its key is one, and two rows with one key are two queries. Ties go to the smaller key. Vectors that are null, zero, hold null or non-finite components
     or differ from the commonest length take no part, nor do rows without key; a repeated row
     is a candidate as often as it stands. Fewer candidates than k are all returned; an empty
     table gives no rows. Scores are double-precision products of the stored vectors.
@@ -200,67 +245,69 @@ def nearest(rows, key="vec_id", vector="embedding", every=20, k=20, shard_rows=S
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fit = usable(rows, key, vector)
     lengths = fit.groupBy(F.size("v").alias("n")).agg(
-        F.count(F.lit(1)).alias("c"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))).alias("m")
+        F.count(F.lit(1)).alias("c"), F.max(norm("v")).alias("m")
     ).orderBy(F.desc("c"), "n").first()
     if lengths is None:
         return empty
-    size, count, largest = lengths["n"], lengths["c"], math.sqrt(lengths["m"]) * (1 + 1e-9)
+    size, count, largest = lengths["n"], lengths["c"], lengths["m"] * (1 + 1e-9)
     fit = fit.filter(F.size("v") == size)
     project, stop = projections(size), stopping_point(confidence)
     sample = fit.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toArrow()
     points = lift_rows(_matrix(sample.column(0)), largest) @ project
     lows, highs = split_cells(points, max(1, round(count / shard_rows)))
 
+    kind = component(rows, vector)
+
     def place(batches):
         for batch in batches:
             x = _matrix(batch.column(1))
             cell = cell_of(lift_rows(x, largest) @ project, lows, highs) if len(x) else np.zeros(0, np.int32)
             yield batch.append_column("cell", pa.array(cell, pa.int32()))
 
-    placed = stored(fit.mapInArrow(place, "key long, v array<float>, cell int"), "placed")
-    # One count per cell: as many as shards.
-    fill = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
-    shards = [max(1, -(-fill.get(c, 0) // (2 * shard_rows))) for c in range(len(lows))]
-    spread = F.element_at(F.array(*[F.lit(n) for n in shards]), F.col("cell") + 1)
-    index = placed.withColumn("shard", F.pmod(F.xxhash64("key"), spread).cast("int"))
-    blocks = max(1, -(-count // (every * BLOCK_QUERIES)))
+    # Rows are numbered as they are written; a row is the query's own by this number.
+    placed = stored(
+        fit.mapInArrow(place, f"key long, v array<{kind}>, cell int").withColumn("row", F.monotonically_increasing_id()), "placed"
+    )
+    per_cell = stored(
+        placed.groupBy("cell").agg(
+            F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (2 * shard_rows))).cast("int").alias("shards")
+        ), "cells",
+    )
+    index = placed.join(F.broadcast(per_cell), "cell").withColumn("shard", F.pmod(F.xxhash64("key", "row"), F.col("shards")).cast("int"))
 
     def ask(batches):
         for batch in batches:
-            q = _matrix(batch.column(1))
+            q = _matrix(batch.column("v"))
             home = cell_of(lift_queries(q) @ project, lows, highs) if len(q) else np.zeros(0, np.int32)
-            yield batch.select([0, 1]).append_column("cell", pa.array(home, pa.int32()))
+            yield batch.append_column("cell", pa.array(home, pa.int32()))
 
     queries = stored(
-        placed.filter(F.col("key") % every == 0).select("key", "v").mapInArrow(ask, "key long, v array<float>, cell int")
-        .withColumns({"block": F.pmod(F.xxhash64("key", F.lit(7)), F.lit(blocks)).cast("int"), "known": F.lit(float("inf"))}), "queries",
+        placed.filter(F.col("key") % every == 0).select("key", "v", "row")
+        .mapInArrow(ask, f"key long, v array<{kind}>, row long, cell int").withColumn("known", F.lit(float("inf"))), "queries",
     )
 
     def look(left, right):
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        own = right.column("key").to_numpy()
+            return FOUND.empty_table()
+        own = right.column("row").to_numpy()
         q, name, score = search(
-            left.column("key").to_numpy(), _matrix(left.column("v")), _matrix(right.column("v")), own, largest, k,
-            right.column("known").to_numpy(), project, stop,
+            left.column("key").to_numpy(), left.column("row").to_numpy(), _matrix(left.column("v")), _matrix(right.column("v")),
+            own, largest, k, right.column("known").to_numpy(), project, stop,
         )
-        return pa.table({"query_id": own[q], "vec_id": name, "score": score})
+        return pa.table([own[q], right.column("key").to_numpy()[q], name, score], schema=FOUND)
 
     def visit(asked):
-        """Search the cells that ``asked`` (key, v, known, block, cell) names, in (shard, block) pairs."""
-        # Renamed, so that the two sides of the cogroup share no column.
-        pairs = asked.select(F.col("cell").alias("_cell"), F.col("block").alias("_block")).distinct()
-        dealt = index.join(pairs, F.col("cell") == F.col("_cell")).select("key", "v", "cell", "shard", F.col("_block").alias("block"))
-        each = asked.select([F.col(c).alias(c) for c in asked.columns]).withColumn("shard", F.explode(F.sequence(F.lit(0), spread - 1)))
+        """Search the cells that ``asked`` (key, row, v, known, cell) names, in (shard, block) pairs."""
+        dealt, each = meetings(index, asked, per_cell, block_queries)
         by = ["cell", "shard", "block"]
-        return dealt.groupBy(*by).cogroup(each.groupBy(*by)).applyInArrow(look, "query_id long, vec_id long, score double")
+        return dealt.groupBy(*by).cogroup(each.groupBy(*by)).applyInArrow(look, "query_row long, query_id long, vec_id long, score double")
 
     first = stored(visit(queries), "home")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(
-        F.col("query_id").alias("_q"), F.col("score").alias("_kth")
+        F.col("query_row").alias("_q"), F.col("score").alias("_kth")
     )
-    known = queries.drop("known").join(kth, F.col("key") == F.col("_q"), "left").drop("_q")
+    known = queries.drop("known").join(kth, F.col("row") == F.col("_q"), "left").drop("_q")
 
     def onward(batches):
         for batch in batches:
@@ -271,12 +318,12 @@ def nearest(rows, key="vec_id", vector="embedding", every=20, k=20, shard_rows=S
             goes = gaps <= stop * limit[:, None]
             goes[np.arange(len(q)), batch.column("cell").to_numpy()] = False
             at, cell = np.nonzero(goes)
-            rows_ = batch.select(["key", "v", "block"]).take(pa.array(at))
+            rows_ = batch.select(["key", "v", "row"]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays(
-                [*rows_.columns, pa.array(cell, pa.int32()), pa.array(limit[at], pa.float64())], ["key", "v", "block", "cell", "known"]
+                [*rows_.columns, pa.array(cell, pa.int32()), pa.array(limit[at], pa.float64())], ["key", "v", "row", "cell", "known"]
             )
 
-    rest = stored(known.mapInArrow(onward, "key long, v array<float>, block int, cell int, known double"), "onward")
+    rest = stored(known.mapInArrow(onward, f"key long, v array<{kind}>, row long, cell int, known double"), "onward")
     everything = first.union(visit(rest))
     return everything.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"

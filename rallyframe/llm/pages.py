@@ -7,6 +7,7 @@ undecided blocks the label of their nearest decided neighbours inside the same c
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -105,6 +106,8 @@ def blocks(page):
     """The blocks of a page in order."""
     found, parts, linked = [], [], 0
     stack, outside, links, articles, number = [], 0, 0, 0, 0
+    # Open elements by name: the stack is searched only for what stands in it.
+    opened = Counter()
     at, size = 0, len(page)
 
     def flush():
@@ -117,6 +120,7 @@ def blocks(page):
 
     def close(entry):
         nonlocal outside, links, articles
+        opened[entry[0]] -= 1
         outside -= entry[1]
         links -= entry[0] == "a"
         articles -= entry[2]
@@ -137,11 +141,10 @@ def blocks(page):
         if match[1]:
             if name in BLOCK or name == "p":
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for entry in stack[i:]:
-                        close(entry)
-                    del stack[i:]
+            while opened[name]:
+                last = stack.pop()
+                close(last)
+                if last[0] == name:
                     break
             continue
         if name in RAW:
@@ -153,7 +156,7 @@ def blocks(page):
             continue
         if name in BLOCK:
             flush()
-            if name in ("p", "li", "dd", "dt", "option", "tr", "td", "th"):
+            if opened[name] and name in ("p", "li", "dd", "dt", "option", "tr", "td", "th"):
                 # These end an open element of their own kind.
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
@@ -171,6 +174,7 @@ def blocks(page):
         if main and not articles:
             number += 1
         stack.append((name, int(foreign), int(main and not foreign)))
+        opened[name] += 1
         outside += foreign
         links += name == "a"
         articles += main and not foreign
@@ -178,6 +182,17 @@ def blocks(page):
     return found
 
 
+def nearest_decided(found, decided, backward):
+    """For every block the place of the last decided one of its article met before it, or None; one pass."""
+    out, last = [None] * len(found), {}
+    for i in range(len(found) - 1, -1, -1) if backward else range(len(found)):
+        b = found[i]
+        out[i] = last.get(b.inside)
+        if decided[i] != OPEN and not b.outside:
+            last[b.inside] = i
+    return out
+
+
 def classify(found):
     """Set the labels of the blocks of one page, in two passes.
 
@@ -201,12 +216,11 @@ def classify(found):
         for b, _ in untold:
             b.label = GOOD
     decided = [b.label for b in found]
+    before, after = nearest_decided(found, decided, False), nearest_decided(found, decided, True)
     for i, b in enumerate(found):
         if decided[i] != OPEN:
             continue
-        before = next((j for j in range(i - 1, -1, -1) if found[j].inside == b.inside and not found[j].outside and decided[j]), None)
-        after = next((j for j in range(i + 1, len(found)) if found[j].inside == b.inside and not found[j].outside and decided[j]), None)
-        near = [j for j in (before, after) if j is not None]
+        near = [j for j in (before[i], after[i]) if j is not None]
         if not near:
             b.label = GOOD if b.inside else BAD
         elif b.inside:

@@ -16,6 +16,8 @@ from rallyframe.llm import text as bytes_
 
 #: Rows a model is fitted on, at most. Training cuts longer documents into runs of RUN lines.
 SAMPLE = 4000
+#: Lines of one text that the fit reads, at most.
+LINES = 5000
 RUN = 32
 STEPS = 150
 PENALTY = 1e-3
@@ -251,9 +253,12 @@ def held_out(key):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs, labels, key="doc_id", text="text", label="quality", sample=SAMPLE):
+def train(docs, labels, key="doc_id", text="text", label="quality", sample=SAMPLE, lines=LINES):
     """Fit on at most ``sample`` labelled rows that are not held out, chosen by a hash of the key.
 
+    Of rows with one key one is taken, and of a text at most its first ``lines`` lines, so that what
+    reaches the driver is bounded. The bounds concern the fit alone; scores read whole texts.
+
     Labels without key or value are left out; of several labels of a key the commoner counts
     (a tie: good). Without labels of both kinds the model is the smoothed share of good rows.
     """
@@ -264,18 +269,23 @@ def train(docs, labels, key="doc_id", text="text", label="quality", sample=SAMPL
     )
     # At most ``sample`` rows.
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("_id", "_label", "_text")
+    # One row of each key: of several, the text with the least hash.
+    rows = (
+        texts.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).groupBy("_id", "_label")
+        .agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
+    )
 
     def describe(batches):
         for whole in batches:
             for batch in bytes_.slices(whole, 2):
                 features, size, per = line_features(batch.column(2))
                 cut = np.concatenate([[0], np.cumsum(per)])
+                ends = np.minimum(cut[1:], cut[:-1] + lines)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), batch.column(1),
-                        pa.array([features[a:b, :OWN].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                        pa.array([size[a:b].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+                        pa.array([features[a:b, :OWN].astype("<f4").tobytes() for a, b in zip(cut[:-1], ends)], pa.binary()),
+                        pa.array([size[a:b].astype("<f4").tobytes() for a, b in zip(cut[:-1], ends)], pa.binary()),
                     ],
                     ["key", "label", "features", "size"],
                 )

@@ -68,3 +68,39 @@ def test_rows_that_take_no_part(spark):
 def test_chi_square():
     assert abs(neighbours.chi_square(7.344, 8) - 0.5) < 1e-3
     assert abs(neighbours.chi_square(neighbours.stopping_point()) - neighbours.CONFIDENCE) < 1e-9
+
+
+def test_rows_are_copied_once_for_the_visitors_of_their_cell(spark):
+    index = spark.range(1000).selectExpr("id AS key", "id AS row", "array(1f) AS v", "CAST(id % 10 AS INT) AS cell", "0 AS shard")
+    cells = spark.range(10).selectExpr("CAST(id AS INT) AS cell", "1 AS shards")
+    asked = spark.range(100).selectExpr("id AS key", "id AS row", "array(1f) AS v", "0d AS known", "CAST(id % 10 AS INT) AS cell")
+    copies = [neighbours.meetings(index, asked, cells, n)[0].count() for n in (10, 5, 1)]
+    assert copies == [1000, 2000, 10_000]
+    hot = asked.withColumn("cell", (asked.key % 2).cast("int") * asked.cell % 2)
+    dealt, each = neighbours.meetings(index, hot, cells, 100)
+    assert dealt.count() == 200 and each.count() == 100
+
+
+def test_small_blocks_give_the_same(spark):
+    x = np.random.default_rng(2).standard_normal((400, 6))
+    docs = table(spark, np.arange(400), x)
+    one = sorted(map(tuple, neighbours.nearest(docs, shard_rows=40).collect()))
+    assert one == sorted(map(tuple, neighbours.nearest(docs, shard_rows=40, block_queries=2).collect()))
+
+
+def test_double_vectors_keep_their_digits(spark):
+    rows = [(0, [1.0, 1e-12]), (1, [1.0, 1.0]), (2, [1.0 + 1e-12, 0.0]), (3, [1e200, 0.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [3, 1, 2] and got[1]["score"] == 1.0 + 1e-12
+
+
+def test_another_row_with_the_key_of_the_query_is_a_candidate(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [0.5, 0.0])]
+    got = sorted(map(tuple, neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == [(0, 1, 0, 2.0), (0, 1, 0, 2.0), (0, 2, 1, 0.5), (0, 2, 1, 1.0)]
+
+
+def test_clashing_column_names(spark):
+    plain = table(spark, np.arange(30), np.random.default_rng(1).standard_normal((30, 4)))
+    extra = plain.selectExpr("*", "1 AS key", "2 AS v", "3 AS cell", "4 AS row", "5 AS shard", "6 AS block")
+    assert sorted(map(tuple, neighbours.nearest(plain).collect())) == sorted(map(tuple, neighbours.nearest(extra).collect()))

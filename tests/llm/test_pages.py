@@ -1,5 +1,9 @@
+import random
+import time
+
 import pytest
 
+from rallyframe.llm import pages
 from rallyframe.llm.pages import extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -80,3 +84,69 @@ def test_copyright_sign_in_a_long_block():
 )
 def test_other_languages_without_article(text):
     assert main_text(f"<div><a href=\"/x\">x</a></div><div><p>{text}</p><p>{text}</p></div><div class=footer>{text}</div>") == f"{text}\n{text}"
+
+
+def plain_labels(found):
+    """The second pass by looking back and forth from every open block; first labels are given."""
+    out = []
+    for i, b in enumerate(found):
+        if b.label != pages.OPEN:
+            out.append(b.label)
+            continue
+        near = []
+        for way in (range(i - 1, -1, -1), range(i + 1, len(found))):
+            for j in way:
+                c = found[j]
+                if c.inside == b.inside and not c.outside and c.label != pages.OPEN:
+                    near.append((abs(j - i), j, c.label))
+                    break
+        if not near:
+            out.append(pages.GOOD if b.inside else pages.BAD)
+        elif b.inside:
+            out.append(pages.BAD if [n[2] for n in near] == [pages.BAD] * 2 else pages.GOOD)
+        else:
+            out.append(min(near)[2])
+    return out
+
+
+def first_labels(found):
+    """The first pass from the rules as they are stated."""
+    long, good_inside, told, rest = [], False, 0, 0
+    for b in found:
+        words = [w.strip(".,;:!?\"'()") for w in b.text.lower().split()]
+        stops = len([w for w in words if w in pages.STOP]) / len(words)
+        size = len(b.text) + len(pages.DENSE.findall(b.text))
+        b.label = pages.OPEN
+        if b.outside or b.linked > pages.LINKED * len(b.text) or ("©" in b.text and not b.inside and size < pages.LONG):
+            b.label = pages.BAD
+        elif size >= pages.LONG and (b.inside or stops >= pages.STOPPED):
+            b.label, told, good_inside = pages.GOOD, told + size, good_inside or bool(b.inside)
+        elif size >= pages.LONG:
+            long.append(b)
+            rest += size
+    if not good_inside and told < pages.UNTOLD * (told + rest):
+        for b in long:
+            b.label = pages.GOOD
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_labels_equal_the_plain_rules(seed):
+    pick = random.Random(seed)
+    made = []
+    for _ in range(pick.randint(0, 60)):
+        text = pick.choice(["Short.", "© 2020 firm", "zyx " * 40, "the cat and the dog of a house is in it " * 5, "said the"])
+        made.append((text.strip(), pick.choice([0, 0, len(text)]), pick.random() < 0.2, pick.choice([0, 0, 1, 2])))
+    one, two = [pages.Block(*m) for m in made], [pages.Block(*m) for m in made]
+    first_labels(two)
+    assert [b.label for b in pages.classify(one)] == plain_labels(two)
+
+
+@pytest.mark.parametrize("unit", ["<p>short one</p>", "<b>x<p>y</p>", "<i>z", "</section>w<li>v", "<td>short<br>"])
+def test_time_grows_with_the_page(unit):
+    def seconds(n):
+        start = time.process_time()
+        main_text("<div>" + unit * n + "</div>")
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 16 * max(seconds(10_000), 0.05)

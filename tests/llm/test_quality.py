@@ -76,3 +76,15 @@ def test_odd_rows_and_no_labels(spark, small):
     kept = quality.good_only(small, both)
     assert kept.columns == small.columns
     assert quality.scored(small.filter("false"), both).count() == 0
+
+
+def test_the_fit_is_bounded_in_rows_and_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda f, s, n, y: seen.append((len(f), list(n), y)))
+    rows = [(1, "a line of words\n" * 50 + str(i)) for i in range(20)] + [(3, "one line"), (4, "two\nlines")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    kept = [k for k in (1, 3, 4) if zlib.crc32(str(k).encode()) % 4 != 2]
+    quality.train(docs, marks, lines=10)
+    most = {1: 10, 3: 1, 4: 2}
+    assert seen[0][1] == [most[k] for k in kept] and seen[0][0] == sum(most[k] for k in kept)
