@@ -10,7 +10,6 @@ library, written to the shared folder, read again and decoded.
 import functools
 import hashlib
 import os
-import re
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -165,7 +164,6 @@ class PieceCodec(WordCache):
         sizes = [len(p.encode()) if t in (NORMAL, USER_DEFINED) else t == BYTE for p, t in zip(model.pieces, model.types)]
         first, mark = (MARK, MARK) if self.by_words else ("", " ")
         super().__init__(self._batch, np.array(sizes, np.int64), mark, first, limit)
-        self.odd.append(re.compile(MARK))  # a literal mark may join the one that stands for a blank
         said = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, t in zip(model.pieces, model.types)]
         self.said = np.frombuffer(b"".join(said), np.uint8)
         self.said_at = np.concatenate([[0], np.cumsum([len(x) for x in said])])
@@ -174,7 +172,8 @@ class PieceCodec(WordCache):
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _split(self, text):
-        return super()._split(text) if self.by_words else None
+        # A literal mark may join the one that stands for a blank.
+        return super()._split(text) if self.by_words and MARK not in text else None
 
     def whole(self, text):
         """Ids of a text encoded in one go."""

@@ -13,7 +13,6 @@ arithmetic: block ``i // ids_per_block``, bit ``(i % ids_per_block) * bits``.
 
 import functools
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -145,68 +144,91 @@ class WordCache:
     The split patterns take a blank only together with what follows it, so a cut before a
     single blank between two visible characters never divides a match: the ids of the words,
     each with the blank before it, are the ids of the whole. Texts with other white space
-    around a blank are encoded whole. New words are encoded as one joined text. ``sizes`` has the
-    bytes that each id stands for (0: not fixed), so every word must begin and end where ids do;
-    a joined text of which that does not hold is encoded word by word. ``limit`` bounds what is
-    kept between batches, in two halves of which the older one goes first; never what is encoded.
+    around a blank (a word that is empty, or begins or ends with white space) are encoded whole.
+    New words are encoded as one joined text. ``sizes`` has the bytes that each id stands for (0: not
+    fixed), so every word must begin and end where ids do; a joined text of which that does not hold
+    is encoded word by word. ``limit`` bounds what is kept between batches, in two halves of which
+    the older one goes first; never what is encoded.
     """
 
     def __init__(self, encode_batch, sizes, mark=" ", first="", limit=500_000):
         self.encode_batch, self.sizes, self.mark, self.first, self.limit = encode_batch, sizes, mark, first, limit
-        self.kept, self.older = {}, {}
-        self.odd = [re.compile(x) for x in (r"[^\S\x20]\x20", r"\x20\s")]
+        self.kept, self.older = {}, {}  # None: no word to cut before
 
     def _split(self, text):
-        """The words of a text, or None if it must stay whole."""
-        if not text or text[0] == " " or text[-1] == " " or any(x.search(text) for x in self.odd):
+        """(first word, words after single blanks, last word if it ends with white space), or None if it must stay whole."""
+        if not text or text[0] == " " or text[-1] == " ":
             return None
-        return text.split(" ")
+        head, *rest = text.split(" ")
+        tail = rest.pop() if rest and rest[-1][-1:].isspace() else ""
+        if (rest or tail) and head[-1].isspace() or tail[:1].isspace():
+            return None
+        return head, rest, tail
 
     def _learn(self, words):
         """Encode words that follow a blank and keep their ids."""
-        words = list(words)
-        for i in range(0, len(words), 4096):
-            self._learn_few(words[i : i + 4096])
+        plain = [w for w in words if w and len(w.strip()) == len(w)]
+        if len(plain) < len(words):
+            self.kept.update(dict.fromkeys(set(words).difference(plain)))
+        for i in range(0, len(plain), 4096):
+            self._learn_few(plain[i : i + 4096])
+
+    def _starts(self, data):
+        """Where the mark stands in UTF-8 bytes."""
+        mark = self.mark.encode()
+        many = len(data) - len(mark) + 1
+        hit = data[:many] == mark[0]
+        for i in range(1, len(mark)):
+            hit &= data[i : many + i] == mark[i]
+        return np.flatnonzero(hit)
 
     def _learn_few(self, words):
-        groups = [[self.mark + w for w in words[i : i + 256]] for i in range(0, len(words), 256)]
-        at = 0
-        for group, ids in zip(groups, self.encode_batch(["".join(g) for g in groups])):
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        joined = [self.mark + self.mark.join(g) for g in groups]
+        for group, text, ids in zip(groups, joined, self.encode_batch(joined)):
             ids = np.array(ids, "<u4")
-            stops = np.cumsum([len(w.encode()) for w in group])
+            told = np.frombuffer(text.encode(), np.uint8)
+            stops = np.append(self._starts(told)[1:], len(told))
             reached = np.cumsum(self.sizes[ids])
             last = np.minimum(np.searchsorted(reached, stops), len(ids) - 1)
-            if self.sizes[ids].all() and reached[-1] == stops[-1] and (reached[last] == stops).all():
+            if len(stops) == len(group) and self.sizes[ids].all() and reached[-1] == stops[-1] and (reached[last] == stops).all():
                 data, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
                 parts = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             else:
-                parts = [np.array(x, "<u4").tobytes() for x in self.encode_batch(group)]
-            self.kept.update(zip(words[at : at + len(group)], parts))
-            at += len(group)
+                parts = [np.array(x, "<u4").tobytes() for x in self.encode_batch([self.mark + w for w in group])]
+            self.kept.update(zip(group, parts))
 
     def encode(self, texts, end=()):
         """One unsigned 32-bit array per text, ``end`` appended."""
         end = np.array(end, "<u4").tobytes()
-        words = [self._split(t) for t in texts]
+        split = [self._split(t) for t in texts]
         new = set()
-        for parts in words:
+        for parts in split:
             if parts:
-                new.update(parts[1:])
+                new.update(parts[1])
         if len(self.kept) > self.limit // 2:  # words met since then stay, the others go at the next turn
             self.older, self.kept = self.kept, {}
-        fresh = new - self.kept.keys()
-        known = fresh & self.older.keys()
-        self.kept.update((w, self.older[w]) for w in known)
-        self._learn(fresh - known)
-        starts = [
-            self.first + (t.replace(" ", self.mark) if parts is None else parts[0]) if t else ""
-            for t, parts in zip(texts, words)
+        kept, older = self.kept, self.older
+        fresh = [w for w in new if w not in kept]
+        if older:
+            kept.update((w, older[w]) for w in fresh if w in older)
+            fresh = [w for w in fresh if w not in older]
+        self._learn(fresh)
+        ids = {w: kept[w] for w in new}
+        odd = {w for w, x in ids.items() if x is None}
+        if odd:
+            split = [p if p and odd.isdisjoint(p[1]) else None for p in split]
+        heads = [
+            (self.first + (p[0] if p else t.replace(" ", self.mark)) if t else "") for t, p in zip(texts, split)
         ]
-        look, out = {w: self.kept[w] for w in new}.__getitem__, []
-        for parts, head in zip(words, self.encode_batch(starts)):
-            data = np.array(head, "<u4").tobytes()
+        tails = [self.mark + p[2] for p in split if p and p[2]]
+        said = [np.array(x, "<u4").tobytes() for x in self.encode_batch(heads + tails)]
+        look, tail, out = ids.__getitem__, iter(said[len(heads) :]), []
+        for data, parts in zip(said, split):
             if parts:
-                data += b"".join(map(look, parts[1:]))
+                data += b"".join(map(look, parts[1]))
+                if parts[2]:
+                    data += next(tail)
             out.append(np.frombuffer(data + end, "<u4"))
         return out
 

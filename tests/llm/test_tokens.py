@@ -94,3 +94,15 @@ def test_order_of_new_words_changes_nothing(seed):
 def test_empty_table(spark, small):
     manifest = tokens.write_shards(small.filter("false"), "doc_id", "text", PATH)
     assert tokens.read_digests(manifest).count() == 0
+
+
+def test_white_space_around_blanks_and_at_the_ends():
+    cache, _ = tokens.byte_bpe_encoder(PATH)
+    texts = [
+        "a b", "a\n b", "a \nb", "a  b", " a b", "a b ", "a b\n", "a b \n", "a\n", "\na b", "a b ", "a   b\n\n", "\n b",
+        "a b\n c d\n", "one\ttwo three\t", "a b\n\n c", " ", "\n", "x y\r\n", "é ü　", "a 　b c\n",
+    ]
+    for order in (texts, texts[::-1]):
+        for size in (1, 4, len(texts)):
+            got = [list(x) for i in range(0, len(order), size) for x in cache.encode(order[i : i + size])]
+            assert got == cache.encode_batch(order)
