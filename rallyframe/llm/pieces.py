@@ -171,9 +171,9 @@ class PieceCodec(WordCache):
     def _batch(self, texts):
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _split(self, text):
+    def _whole(self, text):
         # A literal mark may join the one that stands for a blank.
-        return super()._split(text) if self.by_words and MARK not in text else None
+        return not self.by_words or MARK in text
 
     def whole(self, text):
         """Ids of a text encoded in one go."""

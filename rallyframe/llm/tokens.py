@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -155,15 +156,9 @@ class WordCache:
         self.encode_batch, self.sizes, self.mark, self.first, self.limit = encode_batch, sizes, mark, first, limit
         self.kept, self.older = {}, {}  # None: no word to cut before
 
-    def _split(self, text):
-        """(first word, words after single blanks, last word if it ends with white space), or None if it must stay whole."""
-        if not text or text[0] == " " or text[-1] == " ":
-            return None
-        head, *rest = text.split(" ")
-        tail = rest.pop() if rest and rest[-1][-1:].isspace() else ""
-        if (rest or tail) and head[-1].isspace() or tail[:1].isspace():
-            return None
-        return head, rest, tail
+    def _whole(self, text):
+        """Whether a text is encoded in one go whatever its words are."""
+        return False
 
     def _learn(self, words):
         """Encode words that follow a blank and keep their ids."""
@@ -198,39 +193,80 @@ class WordCache:
                 parts = [np.array(x, "<u4").tobytes() for x in self.encode_batch([self.mark + w for w in group])]
             self.kept.update(zip(group, parts))
 
-    def encode(self, texts, end=()):
-        """One unsigned 32-bit array per text, ``end`` appended."""
-        end = np.array(end, "<u4").tobytes()
-        split = [self._split(t) for t in texts]
-        new = set()
-        for parts in split:
-            if parts:
-                new.update(parts[1])
+    def _known(self, words):
+        """The kept ids of distinct words, in their order; new words are learnt."""
         if len(self.kept) > self.limit // 2:  # words met since then stay, the others go at the next turn
             self.older, self.kept = self.kept, {}
         kept, older = self.kept, self.older
-        fresh = [w for w in new if w not in kept]
+        fresh = [w for w in words if w not in kept]
         if older:
             kept.update((w, older[w]) for w in fresh if w in older)
             fresh = [w for w in fresh if w not in older]
         self._learn(fresh)
-        ids = {w: kept[w] for w in new}
-        odd = {w for w, x in ids.items() if x is None}
-        if odd:
-            split = [p if p and odd.isdisjoint(p[1]) else None for p in split]
+        return [kept[w] for w in words]
+
+    def encode(self, texts, end=()):
+        """One unsigned 32-bit array per text, ``end`` appended.
+
+        Words are cut and numbered by Arrow; every place of a text then names an entry of a table of
+        ids: a known word, a first word, a last word that ends with white space, or a whole text.
+        """
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        first, inner = cuts[:-1], np.ones(len(codes), bool)
+        inner[first] = False
+        alone, apart, tails, tailed = np.zeros(len(texts), bool), [], [], []
+        for i, text in enumerate(texts):
+            blank = text.find(" ")
+            head = text if blank < 0 else text[:blank]
+            apart.append(head)
+            if text and (self._whole(text) or (blank >= 0 and (not head or head[-1].isspace()))):
+                alone[i] = True
+            elif blank >= 0 and text[-1] != " " and text[-1].isspace():
+                tail = text[text.rfind(" ") + 1 :]
+                if tail[0].isspace():
+                    alone[i] = True
+                else:
+                    tails.append(tail)
+                    tailed.append(i)
+        inner[cuts[1:][tailed] - 1] = False
+        inner &= ~np.repeat(alone, np.diff(cuts))
+        used = np.zeros(len(coded.dictionary), bool)
+        used[codes[inner]] = True
+        ids = self._known(coded.dictionary.filter(pa.array(used)).to_pylist())
+        number = np.cumsum(used) - 1
+        odd = np.array([x is None for x in ids], bool)
+        if odd.any():
+            met = np.flatnonzero(inner)[odd[number[codes[inner]]]]
+            alone[np.searchsorted(cuts, met, side="right") - 1] = True
+            inner &= ~np.repeat(alone, np.diff(cuts))
         heads = [
-            (self.first + (p[0] if p else t.replace(" ", self.mark)) if t else "") for t, p in zip(texts, split)
+            self.first + (t.replace(" ", self.mark) if whole else h) if t else ""
+            for t, h, whole in zip(texts, apart, alone.tolist())
         ]
-        tails = [self.mark + p[2] for p in split if p and p[2]]
-        said = [np.array(x, "<u4").tobytes() for x in self.encode_batch(heads + tails)]
-        look, tail, out = ids.__getitem__, iter(said[len(heads) :]), []
-        for data, parts in zip(said, split):
-            if parts:
-                data += b"".join(map(look, parts[1]))
-                if parts[2]:
-                    data += next(tail)
-            out.append(np.frombuffer(data + end, "<u4"))
-        return out
+        said = [np.array(x, "<u4").tobytes() for x in self.encode_batch(heads + [self.mark + t for t in tails])]
+        entries = [*(x or b"" for x in ids), *said, b"", np.array(end, "<u4").tobytes()]
+        nothing, stop = len(entries) - 2, len(entries) - 1
+        places = np.full(len(codes), nothing)
+        places[inner] = number[codes[inner]]
+        # A last word is not the first one: its text holds a blank.
+        last = np.array(tailed, np.int64)
+        shown = ~alone[last]
+        places[cuts[1:][last[shown]] - 1] = len(ids) + len(heads) + np.flatnonzero(shown)
+        places[first] = len(ids) + np.arange(len(heads))
+        if end:
+            places, cuts = np.insert(places, cuts[1:], stop), cuts + np.arange(len(cuts))
+        table = np.frombuffer(b"".join(entries), "<u4")
+        sizes = np.array([len(x) // 4 for x in entries], np.int64)
+        starts, counts = np.cumsum(sizes) - sizes, sizes[places]
+        stops = np.cumsum(counts)
+        out = table[np.repeat(starts[places] - stops + counts, counts) + np.arange(stops[-1])]
+        at = np.concatenate([[0], stops])[cuts].tolist()
+        return [out[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 @functools.lru_cache(maxsize=2)
