@@ -231,6 +231,14 @@ def average_percent_rank(df, value, name):
     return stored.join(ranks, stored[value] == ranks["_v"], "left").drop("_v")
 
 
+def between(low, high, weight):
+    """The point ``weight`` of the way from ``low`` to ``high``, infinities included."""
+    if low == high or not weight or low == float("-inf"):
+        return low
+    step = high - low
+    return low + step * weight if step < float("inf") else low * (1 - weight) + high * weight
+
+
 #: Relative rank error of the quantile sketch is 1 / ACCURACY.
 ACCURACY = 10_000
 
@@ -276,8 +284,4 @@ def exact_quantile(df, column, q, levels=2):
             if wanted < at:
                 picked.append(row["v"])
                 break
-    low, high = picked
-    if low == high or not weight or low == float("-inf"):
-        return low
-    step = high - low
-    return low + step * weight if step < float("inf") else low * (1 - weight) + high * weight
+    return between(*picked, weight)

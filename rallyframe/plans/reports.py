@@ -20,18 +20,22 @@ def consistency_tab(log, filters, min_points=0):
     return mx.ranked(report, F.col("expected_points_added").desc_nulls_last(), F.col("player"))
 
 
-def pressure_points(log, filters, min_points=0, percent=25):
-    """Points of players with enough points as player 1, flagged by the threshold of what is left."""
+def pressure_points(log, filters, min_points=0, percent=25, sketches=None):
+    """Points of players with enough points as player 1, flagged by the threshold of what is left.
+
+    ``sketches`` of the whole log (by year, tour and tournament) are merged for the choice and bracket
+    the threshold, so that it takes one scan.
+    """
     kept = flt.with_player1_total(chosen_points(log, filters), min_points).drop("total_points")
-    return flt.with_high_pressure(kept, percent)
+    return flt.with_high_pressure(kept, percent, sketches=None if sketches is None else filters.apply(sketches))
 
 
-def pressure_tab(log, filters, min_points=0, min_ranking_points=200, min_share_points=0, percent=25):
+def pressure_tab(log, filters, min_points=0, min_ranking_points=200, min_share_points=0, percent=25, sketches=None):
     """Win rates under pressure, best clutch delta first.
 
     The threshold is taken after the gate on points, over the points that passed it.
     """
-    points = pressure_points(log, filters, min_points, percent)
+    points = pressure_points(log, filters, min_points, percent, sketches)
     report = mx.pressure_report(points, min_points, min_ranking_points, min_share_points)
     return mx.ranked(report, F.col("clutch_delta").desc_nulls_last(), F.col("player"))
 

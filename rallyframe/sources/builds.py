@@ -91,11 +91,13 @@ def build(df, path, key, buckets, compute, only=None):
 
     ``compute`` maps a frame to a frame that keeps ``key``. ``only`` re-runs the listed buckets; they
     are replaced when the run has been written, also by nothing if their rows are gone, and the others stay
-    as they are. If anything fails before the commit, all buckets read as before.
+    as they are. Without ``buckets`` the key is a whole number, such as a year, and every value a bucket of its
+    own (null: -1); where the source is partitioned by it, a re-run opens no other files. If anything fails before the commit, all buckets read as before.
     """
     spark = df.sparkSession
     store, run = _Store(spark, path), uuid.uuid4().hex
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)) if buckets else F.coalesce(F.col(key), F.lit(-1))
+    bucket = bucket.cast("int")
     source = df if only is None else df.filter(bucket.isin(*only))
     result = compute(source).withColumn("bucket", bucket)
     result.write.partitionBy("bucket").parquet(f"{path}/run={run}")

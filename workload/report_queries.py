@@ -1,9 +1,13 @@
 """Composed serving reports over the event point log, and metrics on really scored points."""
 
+from rallyframe.constants import DEFAULT_RETURN_PCT, DEFAULT_SERVE_PCT
 from rallyframe.operators import metrics as mx
+from rallyframe.operators import rollups, sketches
 from rallyframe.operators.filters import Filters
 from rallyframe.plans import reports
 from rallyframe.plans.build import scored_log
+from rallyframe.session import scratch_path
+from rallyframe.sources import writers
 from workload import bindings as b
 from workload import metric_queries as mq
 from workload.importance_oracle import importance_sql
@@ -51,6 +55,42 @@ SELECT k.player, {_r('k.a', 'win_pct_all')}, {_r('k.h', 'win_pct_hp')}, CAST(k.n
 FROM k LEFT JOIN sh ON sh.player = k.player JOIN t ON t.player = k.player"""
 
 
+def _stored_scores(spark, sf):
+    """The scored log written by year, and read from there."""
+    path = scratch_path(spark, "scores")
+    writers.write_parquet(b.scores(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def pressure_tab_sketched(spark, sf):
+    """The pressure tab over a stored log, its threshold bracketed by stored sketches."""
+    log = _stored_scores(spark, sf)
+    kept = sketches.build_sketches(log, scratch_path(spark, "sketches"), ["year", "tour", "tournament_name"], "importance")
+    report = reports.pressure_tab(
+        log, CHOSEN, min_points=100, min_ranking_points=20, min_share_points=30, sketches=kept
+    )
+    return rounded(report, "win_pct_all", "win_pct_hp", "clutch_delta", "high_pressure_pct")
+
+
+def player_rollup(spark, sf):
+    """Players from stored sums per year, one year of which was first built from half its points and then replaced."""
+    log, path = _stored_scores(spark, sf), scratch_path(spark, "sums")
+    rollups.build_year_sums(log.filter("year <> 2024 OR point_number % 2 = 0"), path)
+    players = rollups.players_of(rollups.build_year_sums(log, path, only=[2024]))
+    return rounded(players, "serve_point_win_pct", "return_point_win_pct")
+
+
+PLAYER_ROLLUP = f"""{SCORES},
+r AS (SELECT server_name AS player, year, tour, server_win AS won, true AS serving FROM s
+  UNION ALL SELECT returner_name, year, tour, NOT server_win, false FROM s)
+SELECT player, count(won) AS role_points, max(year) AS last_year,
+  {_r('coalesce(avg(CASE WHEN serving THEN CASE WHEN won THEN 1e0 ELSE 0e0 END END), @serve)', 'serve_point_win_pct')},
+  {_r('coalesce(avg(CASE WHEN NOT serving THEN CASE WHEN won THEN 1e0 ELSE 0e0 END END), @return)', 'return_point_win_pct')},
+  CASE WHEN max(year) = (SELECT max(year) FROM r) THEN 'Active' ELSE 'Inactive' END AS player_status,
+  CASE WHEN count(DISTINCT tour) = 1 AND min(tour) IN ('ATP', 'WTA') THEN min(tour) ELSE 'Both' END AS tour
+FROM r WHERE player IS NOT NULL GROUP BY 1""".replace("@serve", str(DEFAULT_SERVE_PCT)).replace("@return", str(DEFAULT_RETURN_PCT))
+
+
 def pressure_extremes(spark, sf):
     """Head and tail ten of the pressure share of the chosen points."""
     points = reports.pressure_points(b.scores(spark, sf), CHOSEN, 100)
@@ -95,6 +135,8 @@ SELECT match_id, player, {_r('sum(x)', 'total_clutch_score')} FROM sl GROUP BY 1
 QUERIES = {
     "consistency_tab": (consistency_tab, CONSISTENCY_TAB),
     "pressure_tab": (pressure_tab, PRESSURE_TAB),
+    "pressure_tab_sketched": (pressure_tab_sketched, PRESSURE_TAB),
+    "player_rollup": (player_rollup, PLAYER_ROLLUP),
     "pressure_extremes": (pressure_extremes, PRESSURE_EXTREMES),
     "results_tab": (results_tab, RESULTS_TAB),
     "scored_clutch": (scored_clutch, SCORED_CLUTCH),
