@@ -6,15 +6,14 @@ The in-game score only decides who wins the current game, so for every point
 
 where ``h`` is player 1's chance to win the game (a plain column) and ``v_win``/``v_lose``
 are player 1's match chances once the game is won or lost. The latter depend on a handful
-of small integers per match, so they are worked out per game (or distinct state), not per
-point: Spark spreads those rows and sends Arrow batches to a vectorised helper.
+of small integers and on both players' chances on serve. Each distinct pair of chances is
+valued once in a job, for all scores; Spark spreads the pairs, sends Arrow batches to a
+vectorised helper, and games look their cells up by the pair.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rallyframe.functions.model import game_win_prob, p1_point_chance, point_win_prob
 
@@ -24,7 +23,10 @@ RATES = [
     "player2_serve_point_win_pct", "player2_return_point_win_pct",
 ]
 INPUTS = [*RATES, *STATE[1:], "p1_points", "p2_points", "point_server"]
-# Match chances once the game is won or lost, when player 1 or 2 serves it, and tiebreak chances.
+PAIR = ["pa", "pb", "need"]
+LISTS = ["chances", "breaker"]
+RUN = 1024  # pairs valued at a time: some 12 MB of numbers
+# Match chances once the game is won or lost, when player 1 or 2 serves it.
 VALUES = ["win1", "lose1", "win2", "lose2"]
 GRID = 9  # tiebreak scores 0..8 per side; longer ones fold back
 
@@ -140,43 +142,6 @@ def _value_table(pa, pb, need, rules):
     return table, breaker
 
 
-def _numbers(rows, rules):
-    """Value columns of a pandas batch with pa, pb and the integers of STATE; bad rows stay null."""
-    out = {name: np.full(len(rows), np.nan) for name in VALUES}
-    breakers = np.full(len(rows), None, dtype=object)
-    needed = ["pa", "pb", *STATE[1:]]
-    good = rows[needed].notna().all(axis=1).to_numpy()
-    for best_of in np.unique(rows["best_of"].to_numpy()[good]):
-        at = np.flatnonzero(good & (rows["best_of"].to_numpy() == best_of))
-        part = rows.iloc[at]
-        need = 3 if best_of == 5 else 2
-        code, pairs = pd.factorize(pd.MultiIndex.from_arrays([part["pa"], part["pb"]]))
-        pa, pb = (pairs.get_level_values(i).to_numpy(dtype=float) for i in (0, 1))
-        table, breaker = _value_table(pa, pb, need, rules)
-        s1, s2, g1, g2 = (part[c].to_numpy().astype(int) for c in STATE[2:])
-        over = (s1 >= need) | (s2 >= need)
-        result = ((s1 == need) if rules == "reference" else (s1 >= need)).astype(float)
-        sets = (np.minimum(s1, need - 1), np.minimum(s2, need - 1))
-        for server in (1, 2):
-            won = table[*sets, _slot(g1 + 1, g2, rules), 3 - server, code]
-            lost = table[*sets, _slot(g1, g2 + 1, rules), 3 - server, code]
-            out[f"win{server}"][at] = np.where(over, result, won)
-            out[f"lose{server}"][at] = np.where(over, result, lost)
-        tied = (g1 == 6) & (g2 == 6)
-        if tied.any():
-            # One list per distinct pair; rows of a pair share it.
-            used, which = np.unique(code[tied], return_inverse=True)
-            if rules == "reference":
-                lists = np.stack([breaker[1][used], breaker[2][used]], axis=1)
-            else:
-                lists = _tiebreak_grid(pa[used], pb[used])
-            shared = np.empty(len(used), dtype=object)
-            shared[:] = list(lists)
-            breakers[at[tied]] = shared[which]
-    out["breaker"] = breakers
-    return out
-
-
 def _tiebreak_grid(pa, pb):
     """Player 1's tiebreak chance for every score, starter 1 first: 2 x 9 x 9 numbers for each pair."""
     cells = [
@@ -187,39 +152,95 @@ def _tiebreak_grid(pa, pb):
     return np.stack(cells, axis=1)
 
 
-def with_game_values(states, rules="reference"):
-    """Add the value columns to a frame with one row per match state (or per game).
-
-    ``states`` carries the integers of STATE and the four rates. Rows are valued where
-    they are: Arrow batches, one vectorised recursion over the batch's distinct pairs.
-    """
-    if rules not in ("reference", "standard"):
-        raise ValueError(f"unknown rules: {rules}")
-    rated = states.withColumns(
+def _rated(df):
+    """Both players' chances on serve, and the sets needed; together they are the key of a pair."""
+    return df.withColumns(
         {
             "pa": point_win_prob("player1_serve_point_win_pct", "player2_return_point_win_pct"),
             "pb": point_win_prob("player2_serve_point_win_pct", "player1_return_point_win_pct"),
+            "need": F.expr("IF(best_of IS NULL, NULL, IF(best_of = 5, 3, 2))"),
         }
     )
-    schema = T.StructType(
-        [*rated.schema.fields, *[T.StructField(v, T.DoubleType()) for v in VALUES],
-         T.StructField("breaker", T.ArrayType(T.DoubleType()))]
-    )
+
+
+def pair_values(rows, rules="reference"):
+    """One row for each distinct pair (pa, pb, need) of ``rows``, valued once in the whole job.
+
+    ``rows`` holds best_of and the four rates, one row a match, say; rows that lack one of them give no
+    pair. ``chances`` lists player 1's match chance by (sets, sets, slot, server to serve next), the last
+    fastest; ``breaker`` the tiebreak chances, one for each starter or, by standard rules, one for each
+    starter and score. The exchange that makes the pairs distinct also deals them out.
+    """
+    if rules not in ("reference", "standard"):
+        raise ValueError(f"unknown rules: {rules}")
+    pairs = _rated(rows).select(*PAIR).filter(" AND ".join(f"{c} IS NOT NULL" for c in PAIR)).distinct()
 
     def value(batches):
         for batch in batches:
-            rows = batch.select(["pa", "pb", *STATE[1:]]).to_pandas()
-            numbers = _numbers(rows, rules)
-            for name in VALUES:
-                batch = batch.append_column(name, pa_array(numbers[name]))
-            yield batch.append_column("breaker", pyarrow.array(numbers["breaker"], pyarrow.list_(pyarrow.float64())))
+            pa, pb = (batch.column(c).to_numpy(zero_copy_only=False) for c in PAIR[:2])
+            needs = batch.column("need").to_numpy(zero_copy_only=False)
+            for need in np.unique(needs):
+                same = np.flatnonzero(needs == need)
+                for at in np.split(same, range(RUN, len(same), RUN)):
+                    table, breaker = _value_table(pa[at], pb[at], int(need), rules)
+                    chances = table[:, :, :, 1:].reshape(-1, len(at)).T
+                    if rules == "reference":
+                        breaker = np.stack([breaker[1], breaker[2]], axis=1)
+                    else:
+                        breaker = _tiebreak_grid(pa[at], pb[at])
+                    columns = [pa[at], pb[at], needs[at].astype(np.int32), _lists(chances), _lists(breaker)]
+                    yield pyarrow.RecordBatch.from_arrays([pyarrow.array(c) for c in columns], names=[*PAIR, *LISTS])
+
+    schema = "pa double, pb double, need int, chances array<double>, breaker array<double>"
+    return pairs.mapInArrow(value, schema)
+
+
+def _lists(numbers):
+    """Rows of a matrix as an Arrow list array."""
+    flat = np.ascontiguousarray(numbers)
+    borders = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+    return pyarrow.ListArray.from_arrays(pyarrow.array(borders), pyarrow.array(flat.ravel()))
+
+
+def _slot_text(g1, g2, rules):
+    """SQL text for ``_slot``."""
+    won, lost = f"({g1} >= 6 AND {g1} - {g2} >= 2)", f"({g2} >= 6 AND {g2} - {g1} >= 2)"
+    if rules == "standard":
+        won, lost = f"({won} OR {g1} = 7 AND {g2} = 6)", f"({lost} OR {g1} = 6 AND {g2} = 7)"
+    return (
+        f"CASE WHEN {won} THEN {WON} WHEN {lost} THEN {LOST} "
+        f"WHEN LEAST({g1}, {g2}) >= 6 AND {g1} - {g2} = -1 THEN {DOWN} "
+        f"WHEN LEAST({g1}, {g2}) >= 6 AND {g1} - {g2} = 1 THEN {UP} "
+        f"WHEN LEAST({g1}, {g2}) >= 7 AND {g1} = {g2} THEN {LEVEL} "
+        f"ELSE LEAST({g1}, 6) * 7 + LEAST({g2}, 6) END"
+    )
 
-    return rated.mapInArrow(value, schema)
 
+def with_game_values(states, rules="reference", matches=None):
+    """Add the value columns to a frame with one row per match state (or per game).
 
-def pa_array(values):
-    """A numpy vector as an Arrow array with NaN turned into null."""
-    return pyarrow.array(values, pyarrow.float64(), from_pandas=True)
+    ``states`` carries the integers of STATE and the four rates. Every distinct pair of chances is valued
+    once (``pair_values``); states meet it by its key and read single cells, so that only tied games keep a
+    list, that of the tiebreak. ``matches`` may name a smaller frame that holds every (best_of, rates) of
+    ``states``. A state with a null in its key or its integers gets null values.
+    """
+    tables = pair_values(states if matches is None else matches, rules)
+    met = _rated(states).join(tables, PAIR, "left")
+    over = "(p1_sets_won >= need OR p2_sets_won >= need)"
+    result = f"CAST(p1_sets_won {'=' if rules == 'reference' else '>='} need AS DOUBLE)"
+    base = "(LEAST(p1_sets_won, need - 1) * need + LEAST(p2_sets_won, need - 1)) * 54"
+    slots = {
+        "win": _slot_text("(p1_games_won + 1)", "p2_games_won", rules),
+        "lose": _slot_text("p1_games_won", "(p2_games_won + 1)", rules),
+    }
+    met = met.withColumns({f"_{name}_slot": F.expr(f"({base} + {slot}) * 2") for name, slot in slots.items()})
+    # The next game is served by the other player: cell 1 after a game of player 1, 0 after one of player 2.
+    cells = {
+        f"{name}{server}": F.expr(f"IF({over}, IF(chances IS NULL, NULL, {result}), get(chances, _{name}_slot + {2 - server}))")
+        for name in slots for server in (1, 2)
+    }
+    tied = F.expr("IF(p1_games_won = 6 AND p2_games_won = 6, breaker, NULL)")
+    return met.withColumns({**cells, "breaker": tied}).drop("chances", "need", "_win_slot", "_lose_slot")
 
 
 def _tiebreak_chance(i, j, rules):
@@ -282,7 +303,7 @@ def score_points(df, rules="reference"):
     base = df.withColumns({c: F.col(c).cast("int") for c in ints})
     complete = " AND ".join(f"{c} IS NOT NULL" for c in [*STATE, *RATES])
     states = base.filter(complete).groupBy(*STATE).agg(*[F.max(r).alias(r) for r in RATES])
-    values = with_game_values(states.repartition("match_id"), rules).drop(*RATES)
+    values = with_game_values(states, rules).drop(*RATES)
     return probabilities(base.join(values, STATE, "left"), rules)
 
 

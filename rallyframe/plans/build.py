@@ -48,7 +48,8 @@ def point_log(raw_points, raw_matches, observation=None):
 def prepared_log(points, tiebreak_at=6, per_game=None):
     """Match state, labels, roles, rates and match facts for every point of a clean log.
 
-    Facts read from the match id are worked out on match rows, not once per point.
+    Facts read from the match id are worked out on match rows, not once per point. ``per_game`` takes the
+    game rows and the match rows with their rates, and returns the game rows with more columns.
     """
     rates = player_rates(with_serve_outcome(with_roles(points)))
     matches = one_per_match(points.select("match_id", "player1", "player2").distinct())
@@ -56,7 +57,8 @@ def prepared_log(points, tiebreak_at=6, per_game=None):
     rated = attach_rates(matches, rates).drop("player1", "player2").withColumns(facts)
     rated = rated.withColumn("points_stake", points_stake())
     known = [c for c in rated.columns if c != "match_id"]
-    log = rebuild_state(points.drop(*known), tiebreak_at, rated, per_game).withColumns(score_labels())
+    extra = per_game and (lambda games: per_game(games, rated))
+    log = rebuild_state(points.drop(*known), tiebreak_at, rated, extra).withColumns(score_labels())
     winner = by_code("match_winner_code", "player1", "player2")
     return with_serve_outcome(with_roles(log)).withColumn("match_winner", winner)
 
@@ -64,14 +66,14 @@ def prepared_log(points, tiebreak_at=6, per_game=None):
 def scored_log(points, rules="reference", server_first=None):
     """Prepared log plus probabilities, importance and deltas, in one pass over the points.
 
-    Match values are computed on game rows and reach the points with the game join.
+    Match values are looked up on game rows and reach the points with the game join.
     ``server_first`` feeds the server's token as player 1's points, as the published
     numbers do; the default follows ``rules``: server-first for ``reference``, the
     players' own points for ``standard``.
     """
     if server_first is None:
         server_first = rules == "reference"
-    log = prepared_log(points, per_game=lambda games: with_game_values(games, rules))
+    log = prepared_log(points, per_game=lambda games, matches: with_game_values(games, rules, matches))
     if server_first:
         own = {"p1_points": token_points("server_token"), "p2_points": token_points("returner_token")}
     else:

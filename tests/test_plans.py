@@ -78,3 +78,21 @@ def test_star_filters_reach_the_match_scan(log):
     assert "PushedFilters: [" in text and "year" in re.search(r"PushedFilters: \[[^\]]*year[^\]]*\]", text).group(0)
     narrow = [s for s in re.findall(r"ReadSchema: struct<([^>]*)>", text)]
     assert all("set_no" not in s and "point_server" not in s for s in narrow)
+
+
+@pytest.mark.parametrize("rules", ["reference", "standard"])
+def test_points_read_tiebreak_cells_where_they_meet_their_game(log, rules):
+    """No exchange, sort or window above the join of points and games, so no point carries a list."""
+    lines = plan(scored_log(log, rules)).split("== Initial Plan ==")[0].splitlines()
+    top = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert not any(word in line for line in lines[:top] for word in ("Exchange", "Sort", "Window"))
+    assert "_p" in lines[top] or "match_id" in lines[top]
+
+
+def test_pairs_are_valued_behind_the_exchange_that_makes_them_distinct(log):
+    text = plan(scored_log(log))
+    lines = text.splitlines()
+    at = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    below = lines[at + 1 : at + 4]
+    assert "HashAggregate(keys=[pa#" in below[0] + below[1]
+    assert any("Exchange hashpartitioning(pa#" in line for line in below)

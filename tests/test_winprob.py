@@ -5,7 +5,7 @@ from matches import tiebreak_set
 from pyspark.sql import functions as F
 
 from rallyframe.functions.model import game_win_prob
-from rallyframe.operators.winprob import score_points
+from rallyframe.operators.winprob import pair_values, score_points, with_game_values
 from rallyframe.plans.build import scored_log
 
 DDL = (
@@ -162,3 +162,48 @@ def test_certain_servers_do_not_break_the_recursion(spark):
             assert 0 <= r["p1_win_prob_before"] <= 1
     assert score(spark, [(1.0, 1.0, 3, 1, 1, 7, 7, 0, 0, 1)])[0]["p1_win_prob_before"] == 0.5
     assert score(spark, [(1.0, 0.0, 3, 0, 0, 0, 0, 0, 0, 1)])[0]["p1_win_prob_before"] == 1.0
+
+
+def test_every_distinct_pair_is_valued_once(spark):
+    """As many valued rows as pairs, whatever repeats; rows without a rate or best_of give none."""
+    states = [(0.6 + i % 3 / 100, 0.6, 3 if i % 2 else 5, 0, 0, i % 7, 0, 0, 0, 1) for i in range(60)]
+    rows = frame(spark, states).repartition(4)
+    bare = rows.limit(1).withColumn("best_of", F.lit(None).cast("int"))
+    bare = bare.unionByName(rows.limit(1).withColumn("player1_serve_point_win_pct", F.lit(None).cast("double")))
+    for rules in ("reference", "standard"):
+        pairs = pair_values(rows.unionByName(bare), rules).collect()
+        assert len(pairs) == len({(r["pa"], r["pb"], r["need"]) for r in pairs}) == 6
+        assert {(r["need"], len(r["chances"])) for r in pairs} == {(2, 4 * 54 * 2), (3, 9 * 54 * 2)}
+        assert {len(r["breaker"]) for r in pairs} == {2 if rules == "reference" else 2 * 81}
+        valued = with_game_values(rows.unionByName(bare), rules)
+        assert valued.count() == 62 and valued.filter("win1 IS NULL").count() == 2
+    assert pair_values(rows.limit(0)).count() == 0
+
+
+def test_matches_may_name_the_pairs(spark, rows):
+    """Pairs taken from match rows value the games as pairs taken from the games do."""
+    states = frame(spark, [(0.61, 0.6, 3, 0, 1, g, 5, 0, 0, 1) for g in range(7)])
+    rates = [c for c in states.columns if c.endswith("pct")]
+    few = states.select(*rates, "best_of").distinct()
+    names = ["p1_games_won", "win1", "lose1", "win2", "lose2"]
+    assert rows(with_game_values(states), *names) == rows(with_game_values(states, matches=few), *names)
+
+
+def test_values_equal_single_games_played_out(spark):
+    """Cells looked up for a game equal the chance-weighted mean of the following games' cells."""
+    games = [(0.63, 0.6, 3, 1, 0, a, b, 0, 0, 1) for a in range(6) for b in range(6)]
+    for rules in ("reference", "standard"):
+        at = {(r["p1_games_won"], r["p2_games_won"]): r for r in with_game_values(frame(spark, games), rules).collect()}
+        hold, other = game_chance(0.63), game_chance(0.4)
+        for (a, b), r in at.items():
+            if a < 5 and b < 5:
+                after = at[(a + 1, b)]
+                assert r["win1"] == pytest.approx(other * after["win2"] + (1 - other) * after["lose2"], abs=1e-12)
+                after = at[(a, b + 1)]
+                assert r["lose2"] == pytest.approx(hold * after["win1"] + (1 - hold) * after["lose1"], abs=1e-12)
+
+
+def game_chance(x):
+    """Chance to win a game from love, summed over its scores."""
+    y = 1 - x
+    return x**4 + 4 * x**4 * y + 10 * x**4 * y**2 + 20 * x**3 * y**3 * x**2 / (1 - 2 * x * y)
