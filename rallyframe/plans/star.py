@@ -8,6 +8,7 @@ from rallyframe.functions.scores import swap_for_server
 from rallyframe.operators.filters import Filters
 from rallyframe.operators.ordered import join_on, with_row_ids
 from rallyframe.operators.players import attach_rates, player_dimension
+from rallyframe.sources.facts import pruned_by
 
 MATCH_COLUMNS = [
     "match_id", "tournament", "year", "player1", "player2", "best_of", "round", "points_stake", "match_winner",
@@ -40,11 +41,12 @@ PROBABILITIES = [
 
 
 def wide_facts(log):
-    """Attributes and probabilities of each point in one projection, with the year it is stored by."""
+    """Attributes and probabilities of each point in one projection, with the year (and tour) it is stored by."""
     points = log.withColumns({"p1_score": F.col("server_token"), "p2_score": F.col("returner_token"), "score": swap_for_server()})
     return points.select(
         "match_id", "point_number", "year", "point_winner", "point_server", "p1_sets_won", "p2_sets_won", "p1_games_won",
         "p2_games_won", "p1_score", "p2_score", "score", "server_name", "returner_name", "is_tiebreak", *PROBABILITIES,
+        *[c for c in ["tour"] if c in log.columns],
     )
 
 
@@ -80,7 +82,8 @@ def star_join(points, matches, players, filters, columns, probabilities=None, na
 
     Match filters and the player lookups work on match rows; points join the surviving
     matches once. ``probabilities`` is only needed when they live in a table of their own;
-    facts that carry ``year`` are filtered by it too, which prunes a table stored by year.
+    facts that carry ``year`` are filtered by it too, which prunes a table stored by year. Of facts
+    with ``year`` and ``tour`` only those of years and tours that the filtered matches hold are read.
     Names of the match side are canonicalised with ``name_map`` like those of the player
     side, since otherwise matches with a variant spelling drop out. ``columns`` is a list
     or the name of a projection.
@@ -95,10 +98,14 @@ def star_join(points, matches, players, filters, columns, probabilities=None, na
         chosen = chosen.join(side, f"player{number}")
     chosen = filters.by_status(chosen)
     facts = points
+    if {"year", "tour"} <= set(facts.columns):
+        if filters.match_predicate() is not None:
+            facts = pruned_by(facts, filters.apply(matches))
+        facts = facts.drop("tour")
     if "year" in facts.columns:
         facts = Filters(years=filters.years).apply(facts).drop("year")
     if probabilities is not None:
-        facts = points.join(probabilities.drop("point_id"), ["match_id", "point_number"])
+        facts = facts.join(probabilities.drop("point_id"), ["match_id", "point_number"])
     return facts.join(chosen, "match_id").select(*(PROJECTIONS[columns] if isinstance(columns, str) else columns))
 
 

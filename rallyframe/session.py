@@ -16,6 +16,8 @@ def build_session(app="rallyframe", master=None, **conf):
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Split skewed join sides even where that costs another exchange.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Tables bucketed by match serve joins by match, set and game where they lie.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Larger generated methods are never compiled by the JVM and would run interpreted.
         "spark.sql.codegen.hugeMethodLimit": "8000",

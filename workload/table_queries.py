@@ -15,14 +15,15 @@ from rallyframe.functions.names import (
     winner_name,
     with_flags,
 )
-from rallyframe.functions.scores import score_labels, token_points
+from rallyframe.functions.scores import by_code, score_labels, token_points
 from rallyframe.operators import players as pl
 from rallyframe.operators.filters import Filters, filter_options
 from rallyframe.operators.ordered import with_row_ids
-from rallyframe.operators.state import rebuild_state
+from rallyframe.operators.state import match_winner_codes, rebuild_state
 from rallyframe.plans import star
 from rallyframe.session import materialise, scratch_path
 from rallyframe.sources import readers, writers
+from rallyframe.sources.facts import save_facts
 from workload import bindings as b
 from workload.metric_queries import _DIM_SQL, _r, _rate_log, _variant_map, rounded
 
@@ -224,9 +225,9 @@ SELECT row_number() OVER (ORDER BY player) AS player_id, player, tour, serve_pct
 
 
 def star_join_results(spark, sf):
-    # The scored log is written once, by year; its matches and players once from there.
+    # The scored log is written once, by year and tour; its matches and players once from there.
     stored = scratch_path(spark, "scored")
-    writers.write_parquet(_star_log(spark, sf), stored)
+    writers.write_parquet(_star_log(spark, sf), stored, ("year", "tour"))
     log = readers.read_parquet(spark, stored)
     matches = materialise(star.match_detail(log, key=False))
     names = _variant_map(matches)
@@ -236,12 +237,52 @@ def star_join_results(spark, sf):
     return rounded(joined, *_PROBS)
 
 
-STAR_JOIN_RESULTS = f"""{_STAR_SQL}, {_DIM_SQL},
+_STAR_RESULTS = f"""{_STAR_SQL}, {_DIM_SQL},
 mc AS (SELECT md.* REPLACE (replace(player1, 'o''neil', 'O''Neil') AS player1, replace(player2, 'o''neil', 'O''Neil') AS player2) FROM md)
 SELECT pd.match_id, mc.player1, mc.player2, mc.year, pd.point_winner, pd.point_server, pd.server_name, pd.returner_name, {_PROBS_SQL}, mc.points_stake, mc.tour, mc.tournament_name, mc.match_winner,
   pd.p1_sets_won, pd.p2_sets_won, pd.p1_games_won, pd.p2_games_won, pd.score, pd.point_number
 FROM pd JOIN mc USING (match_id) JOIN pp USING (match_id, point_number) JOIN dim d1 ON d1.player = mc.player1 JOIN dim d2 ON d2.player = mc.player2
-WHERE mc.year IN (2021, 2023, 2024) AND mc.tour = 'ATP' AND (d1.player_status = 'Active' OR d2.player_status = 'Active')"""
+WHERE mc.year IN (2021, 2023, 2024) AND (d1.player_status = 'Active' OR d2.player_status = 'Active')"""
+STAR_JOIN_RESULTS = f"{_STAR_RESULTS} AND mc.tour = 'ATP'"
+STORED_STAR_JOIN = f"{_STAR_RESULTS} AND mc.tournament_name = 'US Open'"
+
+
+ORDER = ["set_no", "game_no", "point_number"]
+
+
+def stored_star_join(spark, sf):
+    """The star join over facts and matches bucketed by match; the choice of a tournament prunes years and tours."""
+    facts = save_facts(
+        star.wide_facts(_star_log(spark, sf)), f"facts_{uuid.uuid4().hex}", 8, ["point_number"], path=scratch_path(spark, "facts")
+    )
+    log = _rate_log(spark, sf)
+    codes = match_winner_codes(log)
+    games = log.select("match_id", "year", "tour", "tournament_name", "player1", "player2", "round", "points_stake").distinct()
+    winner = by_code("match_winner_code", "player1", "player2")
+    matches = save_facts(
+        games.join(codes, "match_id", "left").withColumn("match_winner", winner).drop("match_winner_code"),
+        f"matches_{uuid.uuid4().hex}", 8, partition_by=(), path=scratch_path(spark, "matches"),
+    )
+    names = _variant_map(matches)
+    players = materialise(pl.player_dimension(log, names))
+    chosen = Filters(years=(2021, 2023, 2024), tournament="US Open", status="Active")
+    return rounded(star.star_join(facts, matches, players, chosen, "results", name_map=names), *_PROBS)
+
+
+def stored_state(spark, sf):
+    """Games, sets and match winner rebuilt over points bucketed by match: no point moves."""
+    points = save_facts(
+        b.points(spark, sf).withColumn("tour", tour()), f"points_{uuid.uuid4().hex}", 8, ORDER, path=scratch_path(spark, "points")
+    )
+    state = rebuild_state(points)
+    return state.select(
+        "match_id", "set_no", "game_no", "point_number", "p1_games_won", "p2_games_won", "p1_sets_won", "p2_sets_won",
+        by_code("match_winner_code", "player1", "player2").alias("match_winner"),
+    )
+
+
+STORED_STATE = f"""WITH {b.POINTS_SQL}, {b.state_sql('p')}
+SELECT match_id, set_no, game_no, point_number, p1_games_won, p2_games_won, p1_sets_won, p2_sets_won, match_winner FROM st"""
 
 
 def star_join_filtered(spark, sf):
@@ -494,6 +535,8 @@ QUERIES = {
     "player_detail": (player_detail, PLAYER_DETAIL),
     "star_join_results": (star_join_results, STAR_JOIN_RESULTS),
     "star_join_filtered": (star_join_filtered, STAR_JOIN_FILTERED),
+    "stored_star_join": (stored_star_join, STORED_STAR_JOIN),
+    "stored_state": (stored_state, STORED_STATE),
     "supplier_part_rates": (supplier_part_rates, SUPPLIER_PART_RATES),
     "filter_options": (filter_options_query, FILTER_OPTIONS),
     "column_tools": (column_tools, COLUMN_TOOLS),
