@@ -238,11 +238,11 @@ def encode_ids(docs, path, key="doc_id", text="text", threads=2, checked=False,
                 texts = batch.column(1).to_pylist()
                 found = codec.encode(texts)
                 if checked:
-                    said = [np.array(x, "<u4") for x in reference_of(path).encode(texts, num_threads=1)]
-                    for i, (x, y) in enumerate(zip(found, said)):
-                        if not np.array_equal(x, y):
-                            found[i] = codec.whole(texts[i])
-                    same = [np.array_equal(x, y) for x, y in zip(found, said)]
+                    said = reference_of(path).encode(texts, num_threads=1)
+                    same = [x.tolist() == y for x, y in zip(found, said)]
+                    for i in np.flatnonzero(~np.array(same, bool)).tolist():
+                        found[i] = codec.whole(texts[i])
+                        same[i] = found[i].tolist() == said[i]
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = pa.array(np.concatenate([*found, np.zeros(0, "<u4")]).astype(np.int32))
                 columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), values), *batch.columns[2:]]

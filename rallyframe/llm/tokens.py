@@ -237,7 +237,8 @@ class WordCache:
         inner &= ~np.repeat(alone, np.diff(cuts))
         used = np.zeros(len(coded.dictionary), bool)
         used[codes[inner]] = True
-        ids = self._known(coded.dictionary.filter(pa.array(used)).to_pylist())
+        # As numpy objects: a list straight from Arrow makes a scalar of every word, at ten times the cost.
+        ids = self._known(coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
         number = np.cumsum(used) - 1
         odd = np.array([x is None for x in ids], bool)
         if odd.any():
