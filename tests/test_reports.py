@@ -36,6 +36,12 @@ def test_masked_players_are_left_out(log):
     assert {r["player1"] for r in report.collect()} == {"a", "c"}
 
 
+def test_gated_points_are_stored_once(log):
+    """Threshold and report scan the stored points, not the chain of filters, masks and joins."""
+    files = reports.pressure_points(log, Filters(status="Active"), min_points=1).inputFiles()
+    assert files and all("/gated-" in f for f in files)
+
+
 def test_head_and_tail(spark):
     rows = [(f"p{i}", float(i)) for i in range(15)] + [("x", None)]
     got = mx.pressure_extremes(spark.createDataFrame(rows, "player string, v double"), "v", 3).collect()

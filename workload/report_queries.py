@@ -93,7 +93,7 @@ FROM r WHERE player IS NOT NULL GROUP BY 1""".replace("@serve", str(DEFAULT_SERV
 
 def pressure_extremes(spark, sf):
     """Head and tail ten of the pressure share of the chosen points."""
-    points = reports.pressure_points(b.scores(spark, sf), CHOSEN, 100)
+    points = reports.pressure_points(b.scores(spark, sf).select(*reports.PRESSURE_COLUMNS), CHOSEN, 100)
     return rounded(mx.pressure_extremes(mx.pressure_share(points, 5), "high_pressure_pct"), "high_pressure_pct")
 
 
