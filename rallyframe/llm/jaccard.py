@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm import text as bytes_
 from rallyframe.llm.components import connected_components, release
-from rallyframe.llm.files import narrowed, stored
+from rallyframe.llm.files import dropped, narrowed, stored
 
 WORDS = 5
 #: Share of a set, from its least hashes, that is counted to find frequent shingles.
@@ -299,7 +299,9 @@ def _verify(docs, profiles, pairs, words, percent):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(met.mapInArrow(check, "a long, b long"), "links")
+    links = stored(met.mapInArrow(check, "a long, b long"), "links")
+    dropped(pairs, whole)
+    return links
 
 
 def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
@@ -335,17 +337,20 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
             percent,
         ), "shared",
     )
+    dropped(groups)
     release(spark)
     counted = shared.filter("lead <> gid").select(F.col("lead").alias("a"), F.col("gid").alias("b"))
     inner = classes.filter("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
     star_pairs = stored(counted.union(inner).distinct(), "pairs")
     links = _verify(rows, profiles, star_pairs, words, percent)
+    dropped(star_pairs)
     release(spark)
     parts = connected_components(links)
     release(spark)
 
     for turn in range(TURNS):
-        open_rows = _open(shared, _members(classes, parts))
+        members = _members(classes, parts)
+        open_rows = _open(shared, members)
         marked = open_rows.withColumn("_h", F.xxhash64("gid", F.lit(turn)))
         least = marked.groupBy("token").agg(F.min("_h").alias("_least")).select(F.col("token").alias("_t"), "_least")
         leaders = marked.join(least, (F.col("token") == F.col("_t")) & (F.col("_h") == F.col("_least"))).select(
@@ -354,8 +359,11 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
         others = open_rows.select("token", *[F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "component")])
         met = leaders.join(others, "token").filter(f"gid1 <> gid2 AND {_may_link(percent)}")
         found = stored(met.select(F.col("gid1").alias("a"), F.col("gid2").alias("b")).distinct(), "pairs")
+        dropped(members, open_rows, parts)
         release(spark)
-        links = stored(links.union(_verify(rows, profiles, found, words, percent)), "links")
+        more, last = _verify(rows, profiles, found, words, percent), links
+        links = stored(last.union(more), "links")
+        dropped(found, more, last)
         release(spark)
         parts = connected_components(links)
     release(spark)
@@ -381,17 +389,22 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
     )
     within = w1.join(w2, "gid").filter("a < b AND component1 <> component2").select("a", "b")
     rest = stored(across.union(within).distinct(), "pairs")
+    dropped(shared, members, open_rows, parts)
     release(spark)
     more = _verify(rows, profiles, rest, words, percent)
+    # Prefixes and bit maps are not needed any more.
+    sizes = stored(profiles.select("id", "n", "grp", "one", "two"), "sizes")
+    dropped(profiles, rest)
     release(spark)
     labels = connected_components(links.union(more))
+    dropped(links, more)
 
     named = classes.join(labels, F.col("cid") == F.col("id"), "left").select(
         F.col("grp").alias("_grp"), F.col("n").alias("_n"), F.col("one").alias("_one"), F.col("two").alias("_two"),
         F.coalesce("component", "cid").alias("component_id"),
     )
     same = (F.col("grp") == F.col("_grp")) & (F.col("n") == F.col("_n")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
-    return profiles.select("id", "n", "grp", "one", "two").join(named, same, "left").select(
+    return sizes.join(named, same, "left").select(
         F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )

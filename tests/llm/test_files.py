@@ -1,6 +1,6 @@
 import os
 
-from rallyframe.llm import lines
+from rallyframe.llm import jaccard, lines
 from rallyframe.session import checkpoint_dir
 
 TEXTS = [
@@ -21,3 +21,11 @@ def test_finished_steps_of_the_line_stage_leave_no_files(spark):
     got, names = left(spark, lambda: lines.without_repeats(docs).collect())
     assert sorted(r.dropped for r in got) == [0, 1, 2, 2]
     assert names <= {"again", "drops", "copies", "every"}
+
+
+def test_finished_steps_of_the_jaccard_join_leave_no_files(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (2, text + " more"), (3, "another text")], "doc_id long, text string")
+    got, names = left(spark, lambda: jaccard.near_duplicates(docs).collect())
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 3)]
+    assert names <= {"classes", "sizes", "components"}
