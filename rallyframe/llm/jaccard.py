@@ -3,18 +3,21 @@
 Every document becomes the set of its 5-word shingles, as 64-bit hashes. Two sets with Jaccard
 similarity of t or more share a shingle among the first ``n - ceil(t n) + 1`` of each in any
 common order. The order here puts the most frequent shingles last (a bounded list of them is
-counted over all documents) and the rest by hash, so that shared passages rarely meet in a
-prefix.
+counted over all documents, those full of frequent shingles being counted whole) and the rest by
+hash, so that shared passages rarely meet in a prefix.
 
 1. Equal sets collapse to one class, classes with equal prefix and size to one group.
 2. Rows (shingle, group) are range-partitioned, so a frequent shingle may span many tasks.
 3. Star pairs (least group of a shingle, group) and (least class of a group, class) are
    verified. This links most of every large group of copies at linear cost.
-4. TURNS times, another member leads each shingle whose groups still lie in several components,
-   chosen by a hash, and is paired with those outside its component.
+4. Once more, each shingle whose groups still lie in several components is led by the group that
+   has it earliest, which has the fewest shingles of its own, and that is paired with those outside
+   its component.
 5. All pairs of groups that share a prefix shingle, are not yet in one component and pass the
    size and position filters are expanded to their classes and verified. This finds
-   whatever the stars missed, so the result is exact.
+   whatever the stars missed, so the result is exact. Shared shingles have one order in both
+   sets, so what follows the first of them bounds the overlap. A row whose overlap would need
+   earlier shared shingles is left out: the row of the first one stands for the pair.
 
 Verification first bounds the overlap from small bit maps of the sets (a bit that only one set
 has stands for a shingle that the other lacks) and then compares the whole sets of what is left.
@@ -35,8 +38,8 @@ COUNTED = 0.36
 #: The list of frequent shingles: at most so many (8 bytes each reach every task).
 FREQUENT = 1 << 17
 LEAST_FREQUENT = 24
-#: Rounds of further star pairs before the exact step.
-TURNS = 3
+#: Sets with this share of frequent shingles in their counted part are counted whole.
+FULL_OF_FREQUENT = 0.1
 
 
 def shingle_sets(array, words=WORDS):
@@ -109,24 +112,44 @@ def _each(batches, column=1, max_bytes=1 << 20):
         yield from bytes_.slices(whole, column, max_bytes)
 
 
-def frequent_shingles(rows, words=WORDS):
-    """The most frequent shingles (by document), most frequent last, as unsigned integers.
-
-    Counts the first COUNTED of every set, in the order of hashes, over all documents. At most
-    FREQUENT of them reach the driver; any choice gives a valid order.
-    """
+def _counted(rows, part, words):
+    """The FREQUENT most frequent values of what ``part`` takes of every set, as (values, counts) arrays."""
 
     def count(batches):
         for batch in _each(batches, max_bytes=8 << 20):
-            found = [s[: int(len(s) * COUNTED) + 1] for part in bytes_.slices(batch, 1, 1 << 20) for s in shingle_sets(part.column(1), words)]
-            values, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            found = [part(s) for piece in bytes_.slices(batch, 1, 1 << 20) for s in shingle_sets(piece.column(1), words)]
+            values, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(n, pa.int64())], ["token", "n"])
 
     top = (
         rows.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= LEAST_FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     )
-    return np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
+    return np.array([r["token"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
+
+
+def frequent_shingles(rows, words=WORDS):
+    """The most frequent shingles (by document), most frequent last, as unsigned integers.
+
+    Counts the first COUNTED of every set, in the order of hashes, over all documents, and then the whole
+    sets of those that this shows to be full of frequent ones: their prefixes would otherwise go on to
+    shingles not counted. At most FREQUENT reach the driver; any choice gives a valid order.
+    """
+    values, n = _counted(rows, lambda s: s[: int(len(s) * COUNTED) + 1], words)
+    if not len(values):
+        return values
+    first = np.sort(values)
+
+    def whole(s):
+        head = s[: int(len(s) * COUNTED) + 1]
+        at = np.minimum(np.searchsorted(first, head), len(first) - 1)
+        return s if (first[at] == head).sum() >= max(1, FULL_OF_FREQUENT * len(head)) else s[:0]
+
+    more, m = _counted(rows, whole, words)
+    both, place = np.unique(np.concatenate([values, more]), return_inverse=True)
+    most = np.zeros(len(both), np.int64)
+    np.maximum.at(most, place, np.concatenate([n, m]))
+    return both[np.lexsort((both, most))][-FREQUENT:]
 
 
 def _profiles(rows, frequent, words, percent):
@@ -222,10 +245,10 @@ def _needed(percent):
 
 
 def _may_link(percent):
-    """SQL: rows 1 and 2 of a shingle lie in different components and may reach the similarity."""
+    """SQL: rows 1 and 2 of a shingle lie in different components and may reach the similarity from here on."""
     return (
         f"component1 <> component2 AND least(n1, n2) * 100 >= greatest(n1, n2) * {percent} "
-        f"AND 1 + least(n1 - pos1 - 1, n2 - pos2 - 1) + least(pos1, pos2) >= {_needed(percent)}"
+        f"AND least(n1 - pos1, n2 - pos2) >= {_needed(percent)}"
     )
 
 
@@ -348,24 +371,20 @@ def near_duplicates(docs, key="doc_id", text="text", percent=75, words=WORDS):
     parts = connected_components(links)
     release(spark)
 
-    for turn in range(TURNS):
-        members = _members(classes, parts)
-        open_rows = _open(shared, members)
-        marked = open_rows.withColumn("_h", F.xxhash64("gid", F.lit(turn)))
-        least = marked.groupBy("token").agg(F.min("_h").alias("_least")).select(F.col("token").alias("_t"), "_least")
-        leaders = marked.join(least, (F.col("token") == F.col("_t")) & (F.col("_h") == F.col("_least"))).select(
-            "token", *[F.col(c).alias(c + "1") for c in ("gid", "n", "pos", "component")]
-        )
-        others = open_rows.select("token", *[F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "component")])
-        met = leaders.join(others, "token").filter(f"gid1 <> gid2 AND {_may_link(percent)}")
-        found = stored(met.select(F.col("gid1").alias("a"), F.col("gid2").alias("b")).distinct(), "pairs")
-        dropped(members, open_rows, parts)
-        release(spark)
-        more, last = _verify(rows, profiles, found, words, percent), links
-        links = stored(last.union(more), "links")
-        dropped(found, more, last)
-        release(spark)
-        parts = connected_components(links)
+    members = _members(classes, parts)
+    open_rows = _open(shared, members)
+    earliest = F.min(F.struct("pos", "gid", "n", "component")).alias("_lead")
+    leaders = open_rows.groupBy("token").agg(earliest).select("token", *[F.col(f"_lead.{c}").alias(c + "1") for c in ("gid", "n", "pos", "component")])
+    others = open_rows.select("token", *[F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "component")])
+    met = leaders.join(others, "token").filter(f"gid1 <> gid2 AND {_may_link(percent)}")
+    found = stored(met.select(F.col("gid1").alias("a"), F.col("gid2").alias("b")).distinct(), "pairs")
+    dropped(members, open_rows, parts)
+    release(spark)
+    more, last = _verify(rows, profiles, found, words, percent), links
+    links = stored(last.union(more), "links")
+    dropped(found, more, last)
+    release(spark)
+    parts = connected_components(links)
     release(spark)
 
     # Exact step: groups of several components that share a shingle.

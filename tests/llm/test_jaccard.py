@@ -98,3 +98,41 @@ def test_rows_are_decided_by_themselves(spark):
     got = sorted(((r.doc_id, r.text, r.tag) for r in jaccard.first_of_each(docs).collect()), key=repr)
     want = [(1, a, "x"), (2, b, "x"), (7, c + " more", "z"), (9, "", "z"), (9, "", "z"), (None, None, None), (5, "an exact copy of a row with words enough", "q")]
     assert got == sorted(want, key=repr)
+
+
+def test_full_sets_are_counted_whole(spark):
+    """Shingles that all members of a group share are listed wherever they lie in the order of hashes."""
+    import numpy as np
+    import pyarrow as pa
+
+    random.seed(3)
+    base = [f"w{random.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(base + [f"own{i}x{j}" for j in range(20)]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    shared = jaccard.shingle_sets(pa.array([" ".join(base)]))[0]
+    listed = jaccard.frequent_shingles(docs)
+    assert set(shared.tolist()) == set(listed.tolist())
+    assert listed.dtype == np.uint64
+
+
+def test_only_the_first_shared_shingle_stands_for_a_pair(spark):
+    """A row that needs shared shingles before it to reach the similarity is no candidate."""
+    rows = [(1, 2, 100, 100, 0, 0), (1, 2, 100, 100, 14, 14), (1, 2, 100, 100, 15, 15), (1, 2, 100, 100, 20, 3), (1, 1, 100, 100, 0, 0), (1, 2, 100, 70, 0, 0)]
+    names = "component1 long, component2 long, n1 int, n2 int, pos1 int, pos2 int"
+    got = [tuple(r) for r in spark.createDataFrame(rows, names).filter(jaccard._may_link(75)).collect()]
+    assert got == rows[:2]
+
+
+def test_far_copies_of_one_text_match_brute_force(spark):
+    """Copies whose edits leave them below the similarity stay alone beside a large component."""
+    random.seed(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(random.choice([0, 1, 2, 3, 4, 6, 8])):
+            text[random.randrange(150)] = f"own{i}x{random.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == brute(rows)
