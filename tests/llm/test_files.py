@@ -1,6 +1,7 @@
 import os
 
 from rallyframe.llm import jaccard, lines
+from rallyframe.llm.files import narrowed
 from rallyframe.session import checkpoint_dir
 
 TEXTS = [
@@ -29,3 +30,13 @@ def test_finished_steps_of_the_jaccard_join_leave_no_files(spark):
     got, names = left(spark, lambda: jaccard.near_duplicates(docs).collect())
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 3)]
     assert names <= {"classes", "sizes", "components"}
+
+
+def test_narrowed_passes_all_that_match_and_few_others(spark):
+    """A million wanted values passed three others of five before."""
+    wanted, other = spark.range(1_000_000), spark.range(1_000_000, 1_100_000)
+    assert narrowed(spark.range(50_000).union(spark.range(0)), "id", wanted).count() == 50_000
+    assert narrowed(other, "id", wanted).count() < 10_000
+    odd = spark.createDataFrame([(1, "a"), (None, "b"), (2, None)], "k long, v string")
+    assert {r.k for r in narrowed(odd, "k", odd.select("k").filter("k = 2")).collect()} >= {2}
+    assert narrowed(odd, "k", odd.select("k").filter("false")).count() == 0
